@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandlake.llm import mixing, pii, quality, url_filter
+from strandlake.llm import mixing, pieces, pii, quality, url_filter
 
 QUERIES = {
     "op3_quality": quality.op3_quality,
+    "op6_pieces": pieces.op6_pieces,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_pii": pii.op8_pii,
     "op10_mixing": mixing.op10_mixing,
