@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandlake.llm import mixing, pieces, pii, quality, url_filter
+from strandlake.llm import html_extract, mixing, pieces, pii, quality, url_filter
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op3_quality": quality.op3_quality,
     "op6_pieces": pieces.op6_pieces,
     "op7_url_filter": url_filter.op7_url_filter,
