@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.llm import html_extract, mixing, pieces, pii, quality, url_filter
+from strandlake.llm import html_extract, language, mixing, pieces, pii, quality, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_pieces": pieces.op6_pieces,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_pii": pii.op8_pii,
+    "op9_language": language.op9_language,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
