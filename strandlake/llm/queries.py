@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandlake.llm import html_extract, language, mixing, pieces, pii, quality, url_filter
+from strandlake.llm import html_extract, language, lm_score, mixing, pieces, pii, quality, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
     "op3_quality": quality.op3_quality,
+    "op5_lm_score": lm_score.op5_lm_score,
     "op6_pieces": pieces.op6_pieces,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_pii": pii.op8_pii,
