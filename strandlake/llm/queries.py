@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandlake.llm import html_extract, language, lm_score, mixing, pieces, pii, quality, url_filter
+from strandlake.llm import html_extract, jaccard, language, lm_score, mixing, pieces, pii, quality, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_quality": quality.op3_quality,
     "op5_lm_score": lm_score.op5_lm_score,
     "op6_pieces": pieces.op6_pieces,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op2_jaccard": jaccard.ORACLE,
     "op3_quality": quality.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op10_mixing": mixing.ORACLE,
