@@ -47,6 +47,8 @@ NOISE = frozenset(
 MAIN_WORDS = frozenset("articlebody".split())
 #: Pages of one task; ranges are made so that each has about this many.
 RANGE_PAGES = 2000
+#: Borders and ends of ranges are broadcast up to this many rows, joined by a shuffle beyond.
+BROADCAST_ROWS = 20_000
 #: An alignment costs time and memory as the product of both lists of lines; beyond this it is done on unique lines.
 LCS_CELLS = 4_000_000
 
@@ -274,7 +276,7 @@ def _ranges(pages: DataFrame, range_pages: int) -> DataFrame:
     """
     starts = pages.select("_key").where(F.pmod(F.xxhash64("_key"), F.lit(range_pages)) == 0).distinct()
     borders = starts.groupBy(F.col("_key.host").alias("_bh")).agg(F.collect_list("_key").alias("_cuts"))
-    borders = F.broadcast(borders) if starts.count() <= 20_000 else borders
+    borders = F.broadcast(borders) if starts.count() <= BROADCAST_ROWS else borders
     found = pages.join(borders, F.col("_key.host") == F.col("_bh"), "left")
     no = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c <= F.col("_key")))).otherwise(0)
     return found.withColumn("_no", no).drop("_bh", "_cuts")
@@ -285,6 +287,7 @@ def _visitors(pages: DataFrame) -> DataFrame:
     ends = pages.groupBy(F.col("_key.host").alias("_eh"), F.col("_no").alias("_en")).agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))
     row = W.partitionBy("_eh").orderBy("_en")
     ends = ends.withColumns({"_prev": F.lag("_en").over(row), "_next": F.lead("_en").over(row)}).where("_prev is not null or _next is not null")
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
     met = pages.join(ends, (F.col("_key.host") == F.col("_eh")) & (F.col("_no") == F.col("_en")))
     goes = F.array(F.when(F.col("_key") == F.col("_lo"), F.col("_prev")), F.when(F.col("_key") == F.col("_hi"), F.col("_next")))
     return met.withColumn("_no", F.explode(F.filter(goes, lambda x: x.isNotNull()))).select(*pages.columns)
