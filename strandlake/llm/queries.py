@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandlake.llm import html_extract, jaccard, language, lm_score, mixing, pieces, pii, quality, url_filter
+from strandlake.llm import html_extract, imatch, jaccard, language, lm_score, mixing, pieces, pii, quality, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
     "op2_jaccard": jaccard.op2_jaccard,
     "op3_quality": quality.op3_quality,
+    "op4_imatch": imatch.op4_imatch,
     "op5_lm_score": lm_score.op5_lm_score,
     "op6_pieces": pieces.op6_pieces,
     "op7_url_filter": url_filter.op7_url_filter,
