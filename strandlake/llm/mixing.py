@@ -69,17 +69,25 @@ def _running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], v
     return df.withColumn("_in", inner).join(sums, [*keys, bucket]).withColumn(out, F.col("_before") + F.col("_in")).drop("_before", "_in")
 
 
+def row_key() -> Column:
+    """What tells a row from others: its doc_id and the hash of its text."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_of("text").cast("binary")))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds _copy, which counts the rows with the same _key by source."""
+    return docs.withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy(F.col("source").asc_nulls_last())))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
     """One row a document: doc_id, _key, size, source_size, target, taken (words, repeats counted)."""
-    docs = docs.select("doc_id", "source", word_count(text_of("text")).alias("size"), F.md5(text_of("text").cast("binary")).alias("_text"))
-    docs = docs.withColumn("_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_text"))
-    same = W.partitionBy("_key").orderBy(F.col("source").asc_nulls_last())
+    docs = docs.select("doc_id", "source", word_count(text_of("text")).alias("size"), row_key().alias("_key"))
     # the texts are read once; all that follows works on this small table
-    docs = written(docs.withColumn("_copy", F.row_number().over(same)))
+    docs = written(_numbered(docs))
     # sources travel as their rank: small, never null
     targets = source_targets(docs, weights, budget, epochs)
     targets = targets.withColumn("_src", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
-    sized = docs.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_text")
+    sized = docs.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     offers = sized.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     offers = offers.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.col("_copy").cast("string"), F.col("_key")).cast("binary")))
     # epoch after epoch: the bucket starts with the epoch
@@ -95,6 +103,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, epochs: int = EPOCHS, s
     return out.select("doc_id", "_key", "_copy", "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it is taken."""
+    times = mix(docs, **options).where("taken > 0").select("_key", "_copy", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    rows = _numbered(docs.withColumn("_key", row_key())).join(times, ["_key", "_copy"])
+    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
