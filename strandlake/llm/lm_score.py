@@ -38,8 +38,8 @@ from strandlake.llm.language import remainder
 ORDER = 4
 #: Levels whose counts all tasks share: contexts of 0 and of 1 symbol.
 SHARED = 2
-CHUNK_BYTES = 32 << 20
-BATCH_BYTES = 2 << 20
+CHUNK_BYTES = 16 << 20
+BATCH_BYTES = 1 << 20
 BUCKETS = 256
 WORD_BIT = 1 << 62
 DOCS = -1
@@ -99,7 +99,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal size, no
-        table = pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held).combine_chunks()
         chunk = part << 32 | no
         no, size = no + 1, 0
         held.clear()
@@ -149,30 +149,33 @@ def _scored(docs: pa.Table, values: pa.Table) -> pa.Table:
     value, first = values["value"].to_numpy(), values["first"].to_numpy()
     is_word = key >= WORD_BIT
     total = dict(zip(key[is_word].tolist(), value[is_word].tolist(), strict=True))
-    order = np.argsort(key[~is_word])
-    grams, bits = key[~is_word][order], value[~is_word][order]
     kinds = int((first[is_word] * (value[is_word] > 0)).sum())
+    grams, bits = key[~is_word], value[~is_word]
+    order = np.argsort(grams)
+    grams, bits = grams[order], bits[order]
+    del key, value, first, is_word, order, values
     for blob in docs["blob"].to_pylist():
         table = pa.ipc.open_stream(blob).read_all()
         texts, learn, ids = [t.lower() for t in table["data"].to_pylist()], table["learn"].to_pylist(), table["doc"].to_pylist()
         local = _words(texts, learn)
-        count = {}
-        for w, n in local.items():
+        trained = sum(local.values())
+        logs: dict[bytes, float] = {}  # 0 only for words that were not learned
+        while local:
+            w, n = local.popitem()
             c = total.get(word_key(w))
             if c is None:
                 c = n
                 kinds += n > 0
-            count[w] = c
-        logs = {w: math.log10(c + 1) for w, c in count.items()}
+            logs[w] = math.log10(c + 1)
         score = []
         for s in _batches(texts):
             g, starts = ppm.grams(texts[s], ORDER)
             code, u = ppm.distinct(g)
             score += (np.add.reduceat(bits[np.searchsorted(grams, u)][code], starts) * -math.log10(2)).tolist()
         for i, t, x in zip(ids, texts, score, strict=True):
-            words = t.split()
-            out.append((i, len(words) + 1, sum(count[w] > 0 for w in words), math.fsum(map(logs.__getitem__, words)), x, None, None, None, True))
-        out.append((None, None, None, None, None, sum(local.values()), sum(learn), kinds, False))
+            values = [logs[w] for w in t.split()]
+            out.append((i, len(values) + 1, len(values) - values.count(0.0), math.fsum(values), x, None, None, None, True))
+        out.append((None, None, None, None, None, trained, sum(learn), kinds, False))
         kinds = 0
     names = ["doc", "n_tokens", "n_known", "known_log", "score", "chunk_words", "chunk_docs", "chunk_kinds", "is_doc"]
     kind = dict(zip(names, [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()], strict=True))
