@@ -1 +1 @@
-
+"""Scalar functions: every one maps columns to a column and stays inside generated code."""

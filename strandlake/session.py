@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +28,19 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "stran
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows written once and read again, so that a loop's plan does not grow.
+
+    They go to the folder that the cluster names in spark.checkpoint.dir; where it is unset, to a local one.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="strandlake-")
+        atexit.register(shutil.rmtree, root, True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1 +1 @@
-
+"""Readers and writers of the field's text formats."""
