@@ -212,3 +212,16 @@ def applied_offsets(edits: DataFrame, keys: list[str]) -> DataFrame:
     shift = F.coalesce(F.sum(F.length("old") - F.length("new")).over(w), F.lit(0))
     at = F.col("start") + shift
     return edits.withColumns({"wt_start": at, "wt_end": at + F.length("old")})
+
+
+def originals(records: DataFrame, noted: DataFrame) -> DataFrame:
+    """Records (name, sequence) as they were before edits (name, start, end, old): the old bases put back, in order."""
+    cuts = noted.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("start", "end", "old"))).alias("cuts"))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
+    whole = F.col("sequence")
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(x["end"].alias("at"), F.concat(acc["text"], S.slice_of(whole, acc["at"], x["start"]), x["old"]).alias("text"))
+
+    back = F.aggregate("cuts", first, step, lambda acc: F.concat(acc["text"], S.slice_of(whole, acc["at"], F.length(whole).cast("long"))))
+    return records.join(cuts, "name", "left").select("name", F.when(F.col("cuts").isNull(), whole).otherwise(back).alias("sequence"))
