@@ -41,8 +41,12 @@ WORDS, PERCENT = 5, 75
 MOST = 32
 #: Sets of a group of the matrix.
 GROUP = 256
+#: Text that is cut into sets at a time.
+PIECE_BYTES = 12 << 20
 #: Text a bucket's tokens come from, about.
 BUCKET_BYTES = 24 << 20
+#: Frequent tokens of a bucket of the matrix: the fewer buckets, the more sets fail in one alone.
+MATRIX_TOKENS = 3_000_000
 #: Independent least hashes by which sets look for their family.
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -107,7 +111,7 @@ _MEMBERS = "doc string, sid long, n long"
 _DEALT = "bucket int, tokens binary, place binary, sids binary, sizes binary"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.Table]:
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     """Batches of about so many bytes of text."""
     held, size = [], 0
     for b in batches:
@@ -123,7 +127,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[
 
 def _member_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _pieces(batches):
+        for table in _pieces(batches, PIECE_BYTES):
             sets = shingle_sets(table["data"].to_pylist(), words)
             yield pa.RecordBatch.from_arrays([table["doc"].combine_chunks(), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc", "sid", "n"])
 
@@ -134,7 +138,7 @@ def _dealer(words: int, buckets: int):
     """Each piece's distinct sets, their tokens dealt to buckets: sorted tokens, and whose they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _pieces(batches, 32 << 20):
+        for table in _pieces(batches, PIECE_BYTES):
             sets = {set_id(s): s for s in shingle_sets(table["data"].to_pylist(), words) if len(s)}
             if not sets:
                 continue
@@ -158,20 +162,31 @@ def _dealer(words: int, buckets: int):
 
 # --- buckets -----------------------------------------------------------------------------------------------------
 
-#: A pair and what it shares in a bucket (a < b), or a set and its frequent tokens there (b null).
-_FOUND = "a long, b long, na long, nb long, shared long, tokens binary"
+#: What a bucket finds, packed, for one part of the sets or pairs: the sets and their sizes, and a line a pair (first,
+#: second and how much they share) or a line a frequent token (whose, and the token).
+_FOUND = "pairs boolean, part int, sids binary, sizes binary, first binary, second binary, value binary"
+_KINDS = (pa.bool_(), pa.int32(), *[pa.binary()] * 5)
 
 
-def _found(a, b, na, nb, shared, tokens) -> pa.Table:
-    n = len(a)
-    none = pa.nulls(n, pa.int64())
-    return pa.table({
-        "a": pa.array(a, pa.int64()), "b": none if b is None else pa.array(b, pa.int64()), "na": pa.array(na, pa.int64()),
-        "nb": none if nb is None else pa.array(nb, pa.int64()), "shared": pa.array(shared, pa.int64()), "tokens": pa.nulls(n, pa.binary()) if tokens is None else pa.array(tokens, pa.binary()),
-    })
+def _part_of(x: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(x.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
-def _bucket(percent: int, most: int):
+def _found(pairs: bool, part: np.ndarray, ids: np.ndarray, size: np.ndarray, first: np.ndarray, second: np.ndarray | None, value: np.ndarray) -> list[tuple]:
+    """A row for each part; first and second are places in ids."""
+    order = np.argsort(part, kind="stable")
+    starts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(part) else []
+    out = []
+    for mine in np.split(order, starts[1:]) if len(part) else []:
+        both = first[mine] if second is None else np.concatenate([first[mine], second[mine]])
+        u, at = np.unique(both, return_inverse=True)
+        at = at.astype(np.int32)
+        n = len(mine)
+        out.append((pairs, int(part[mine[0]]), _planes(ids[u]), _planes(size[u].astype(np.int32)), _planes(at[:n]), b"" if second is None else _planes(at[n:]), _planes(value[mine])))
+    return out
+
+
+def _bucket(percent: int, most: int, parts: int):
     def run(rows: pa.Table) -> pa.Table:
         tokens, sids, sizes = [], [], []
         for r in rows.to_pylist():
@@ -182,12 +197,14 @@ def _bucket(percent: int, most: int):
         token, sid, size = np.concatenate(tokens), np.concatenate(sids), np.concatenate(sizes)
         del tokens, sids, sizes
         order = np.argsort(token, kind="stable")
-        token, sid, size = token[order], sid[order], size[order]
+        token = token[order]
         # tokens of one set end here
         same = np.zeros(len(token) + 1, bool)
         same[1:-1] = token[1:] == token[:-1]
-        keep = same[1:] | same[:-1]
-        token, sid, size = token[keep], sid[keep], size[keep]
+        keep = np.flatnonzero(same[1:] | same[:-1])
+        token, order = token[keep], order[keep]
+        sid, size = sid[order], size[order]
+        del same, keep, order
         ids, first, at = np.unique(sid, return_index=True, return_inverse=True)
         size = size[first].astype(np.int64)
         # a set met in several pieces counts once
@@ -199,19 +216,11 @@ def _bucket(percent: int, most: int):
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
         count = np.diff(np.append(starts, len(token)))
         many = np.repeat(count > most, count)
-        out = []
-        if many.any():
-            t, p = token[many], at[many]
-            order = np.argsort(p, kind="stable")
-            t, p = t[order], p[order]
-            u, s = np.unique(p, return_index=True)
-            out.append(_found(ids[u], None, size[u], None, np.diff(np.append(s, len(p))), [x.tobytes() for x in np.split(t, s[1:])]))
+        out = _found(False, _part_of(ids[at[many]], parts), ids, size, at[many], None, token[many])
         token, at = token[~many], at[~many]
         codes = []
         for d in range(1, most):
-            if d >= len(token):
-                break
-            hit = np.flatnonzero(token[d:] == token[:-d])
+            hit = np.flatnonzero(token[d:] == token[:-d]) if d < len(token) else token[:0]
             if not len(hit):
                 break
             a, b = at[hit], at[hit + d]
@@ -221,14 +230,42 @@ def _bucket(percent: int, most: int):
             codes.append(np.unique(a[near] * len(ids) + b[near], return_counts=True))
         if codes:
             code, back = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
-            shared = np.bincount(back, np.concatenate([n for _, n in codes]), len(code)).astype(np.int64)
+            shared = np.bincount(back, np.concatenate([n for _, n in codes]), len(code)).astype(np.int32)
             a, b = code // len(ids), code % len(ids)
-            out.append(_found(ids[a], ids[b], size[a], size[b], shared, None))
-        return pa.concat_tables(out) if out else _found([], None, [], None, [], None)
+            out += _found(True, _part_of(ids[a] * 3 + ids[b], parts), ids, size, a, b, shared)
+        return pa.table({name: pa.array([r[i] for r in out], k) for i, (name, k) in enumerate(zip(("pairs", "part", "sids", "sizes", "first", "second", "value"), _KINDS, strict=True))})
 
     return run
 
 
+def _summed_pairs(rows: pa.Table) -> pa.Table:
+    """The pairs of one part over all buckets: (a, b, na, nb, shared)."""
+    parts = []
+    for r in rows.to_pylist():
+        sids, sizes = _unplanes(r["sids"], np.int64), _unplanes(r["sizes"], np.int32)
+        a, b = _unplanes(r["first"], np.int32), _unplanes(r["second"], np.int32)
+        parts.append((sids[a], sids[b], sizes[a], sizes[b], _unplanes(r["value"], np.int32)))
+    a, b, na, nb, shared = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    order = np.lexsort((b, a))
+    a, b, na, nb, shared = a[order], b[order], na[order], nb[order], shared[order]
+    starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    total = np.add.reduceat(shared.astype(np.int64), starts)
+    return pa.table({"a": a[starts], "b": b[starts], "na": na[starts].astype(np.int64), "nb": nb[starts].astype(np.int64), "shared": total})
+
+
+def _summed_tokens(rows: pa.Table) -> pa.Table:
+    """The frequent tokens of the sets of one part: (sid, n, h, tokens), the tokens sorted."""
+    parts = []
+    for r in rows.to_pylist():
+        at = _unplanes(r["first"], np.int32)
+        parts.append((_unplanes(r["sids"], np.int64)[at], _unplanes(r["sizes"], np.int32)[at], _unplanes(r["value"], np.uint64)))
+    sid, n, token = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((token, sid))
+    sid, n, token = sid[order], n[order], token[order]
+    starts = np.flatnonzero(np.append(True, sid[1:] != sid[:-1]))
+    return pa.table({"sid": sid[starts], "n": n[starts].astype(np.int64), "h": np.diff(np.append(starts, len(sid))), "tokens": pa.array([x.tobytes() for x in np.split(token, starts[1:])], pa.binary())})
+
+
 def linked(shared: Column, na: Column, nb: Column, percent: int = PERCENT) -> Column:
     return (100 + percent) * shared >= percent * (na + nb)
 
@@ -256,14 +293,18 @@ def _least_hashes(blob: bytes) -> list[int]:
 
 
 def _family_links(hot: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links of sets to the least of those that have a least hash in common with them. hot: (sid, n, tokens)."""
+    """(a, b): links of sets to one of those that have a least hash in common with them. hot: (sid, n, h, tokens).
+
+    The one is that with the smallest share of rare tokens: the origin of a family has none, its edited copies do.
+    """
 
     @F.pandas_udf("array<long>")
     def least(tokens: pd.Series) -> pd.Series:
         return tokens.map(_least_hashes)
 
-    keys = hot.select("sid", F.posexplode(least("tokens")).alias("seed", "key"))
-    heads = keys.groupBy("seed", "key").agg(F.min("sid").alias("head"))
+    rare = (F.col("n") - F.col("h")) / F.col("n")
+    keys = hot.select("sid", rare.alias("rare"), F.posexplode(least("tokens")).alias("seed", "key"))
+    heads = keys.groupBy("seed", "key").agg(F.min(F.struct("rare", "sid")).alias("first")).select("seed", "key", F.col("first.sid").alias("head"))
     pairs = keys.join(heads, ["seed", "key"]).where("sid != head").select("sid", "head").distinct()
     return _compared(pairs.select(F.col("sid").alias("a"), F.col("head").alias("b")), hot, percent)
 
@@ -277,45 +318,61 @@ def _compared(pairs: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
 
 
 def _matrix(percent: int):
-    """Rows (sid, n, family, grp, tokens) of one bucket of tokens: how many tokens a set shares with foreign groups."""
+    """Rows (sid, n, h, family, grp, g_n, g_h, tokens) of one bucket: how many tokens a set shares with foreign groups.
+
+    Two sets that share frequent tokens only share at most as many as the poorer of them has, so the smaller of two
+    linked sets is made of them but for a seventh (at 75 percent): only such sets ask. A group is asked only if its
+    richest member has enough for the sizes (g_n: its smallest member's, g_h: the most frequent tokens of one).
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        got = rows.select(["sid", "family", "grp"]).to_pydict()
+        got = {c: rows[c].to_numpy() for c in ("sid", "n", "h", "g_n", "g_h")}
         parts = [np.frombuffer(x, np.uint64) for x in rows["tokens"].to_pylist()]
         row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         token = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        sid, family = np.array(got["sid"], np.int64), np.unique(np.array(got["family"], np.int64), return_inverse=True)[1]
-        names, group = np.unique(np.array(got["grp"]), return_inverse=True)
-        of = np.zeros(len(names), np.int64)
-        of[group] = family
+        family = np.unique(rows["family"].to_numpy(), return_inverse=True)[1]
+        names, group = np.unique(np.array(rows["grp"].to_pylist()), return_inverse=True)
+        n, h = got["n"], got["h"]
+        asks = (100 + percent) * h >= 2 * percent * n
+        of, g_n, g_h = (np.zeros(len(names), np.int64) for _ in range(3))
+        of[group], g_n[group], g_h[group] = family, got["g_n"], got["g_h"]
         order = np.lexsort((family[row], token))
         token, row = token[order], row[order]
         # tokens of one family tell nothing
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(token))
-        mixed_ = family[row[starts]] != family[row[ends - 1]] if len(token) else np.zeros(0, bool)
+        several = family[row[starts]] != family[row[ends - 1]] if len(token) else np.zeros(0, bool)
         found: list[np.ndarray] = []
         size = 0
-        counts: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        code, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def fold() -> tuple[np.ndarray, np.ndarray]:
-            code, back = np.unique(np.concatenate([counts[0], *found]), return_inverse=True)
-            weight = np.concatenate([counts[1], np.ones(sum(map(len, found)), np.int64)])
-            return code, np.bincount(back, weight, len(code)).astype(np.int64)
+            u, back = np.unique(np.concatenate([code, *found]), return_inverse=True)
+            weight = np.concatenate([count, np.ones(sum(map(len, found)), np.int64)])
+            return u, np.bincount(back, weight, len(u)).astype(np.int64)
 
-        for s, e in zip(starts[mixed_], ends[mixed_], strict=True):
+        for s, e in zip(starts[several], ends[several], strict=True):
             r = row[s:e]
             g = np.unique(group[r])
-            for part in np.array_split(r, len(r) * len(g) // 1_000_000 + 1):
-                a, b = np.repeat(part, len(g)), np.tile(g, len(part))
-                other = family[a] != of[b]
-                found.append(a[other] * len(names) + b[other])
-                size += len(found[-1])
-                if size > 5_000_000:
-                    counts, size = fold(), 0
+            r = r[asks[r]]
+            for part in np.array_split(r, len(r) * len(g) // 500_000 + 1):
+                a, b = part[:, None], g[None, :]
+                near = (family[a] != of[b]) & ((100 + percent) * np.minimum(h[a], g_h[b]) >= percent * (n[a] + g_n[b]))
+                x, y = np.nonzero(near)
+                found.append(part[x] * len(names) + g[y])
+                size += len(x)
+                if size > 1_000_000:
+                    code, count = fold()
+                    size = 0
                     found.clear()
-        code, n = fold()
-        return pa.table({"sid": pa.array(sid[code // len(names)] if len(names) else [], pa.int64()), "grp": pa.array(names[code % len(names)].tolist() if len(names) else [], pa.string()), "shared": pa.array(n, pa.int64())})
+        code, count = fold()
+        place = max(len(names), 1)
+        # a set that misses more than a seventh of itself in one bucket alone is not near
+        z = code // place
+        spare = n - -(-2 * percent * n // (100 + percent))
+        near = np.array([len(p) for p in parts], np.int64)[z] - count <= spare[z]
+        code, count = code[near], count[near]
+        return pa.table({"sid": pa.array(got["sid"][code // place], pa.int64()), "grp": pa.array([str(x) for x in names[code % place]] if len(code) else [], pa.string()), "shared": pa.array(count, pa.int64())})
 
     return run
 
@@ -336,6 +393,9 @@ def _opened(percent: int):
     return run
 
 
+_PLACED = ("bucket", "sid", "n", "h", "family", "grp", "g_n", "g_h", "tokens")
+
+
 def _split_tokens(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,25 +403,27 @@ def _split_tokens(buckets: int):
             for r in b.to_pylist():
                 t = np.frombuffer(r["tokens"], np.uint64)
                 of = t % np.uint64(buckets)
-                rows += [(int(k), r["sid"], r["family"], r["grp"], t[of == k].tobytes()) for k in np.unique(of)]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "sid", "family", "grp", "tokens"])
+                rows += [(int(k), *[r[c] for c in _PLACED[1:-1]], t[of == k].tobytes()) for k in np.unique(of)]
+            kinds = (pa.int32(), *[pa.int64()] * 4, pa.string(), *[pa.int64()] * 2, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(_PLACED))
 
     return run
 
 
-def _cross_family(hot: DataFrame, links: DataFrame, percent: int, group: int, buckets: int) -> DataFrame:
+def _cross_family(hot: DataFrame, links: DataFrame, percent: int, group: int) -> DataFrame:
     """Links between different families: by the matrix of tokens and groups, then inside the groups it leaves."""
     family = components(links)
     placed = hot.join(family.withColumnRenamed("node", "sid"), "sid", "left").withColumn("family", F.coalesce("component", "sid")).drop("component")
     # families are dealt to groups of about half the size allowed, by hash
     sizes = placed.groupBy("family").agg(F.ceil(F.count("*") * 2 / group).alias("parts"))
-    placed = placed.join(sizes, "family").withColumn("grp", F.concat_ws(":", "family", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("string"))).drop("parts")
-    placed = written(placed.select("sid", "n", "tokens", "family", "grp"))
-    dealt = placed.mapInArrow(_split_tokens(buckets), "bucket int, sid long, family long, grp string, tokens binary")
+    placed = placed.join(sizes, "family").withColumn("grp", F.concat_ws(":", "family", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("string")))
+    placed = written(placed.select("sid", "n", "h", "tokens", "family", "grp"))
+    of_group = placed.groupBy("grp").agg(F.min("n").alias("g_n"), F.max("h").alias("g_h"))
+    buckets = 1 + (placed.agg(F.sum("h")).first()[0] or 0) // MATRIX_TOKENS
+    dealt = placed.join(of_group, "grp").mapInArrow(_split_tokens(buckets), "bucket int, sid long, n long, h long, family long, grp string, g_n long, g_h long, tokens binary")
     bound = dealt.groupBy("bucket").applyInArrow(_matrix(percent), "sid long, grp string, shared long").groupBy("sid", "grp").agg(F.sum("shared").alias("shared"))
-    # the overlap with a member is at least the threshold's share of the set
-    asked = bound.join(placed.select("sid", "n", "tokens"), "sid").where(100 * F.col("shared") >= percent * F.col("n")).select(F.col("grp").alias("to"), "sid", "n", "tokens")
+    # the asking set is the smaller one: all but a seventh of it (at 75 percent) is shared with a member
+    asked = bound.join(placed.select("sid", "n", "tokens"), "sid").where((100 + percent) * F.col("shared") >= 2 * percent * F.col("n")).select(F.col("grp").alias("to"), "sid", "n", "tokens")
     salted = asked.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(16)).cast("int"))
     rooms = placed.join(asked.select("to").distinct(), F.col("grp") == F.col("to"), "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     return rooms.groupBy("grp", "salt").cogroup(salted.groupBy("to", "part")).applyInArrow(_opened(percent), "a long, b long")
@@ -379,13 +441,11 @@ def near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
     members = written(given.mapInArrow(_member_rows(words), _MEMBERS))
     buckets = chunk_count(given, "data", bucket_bytes)
     dealt = given.select("data").mapInArrow(_dealer(words, buckets), _DEALT)
-    found = written(dealt.groupBy("bucket").applyInArrow(_bucket(percent, most), _FOUND))
+    found = written(dealt.groupBy("bucket").applyInArrow(_bucket(percent, most, buckets), _FOUND))
 
-    hot = found.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.first("na").alias("n"), F.sum("shared").alias("h"), F.array_sort(F.collect_list("tokens")).alias("parts"))
-    # at most a set's own tokens
-    hot = written(hot.withColumn("tokens", F.aggregate("parts", F.lit(b""), lambda x, y: F.concat(x, y))).drop("parts"))
+    hot = written(found.where("not pairs").groupBy("part").applyInArrow(_summed_tokens, "sid long, n long, h long, tokens binary"))
     light = hot.select("sid", "h")
-    pairs = found.where("b is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"))
+    pairs = found.where("pairs").groupBy("part").applyInArrow(_summed_pairs, "a long, b long, na long, nb long, shared long")
     pairs = pairs.join(light.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a", "left").join(light.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b", "left")
     rest = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
     pairs = written(pairs.where(linked(F.col("shared") + rest, F.col("na"), F.col("nb"), percent)).drop("ha", "hb"))
@@ -396,10 +456,10 @@ def near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
     links = links.unionByName(open_.select("a", "b"))
 
     # sets that may be linked without a rare token in common
-    hot = hot.where(100 * F.col("h") >= percent * F.col("n")).select("sid", "n", "tokens")
+    hot = hot.where(100 * F.col("h") >= percent * F.col("n"))
     if hot.head(1):
         links = written(links.unionByName(_family_links(hot, percent)))
-        links = links.unionByName(_cross_family(hot, links, percent, group, buckets))
+        links = links.unionByName(_cross_family(hot, links, percent, group))
     return members, written(links.distinct())
 
 
