@@ -111,9 +111,15 @@ class Repository:
         if not written:
             raise ValueError("there are no changes")
         op = digest.hexdigest()
-        if any(r["op"] == op for r in self._log):
-            raise ValueError("the operation exists already")
         path, fs = self._path()
+        if any(r["op"] == op for r in self._log):
+            if op in self._chain(self.head):
+                raise ValueError("the operation exists already")
+            # it was reset or is on another branch: it is taken up again
+            self._masked.discard(op)
+            self._heads[self.branch] = op
+            self._save()
+            return op
         to = self.spark._jvm.org.apache.hadoop.fs.Path
         fs.mkdirs(to(f"{self.root}/ops"))
         fs.rename(to(at), to(f"{self.root}/ops/{op}"))
@@ -494,7 +500,7 @@ class Repository:
         g = self.graphs(collection, sample)
         p = self.current_paths(g)
         blocks = self.path_blocks(p).join(p.select("path_id", "bg"), "path_id").select("bg", "path_id", "idx", "node_id", "seq_start", "seq_end", "strand")
-        return writers.gfa_of(self.edges(g), blocks, self.node_texts(), p.select("path_id", F.col("graph").alias("name")), max_size)
+        return writers.gfa_of(self.edges(g), blocks, self.node_texts(), p.select("path_id", "name"), max_size)
 
     def export_gfa(self, path: str, collection: str, sample: str | None = None, max_size: int | None = None) -> None:
         writers.write_lines(self.gfa(collection, sample, max_size).orderBy(F.when(F.col("kind") == "S", 0).when(F.col("kind") == "L", 1).otherwise(2), "value"), path)

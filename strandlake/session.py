@@ -30,17 +30,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """The rows written once and read again, so that a loop's plan does not grow.
+_LOCAL: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below the folder that the cluster names in spark.checkpoint.dir, deleted when the JVM ends.
 
-    They go to the folder that the cluster names in spark.checkpoint.dir; where it is unset, to a local one.
+    Where that setting is empty (one machine, as in tests) a local folder takes its place.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="strandlake-")
-        atexit.register(shutil.rmtree, root, True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="strandlake-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], True)
+        root = _LOCAL[0]
     path = f"{root.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read again, so that a loop's plan does not grow."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1 +1 @@
-
+"""Line formats as streams."""
