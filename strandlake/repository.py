@@ -49,6 +49,8 @@ class Repository:
         self._heads: dict[str, str | None] = {"main": None}
         self._masked: set[str] = set()
         self.branch = "main"
+        #: The default collection and the remote, if they are set.
+        self.settings: dict[str, str] = {}
         self._load()
 
     # --- state -----------------------------------------------------------------------------------------------------
@@ -63,16 +65,28 @@ class Repository:
         if fs.exists(path):
             state = json.loads("".join(r["value"] for r in self.spark.read.option("wholetext", True).text(path.toString()).collect()))
             self._log, self._heads, self._masked, self.branch = state["log"], state["heads"], set(state["masked"]), state["branch"]
+            self.settings = state.get("settings", {})
 
     def _save(self) -> None:
         path, fs = self._path()
         new = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state.{uuid.uuid4().hex}")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"log": self._log, "heads": self._heads, "masked": sorted(self._masked), "branch": self.branch}).encode()))
+        out.write(bytearray(json.dumps({"log": self._log, "heads": self._heads, "masked": sorted(self._masked), "branch": self.branch, "settings": self.settings}).encode()))
         out.close()
         fs.delete(path, False)
         fs.rename(new, path)
 
+    def save(self) -> None:
+        """Writes the state; a new store comes about by it."""
+        self._save()
+
+    def set(self, name: str, value: str) -> None:
+        self.settings[name] = value
+        self._save()
+
+    def branches(self) -> list[str]:
+        return sorted(self._heads)
+
     @property
     def head(self) -> str | None:
         return self._heads[self.branch]
