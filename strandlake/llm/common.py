@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
+import contextlib
+import ctypes
+import gc
 import math
-import os
-import shutil
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.session import materialized
+
+#: Rows written once to the shared folder and read again: lineage ends here.
+written = materialized
+
 #: A word, as the contracts of the corpus operators define it.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -27,32 +31,15 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir.
-
-    Where that is unset (tests on one machine), a local folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    if not root:
-        root = tempfile.mkdtemp(prefix="strandlake-")
-        atexit.register(shutil.rmtree, root, True)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-        root = root if "://" in root or os.path.isabs(root) else os.path.abspath(root)
-    return f"{root.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder and read again: lineage ends here."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def chunk_count(df: DataFrame, text: str, chunk_bytes: int) -> int:
     """Chunks of about chunk_bytes of text that the table makes; at least one."""
     total = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     return max(1, math.ceil(total / chunk_bytes))
+
+
+def release_memory() -> None:
+    """Gives a worker's free memory back to the system, so that idle workers leave it to the others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
