@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,21 @@ def materialized(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context, where their search path does not lead to it."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(here)
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(p and os.path.realpath(p) == os.path.realpath(root) for p in known) or getattr(spark.sparkContext, "_strandlake", False):
+        return
+    folder = tempfile.mkdtemp(prefix="strandlake-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/strandlake.zip", "w") as out:
+        for at, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    out.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), root))
+    spark.sparkContext.addPyFile(f"{folder}/strandlake.zip")
+    spark.sparkContext._strandlake = True
