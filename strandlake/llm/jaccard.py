@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import chunk_count, text_of, written
+from strandlake.llm.common import chunk_count, release_memory, text_of, written
 from strandlake.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -42,9 +42,9 @@ MOST = 32
 #: Sets of a group of the matrix.
 GROUP = 256
 #: Text that is cut into sets at a time.
-PIECE_BYTES = 12 << 20
+PIECE_BYTES = 4 << 20
 #: Text a bucket's tokens come from, about.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 #: Frequent tokens of a bucket of the matrix: the fewer buckets, the more sets fail in one alone.
 MATRIX_TOKENS = 3_000_000
 #: Independent least hashes by which sets look for their family.
@@ -130,6 +130,7 @@ def _member_rows(words: int):
         for table in _pieces(batches, PIECE_BYTES):
             sets = shingle_sets(table["data"].to_pylist(), words)
             yield pa.RecordBatch.from_arrays([table["doc"].combine_chunks(), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc", "sid", "n"])
+        release_memory()
 
     return run
 
@@ -156,6 +157,7 @@ def _dealer(words: int, buckets: int):
                     u, p = np.unique(p, return_inverse=True)
                     row = [b, _planes(t), _planes(p.astype(np.int32)), _planes(sids[u]), _planes(sizes[u].astype(np.int32))]
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "tokens", "place", "sids", "sizes"])
+        release_memory()
 
     return run
 
@@ -188,25 +190,22 @@ def _found(pairs: bool, part: np.ndarray, ids: np.ndarray, size: np.ndarray, fir
 
 def _bucket(percent: int, most: int, parts: int):
     def run(rows: pa.Table) -> pa.Table:
-        tokens, sids, sizes = [], [], []
-        for r in rows.to_pylist():
-            p = _unplanes(r["place"], np.int32)
-            tokens.append(_unplanes(r["tokens"], np.uint64))
-            sids.append(_unplanes(r["sids"], np.int64)[p])
-            sizes.append(_unplanes(r["sizes"], np.int32)[p])
-        token, sid, size = np.concatenate(tokens), np.concatenate(sids), np.concatenate(sizes)
-        del tokens, sids, sizes
+        # sets are numbered over the whole bucket, so that a token carries four bytes of whose it is
+        met = [_unplanes(x, np.int64) for x in rows["sids"].to_pylist()]
+        ids, first, number = np.unique(np.concatenate(met), return_index=True, return_inverse=True)
+        size = np.concatenate([_unplanes(x, np.int32) for x in rows["sizes"].to_pylist()])[first].astype(np.int64)
+        number = np.split(number.astype(np.int32), np.cumsum([len(x) for x in met])[:-1])
+        token = np.concatenate([_unplanes(x.as_py(), np.uint64) for x in rows["tokens"]])
+        at = np.concatenate([own[_unplanes(x.as_py(), np.int32)] for own, x in zip(number, rows["place"], strict=True)])
+        del met, number, rows
         order = np.argsort(token, kind="stable")
         token = token[order]
         # tokens of one set end here
         same = np.zeros(len(token) + 1, bool)
         same[1:-1] = token[1:] == token[:-1]
         keep = np.flatnonzero(same[1:] | same[:-1])
-        token, order = token[keep], order[keep]
-        sid, size = sid[order], size[order]
+        token, at = token[keep], at[order[keep]]
         del same, keep, order
-        ids, first, at = np.unique(sid, return_index=True, return_inverse=True)
-        size = size[first].astype(np.int64)
         # a set met in several pieces counts once
         order = np.lexsort((at, token))
         token, at = token[order], at[order]
@@ -223,7 +222,7 @@ def _bucket(percent: int, most: int, parts: int):
             hit = np.flatnonzero(token[d:] == token[:-d]) if d < len(token) else token[:0]
             if not len(hit):
                 break
-            a, b = at[hit], at[hit + d]
+            a, b = at[hit].astype(np.int64), at[hit + d].astype(np.int64)
             na, nb = size[a], size[b]
             # with these sizes alone, too few can be shared
             near = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
@@ -233,6 +232,8 @@ def _bucket(percent: int, most: int, parts: int):
             shared = np.bincount(back, np.concatenate([n for _, n in codes]), len(code)).astype(np.int32)
             a, b = code // len(ids), code % len(ids)
             out += _found(True, _part_of(ids[a] * 3 + ids[b], parts), ids, size, a, b, shared)
+        del token, at, codes
+        release_memory()
         return pa.table({name: pa.array([r[i] for r in out], k) for i, (name, k) in enumerate(zip(("pairs", "part", "sids", "sizes", "first", "second", "value"), _KINDS, strict=True))})
 
     return run
@@ -372,6 +373,7 @@ def _matrix(percent: int):
         spare = n - -(-2 * percent * n // (100 + percent))
         near = np.array([len(p) for p in parts], np.int64)[z] - count <= spare[z]
         code, count = code[near], count[near]
+        release_memory()
         return pa.table({"sid": pa.array(got["sid"][code // place], pa.int64()), "grp": pa.array([str(x) for x in names[code % place]] if len(code) else [], pa.string()), "shared": pa.array(count, pa.int64())})
 
     return run
