@@ -28,6 +28,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import release_memory
+
 SPACE = "▁"
 #: Words that each worker keeps, in two generations of this size, and the longest that is kept.
 CACHE_WORDS, CACHE_LENGTH = 150_000, 48
@@ -58,6 +60,7 @@ class PieceEncoder:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.length = [len(p) for p in self.text]
+        self.decimal = [str(i) for i in range(n)]
         self.shorter = [next((real[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in real), -1) for p in self.text]
         self.known = re.compile("[" + "".join(map(re.escape, (p for p in self.ids if len(p) == 1))) + "]+|[\\s\\S]")
         self.segments = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -190,14 +193,14 @@ class PieceEncoder:
         """The ids, and the same as decimals joined by commas."""
         if not text:
             return [], ""
-        words, older, out, said = self.words, self.older, [], []
+        words, older, decimal, out, said = self.words, self.older, self.decimal, [], []
         for s in self.segments.findall(SPACE + text.replace(" ", SPACE)):
             found = words.get(s)
             if found is None:
                 found = older.get(s)
                 if found is None:
                     ids = self.word(s)
-                    found = ids, ",".join(map(str, ids))
+                    found = ids, ",".join([decimal[i] for i in ids])
                 if len(s) <= CACHE_LENGTH:
                     if len(words) >= CACHE_WORDS:
                         self.older = older = words
@@ -207,6 +210,11 @@ class PieceEncoder:
             said.append(found[1])
         return out, ",".join(said)
 
+    def forget(self) -> None:
+        """Empties the caches, so that an idle worker holds no more than the model."""
+        self.words, self.older, self.pairs = {}, {}, {}
+        self.edges = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids) if ids else ""
 
@@ -235,8 +243,12 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", digests:
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         use = encoder(model)
-        for texts in batches:
-            yield pd.DataFrame(_rows(use, texts, digests), columns=["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
+        try:
+            for texts in batches:
+                yield pd.DataFrame(_rows(use, texts, digests), columns=["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
+        finally:
+            use.forget()
+            release_memory()
 
     mine = {"_e", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in mine])
