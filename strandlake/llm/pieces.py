@@ -211,9 +211,8 @@ class PieceEncoder:
         return out, ",".join(said)
 
     def forget(self) -> None:
-        """Empties the caches, so that an idle worker holds no more than the model."""
-        self.words, self.older, self.pairs = {}, {}, {}
-        self.edges = {}, {}
+        """Lets the older generation of words go, so that an idle worker holds little more than the model."""
+        self.older = {}
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids) if ids else ""
