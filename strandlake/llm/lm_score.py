@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm import ppm
-from strandlake.llm.common import text_of, written
+from strandlake.llm.common import release_memory, text_of, written
 from strandlake.llm.language import remainder
 
 ORDER = 4
@@ -122,6 +122,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from flush()
     if held:
         yield from flush()
+    release_memory()
 
 
 def _rows(chunk, key, n, blob) -> pa.RecordBatch:
@@ -177,6 +178,9 @@ def _scored(docs: pa.Table, values: pa.Table) -> pa.Table:
             out.append((i, len(values) + 1, len(values) - values.count(0.0), math.fsum(values), x, None, None, None, True))
         out.append((None, None, None, None, None, trained, sum(learn), kinds, False))
         kinds = 0
+        del texts, learn, ids, logs, score, table
+    del total, grams, bits
+    release_memory()
     names = ["doc", "n_tokens", "n_known", "known_log", "score", "chunk_words", "chunk_docs", "chunk_kinds", "is_doc"]
     kind = dict(zip(names, [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()], strict=True))
     return pa.table({n: pa.array([r[i] for r in out], kind[n]) for i, n in enumerate(names)})
