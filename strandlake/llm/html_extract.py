@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,8 +50,6 @@ MAIN_WORDS = frozenset("articlebody".split())
 RANGE_PAGES = 2000
 #: Borders and ends of ranges are broadcast up to this many rows, joined by a shuffle beyond.
 BROADCAST_ROWS = 20_000
-#: An alignment costs time and memory as the product of both lists of lines; beyond this it is done on unique lines.
-LCS_CELLS = 4_000_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -182,47 +181,48 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     # lines of one page alone are in no common subsequence
     x = [(i, s) for i, s in enumerate(a[start : len(a) - end], start) if s in common]
     y = [s for s in b[start : len(b) - end] if s in common]
-    if len(x) * len(y) > LCS_CELLS:
-        return kept | _patience(x, y)
-    rows = [[0] * (len(y) + 1)]
-    for _, s in x:
-        last, row = rows[-1], [0]
-        for j, t in enumerate(y):
-            row.append(last[j] + 1 if s == t else max(last[j + 1], row[j]))
-        rows.append(row)
-    i, j = len(x), len(y)
-    while i and j:
-        if x[i - 1][1] == y[j - 1]:
-            kept.add(x[i - 1][0])
-            i, j = i - 1, j - 1
-        elif rows[i - 1][j] >= rows[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return kept
+    return kept | {x[k][0] for k in _longest([t for _, t in x], y)}
 
 
-def _patience(x: list[tuple[int, str]], y: list[str]) -> set[int]:
-    """The longest common subsequence of the lines that either list has once, in time n log n."""
-    from bisect import bisect_left
-    from collections import Counter
+def _longest(x: list[str], y: list[str]) -> list[int]:
+    """Positions of x in a longest common subsequence with y.
 
-    once = {s for s, c in Counter(s for _, s in x).items() if c == 1} & {s for s, c in Counter(y).items() if c == 1}
-    at = {s: j for j, s in enumerate(y) if s in once}
-    tails: list[int] = []
-    last: list[int] = []
-    back: dict[int, int] = {}
-    for k, (_, s) in enumerate(x):
-        if s not in once:
-            continue
-        p = bisect_left(tails, at[s])
-        tails[p : p + 1] = [at[s]]
-        last[p : p + 1] = [k]
-        back[k] = last[p - 1] if p else -1
-    out, k = set(), last[-1] if last else -1
-    while k >= 0:
-        out.add(x[k][0])
-        k = back[k]
+    A row of the table of lengths is a number whose zero bits are the places of y where the length grows. One row
+    in about sqrt(len(x)) is kept, and the rows between two of them are made again on the way back.
+    """
+    if not x or not y:
+        return []
+    at: dict[str, int] = {}
+    for j, t in enumerate(y):
+        at[t] = at.get(t, 0) | 1 << j
+    full = (1 << len(y)) - 1
+
+    def after(row: int, t: str) -> int:
+        u = row & at.get(t, 0)
+        return (row + u | row - u) & full
+
+    step = isqrt(len(x)) + 1
+    kept, row = [full], full
+    for i, t in enumerate(x, 1):
+        row = after(row, t)
+        if i % step == 0:
+            kept.append(row)
+    out: list[int] = []
+    i, j, base, rows = len(x), len(y), len(x) + 1, []
+    length = len(y) - row.bit_count()
+    while length:
+        if i - 1 < base:
+            base = (i - 1) // step * step
+            rows = [kept[base // step]]
+            for t in x[base : i - 1]:
+                rows.append(after(rows[-1], t))
+        if x[i - 1] == y[j - 1]:
+            out.append(i - 1)
+            i, j, length = i - 1, j - 1, length - 1
+        elif j - (rows[i - 1 - base] & (1 << j) - 1).bit_count() == length:
+            i -= 1
+        else:
+            j -= 1
     return out
 
 

@@ -311,3 +311,10 @@ def test_shared_is_longest():
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         it = iter(b)
         assert len(got) == best[-1][-1] and all(a[i] in it for i in sorted(got))
+
+
+def test_shared_of_long_pages():
+    """Repeated lines of long pages are aligned as those of short ones."""
+    posts = lambda who: [t for i in range(3000) for t in (f"{who} {i}", "Reply", "Share")]
+    a, b = [*posts("x"), "end x"], [*posts("y"), "end y"]
+    assert [a[i] for i in sorted(html_extract.shared(a, b))] == ["Reply", "Share"] * 3000
