@@ -1,27 +1,31 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are ordered by URL path, so that the nearest path is next to a page; each page is compared with
-its neighbours before and after. A page becomes a list of block lines; the lines of the two pages are aligned by
-longest common subsequence, and lines that both have, in the same order, are the site's template and are deleted.
+Pages of a host are ordered by URL path, so that the nearest path is next to a page. A page becomes a list of block
+lines. Neighbours in that order of which one repeats at least ALIKE of the other's characters form a run, and each
+page of a run is compared with the nearest pages outside it, the last of the run before and the first of the run
+after; a host of one run has only its own pages to compare, the nearest of different text. The lines of the two pages
+are aligned by longest common subsequence, and lines that both have, in the same order, are the site's template and
+are deleted.
 
 Structure guides the alignment. Elements that never hold main text (navigation, header, footer, aside, form,
 script and the like, or classes and ids that say so) are cut before it. Where a page declares its main part
 (main, article or the equivalent role), lines outside it are cut too, and prose inside it survives even when a
 neighbour has the same line: two articles may quote the same passage. Lines of links inside it do not.
 
-Neighbours are found inside ranges of (host, path); a range's first and last page also see the page across the
-border, so a hot host is split without changing any result.
+Neighbours are found inside ranges of (host, path); a range also sees the EDGE rows on the other side of its borders.
+A border stands only where the EDGE rows on both its sides hold EDGE_RUNS runs, enough for every page beside it, so a
+hot host is split without changing any result.
 
-Defined cases: null and empty html give an empty text; a null url belongs to the empty host; repeated rows are
-neighbours of each other only if their html differs (else an exact copy would delete the whole page); an empty
-table gives no rows.
+Defined cases: null and empty html give an empty text; a null url belongs to the empty host; repeated rows are of one
+run, so that an exact copy does not delete the whole page; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from math import isqrt
 
 import pandas as pd
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import written
 from strandlake.llm.url_filter import host_of, path_of
 
 # HTML element names by what they hold.
@@ -48,9 +53,16 @@ NOISE = frozenset(
 MAIN_WORDS = frozenset("articlebody".split())
 #: Pages of one task; ranges are made so that each has about this many.
 RANGE_PAGES = 2000
+#: Rows seen beyond a border, and the runs they must hold for the border to stand.
+EDGE, EDGE_RUNS = 16, 6
+#: Share of the longer page's characters that the lines of both make up, from which pages are nearly equal.
+ALIKE = 0.9
 #: Borders and ends of ranges are broadcast up to this many rows, joined by a shuffle beyond.
 BROADCAST_ROWS = 20_000
 
+#: A line of a page: its text, whether it is in a main part, whether it is mostly links.
+Line = tuple[str, bool, bool]
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"[\x20\x09-\x0D\xA0]+")
@@ -76,9 +88,9 @@ def _marks(attrs: str) -> tuple[bool, bool, bool]:
     return noise, main, hidden
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
+def lines_of(page: str) -> list[Line]:
     """The page's block lines outside elements that never hold main text: (line, in a main part, mostly links)."""
-    out: list[tuple[str, bool, bool]] = []
+    out: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []  # element, cuts its content, is a main part
     cut = main = link = 0
     parts: list[str] = []
@@ -226,44 +238,93 @@ def _longest(x: list[str], y: list[str]) -> list[int]:
     return out
 
 
-def main_text(lines: list[tuple[str, bool, bool]], near: list[list[tuple[str, bool, bool]]]) -> str:
-    """The page's lines less those it shares with the pages next to it, by the rules above."""
+def _compared(lines: list[Line], declared: bool) -> list[str]:
+    return [x[0] for x in lines if x[1] or not declared]
+
+
+def alike(a: list[Line], b: list[Line]) -> bool:
+    """Whether two pages are nearly equal: their main parts if both declare one, else all their lines."""
+    if a is b:
+        return True
+    declared = any(m for _, m, _ in a) and any(m for _, m, _ in b)
+    x, y = Counter(_compared(a, declared)), Counter(_compared(b, declared))
+    both = sum(len(s) * n for s, n in (x & y).items())
+    return both >= ALIKE * max(sum(len(s) * n for s, n in c.items()) for c in (x, y))
+
+
+def main_text(lines: list[Line], near: list[list[Line]]) -> str:
+    """The page's lines less those it shares with the pages it is compared with, by the rules above."""
     declared = any(m for _, m, _ in lines)
     mine = [x for x in lines if x[1] or not declared]
     texts = [x[0] for x in mine]
     gone: set[int] = set()
     for other in near:
-        theirs = [x[0] for x in other if x[1] or not declared]
+        theirs = _compared(other, declared)
         if texts != theirs:
             gone |= shared(texts, theirs)
     return "\n\n".join(t for i, (t, m, links) in enumerate(mine) if not (i in gone and (links or not m)))
 
 
+def _runs(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Rows (.., lines last) in runs of nearly equal neighbours; equal neighbours share one list of lines."""
+    run: list[tuple] = []
+    for r in rows:
+        if run and run[-1][:2] == r[:2] and alike(run[-1][-1], r[-1]):
+            run.append((*r[:-1], run[-1][-1]) if run[-1][-1] == r[-1] else r)
+            continue
+        if run:
+            yield run
+        run = [r]
+    if run:
+        yield run
+
+
+def _inside(run: list[tuple]) -> list[list[list[Line]]]:
+    """For a host of one run: the nearest pages of different text before and after each."""
+    out: list[list[list[Line]]] = []
+    for rows in (run, run[::-1]):
+        found, other, last = [], None, None
+        for r in rows:
+            if last is not None and r[-1] is not last:
+                other = last
+            last = r[-1]
+            found.append([] if other is None else [other])
+        out.append(found)
+    return [a + b for a, b in zip(out[0], out[1][::-1], strict=True)]
+
+
 def _kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages of whole ranges, sorted; what crosses from batch to batch is a page before and a page ahead."""
-    rows: list[tuple] = []
+    """Pages of whole ranges, sorted; what crosses from batch to batch is a run before, the run and a run ahead."""
     done: list[tuple] = []
 
-    def emit(before, this, after) -> None:
-        if this is not None and not this[5]:
-            near = [x[4] for x in (before, after) if x is not None and x[0] == this[0] and x[1] == this[1]]
-            done.append((this[2], this[3], main_text(this[4], near)))
-
-    for pdf in batches:
-        for r in zip(pdf["_range"], pdf["_host"], pdf["page_id"], pdf["url"], pdf["html"], pdf["_guest"], strict=True):
-            rows.append((r[0], r[1], r[2], r[3], lines_of(r[4] or ""), r[5]))
-            if len(rows) > 2:
-                emit(*rows)
-                rows.pop(0)
-            elif len(rows) == 2:
-                emit(None, rows[0], rows[1])
-        if done:
+    def rows() -> Iterator[tuple]:
+        for pdf in batches:
+            for r in zip(pdf["_range"], pdf["_host"], pdf["page_id"], pdf["url"], pdf["_guest"], pdf["html"], strict=True):
+                yield (*r[:5], lines_of(r[5] or ""))
+
+    def emit(before, run, after) -> None:
+        same = lambda other: other is not None and other[0][:2] == run[0][:2]
+        near = ([before[-1][-1]] if same(before) else []) + ([after[0][-1]] if same(after) else [])
+        every = [near] * len(run) if near else _inside(run)
+        last = text = None
+        for r, others in zip(run, every, strict=True):
+            if r[4]:
+                continue
+            # equal neighbours share one list of lines, and so the result
+            if text is None or not (near and r[-1] is last):
+                last, text = r[-1], main_text(r[-1], others)
+            done.append((r[2], r[3], text))
+
+    before = run = None
+    for after in _runs(rows()):
+        if run is not None:
+            emit(before, run, after)
+        before, run = run and run[-1:], after
+        if len(done) >= 1000:
             yield pd.DataFrame(done, columns=["page_id", "url", "text"])
             done.clear()
-    if len(rows) == 2:
-        emit(rows[0], rows[1], None)
-    elif rows:
-        emit(None, rows[0], None)
+    if run is not None:
+        emit(before, run, None)
     if done:
         yield pd.DataFrame(done, columns=["page_id", "url", "text"])
 
@@ -282,23 +343,55 @@ def _ranges(pages: DataFrame, range_pages: int) -> DataFrame:
     return found.withColumn("_no", no).drop("_bh", "_cuts")
 
 
-def _visitors(pages: DataFrame) -> DataFrame:
-    """The first and the last page of each range, sent to the range before and the one after."""
-    ends = pages.groupBy(F.col("_key.host").alias("_eh"), F.col("_no").alias("_en")).agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))
+def _edges(pages: DataFrame) -> DataFrame:
+    """The first and the last EDGE rows of each range, with _head: whether they are its first."""
+    def rows(head: bool) -> DataFrame:
+        key = F.col("_key").asc() if head else F.col("_key").desc()
+        row = F.row_number().over(W.partitionBy("_key.host", "_no").orderBy(key))
+        return pages.withColumn("_row", row).where(F.col("_row") <= EDGE).drop("_row").withColumn("_head", F.lit(head))
+
+    return rows(True).unionByName(rows(False))
+
+
+def _enough(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(_eh, _en, _first, _last) of one range: whether its first and its last rows hold EDGE_RUNS runs."""
+    held = []
+    for head in (True, False):
+        found = pdf[pdf["_head"] == head].sort_values("_order", kind="stable")
+        held.append(sum(1 for _ in _runs((None, None, lines_of(x or "")) for x in found["html"])) >= EDGE_RUNS)
+    return pd.DataFrame([(pdf["_eh"].iloc[0], pdf["_en"].iloc[0], *held)], columns=["_eh", "_en", "_first", "_last"])
+
+
+def _groups(edges: DataFrame) -> DataFrame:
+    """(_eh, _en, _group, _stands): ranges joined where the border before them does not stand."""
     row = W.partitionBy("_eh").orderBy("_en")
-    ends = ends.withColumns({"_prev": F.lag("_en").over(row), "_next": F.lead("_en").over(row)}).where("_prev is not null or _next is not null")
-    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
-    met = pages.join(ends, (F.col("_key.host") == F.col("_eh")) & (F.col("_no") == F.col("_en")))
-    goes = F.array(F.when(F.col("_key") == F.col("_lo"), F.col("_prev")), F.when(F.col("_key") == F.col("_hi"), F.col("_next")))
-    return met.withColumn("_no", F.explode(F.filter(goes, lambda x: x.isNotNull()))).select(*pages.columns)
+    order = F.row_number().over(W.partitionBy("_key.host", "_no", "_head").orderBy("_key"))
+    found = edges.select(F.col("_key.host").alias("_eh"), F.col("_no").alias("_en"), "_head", order.alias("_order"), "html")
+    found = found.groupBy("_eh", "_en").applyInPandas(_enough, "_eh string, _en int, _first boolean, _last boolean")
+    found = found.withColumn("_stands", F.coalesce(F.col("_first") & F.lag("_last").over(row), F.lit(False)))
+    return written(found.select("_eh", "_en", "_stands", F.sum(F.col("_stands").cast("int")).over(row).alias("_group")))
+
+
+def _dealt(pages: DataFrame) -> DataFrame:
+    """pages with _no, now the number of their group of ranges, and _guest: rows seen by the group next to theirs."""
+    edges = written(_edges(pages))
+    groups = _groups(edges)
+    hint = F.broadcast if groups.count() <= BROADCAST_ROWS else lambda df: df
+    met = lambda df, to: df.join(hint(to), (F.col("_key.host") == F.col("_eh")) & (F.col("_no") == F.col("_en")), "left")
+    mine = met(pages, groups.select("_eh", "_en", "_group"))
+    heads = met(edges.where("_head"), groups.where("_stands").select("_eh", "_en", (F.col("_group") - 1).alias("_group")))
+    tails = met(edges.where("not _head"), groups.where("_stands").select("_eh", (F.col("_en") - 1).alias("_en"), "_group"))
+    guests = heads.unionByName(tails).where("_group is not null").drop("_head")
+    every = mine.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_guest", F.lit(True)))
+    return every.withColumn("_no", F.coalesce("_group", F.lit(0))).drop("_eh", "_en", "_group")
 
 
 def extract(pages: DataFrame, range_pages: int = RANGE_PAGES) -> DataFrame:
     """(page_id, url, text) for every row of pages (page_id, url, html)."""
     url = F.col("url")
-    key = F.struct(host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(url, F.lit("")).alias("url"), F.col("page_id").cast("string").alias("page"))
-    placed = _ranges(pages.select("page_id", "url", "html", key.alias("_key")), range_pages)
-    every = placed.withColumn("_guest", F.lit(False)).unionByName(_visitors(placed).withColumn("_guest", F.lit(True)))
+    # the html's hash at the end keeps rows that differ in it alone in one order
+    key = F.struct(host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(url, F.lit("")).alias("url"), F.col("page_id").cast("string").alias("page"), F.xxhash64("html").alias("hash"))
+    every = _dealt(_ranges(pages.select("page_id", "url", "html", key.alias("_key")), range_pages))
     every = every.select(F.concat_ws("#", "_key.host", "_no").alias("_range"), F.col("_key.host").alias("_host"), "_key", "_guest", F.col("page_id").cast("string").alias("page_id"), "url", "html")
     dealt = every.repartition("_range").sortWithinPartitions("_range", "_key", "_guest").drop("_key")
     done = dealt.mapInPandas(_kernel, "page_id string, url string, text string")

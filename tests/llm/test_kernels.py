@@ -318,3 +318,21 @@ def test_shared_of_long_pages():
     posts = lambda who: [t for i in range(3000) for t in (f"{who} {i}", "Reply", "Share")]
     a, b = [*posts("x"), "end x"], [*posts("y"), "end y"]
     assert [a[i] for i in sorted(html_extract.shared(a, b))] == ["Reply", "Share"] * 3000
+
+
+def site_page(k, body):
+    own = "".join(f"<p>Story {k} says line {i} of number {k * 7 + i}</p>" for i in range(12))
+    return f"<html><body><div>My site</div>{own}{body}<p>Imprint 2020</p></body></html>"
+
+
+@pytest.mark.parametrize("copies", [1, 3, 60])
+def test_copies_are_no_template(spark, copies):
+    """Copies and near copies side by side are compared with the pages around them, at every place of the borders."""
+    rows = [(100 + i, f"http://x.org/{100 + i}", site_page(i, "")) for i in range(30)]
+    rows += [(130 + i, f"http://x.org/{130 + i}", site_page(99, f"<p>{i % 2}</p>")) for i in range(2 * copies)]
+    rows += [(130 + 2 * copies + i, f"http://x.org/{130 + 2 * copies + i}", site_page(99, "<p>1</p>")) for i in range(copies)]
+    rows += [(400 + i, f"http://x.org/{400 + i}", site_page(200 + i, "")) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {p: "\n\n".join(re.findall(r"<p>((?!Imprint).*?)</p>", h)) for p, _, h in rows}
+    for n in (1, 5, 2000):
+        assert {r["page_id"]: r["text"] for r in html_extract.extract(df, n).collect()} == want
