@@ -9,8 +9,9 @@ are deleted.
 
 Structure guides the alignment. Elements that never hold main text (navigation, header, footer, aside, form,
 script and the like, or classes and ids that say so) are cut before it. Where a page declares its main part
-(main, article or the equivalent role), lines outside it are cut too, and prose inside it survives even when a
-neighbour has the same line: two articles may quote the same passage. Lines of links inside it do not.
+(main, article or the equivalent role), lines outside it are cut too. Lines of links inside it are deleted as any
+other line; prose inside it, which two articles may quote from each other, only if all of the WITNESSES nearest runs
+(fewer in a smaller host, two at least) have it, of which none is nearly equal to the page or to another.
 
 Neighbours are found inside ranges of (host, path); a range also sees the EDGE rows on the other side of its borders.
 A border stands only where the EDGE rows on both its sides hold EDGE_RUNS runs, enough for every page beside it, so a
@@ -24,8 +25,9 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
+from itertools import islice, zip_longest
 from math import isqrt
 
 import pandas as pd
@@ -57,6 +59,8 @@ RANGE_PAGES = 2000
 EDGE, EDGE_RUNS = 16, 6
 #: Share of the longer page's characters that the lines of both make up, from which pages are nearly equal.
 ALIKE = 0.9
+#: Nearest runs that must all have a line of prose of the main part before it is template.
+WITNESSES = 4
 #: Borders and ends of ranges are broadcast up to this many rows, joined by a shuffle beyond.
 BROADCAST_ROWS = 20_000
 
@@ -252,7 +256,15 @@ def alike(a: list[Line], b: list[Line]) -> bool:
     return both >= ALIKE * max(sum(len(s) * n for s, n in c.items()) for c in (x, y))
 
 
-def main_text(lines: list[Line], near: list[list[Line]]) -> str:
+def _common(texts: list[str], near: list[list[str]]) -> set[int]:
+    """Positions of the lines that the page shares with all of the others."""
+    found = set(texts).intersection(*near)
+    if not found:
+        return set()
+    return set.intersection(*[shared(texts, x) for x in near])
+
+
+def main_text(lines: list[Line], near: list[list[Line]], around: list[list[Line]] = ()) -> str:
     """The page's lines less those it shares with the pages it is compared with, by the rules above."""
     declared = any(m for _, m, _ in lines)
     mine = [x for x in lines if x[1] or not declared]
@@ -262,7 +274,15 @@ def main_text(lines: list[Line], near: list[list[Line]]) -> str:
         theirs = _compared(other, declared)
         if texts != theirs:
             gone |= shared(texts, theirs)
-    return "\n\n".join(t for i, (t, m, links) in enumerate(mine) if not (i in gone and (links or not m)))
+    prose: set[int] = set()
+    if declared:
+        seen = [lines]
+        for other in around:
+            if any(m for _, m, _ in other) and not any(alike(other, x) for x in seen):
+                seen.append(other)
+        if len(seen) > 2:
+            prose = _common(texts, [_compared(x, True) for x in seen[1:]])
+    return "\n\n".join(t for i, (t, m, links) in enumerate(mine) if not (i in prose or i in gone and (links or not m)))
 
 
 def _runs(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
@@ -294,7 +314,7 @@ def _inside(run: list[tuple]) -> list[list[list[Line]]]:
 
 
 def _kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages of whole ranges, sorted; what crosses from batch to batch is a run before, the run and a run ahead."""
+    """Pages of whole ranges, sorted; what crosses from batch to batch is the last pages of runs before, and runs ahead."""
     done: list[tuple] = []
 
     def rows() -> Iterator[tuple]:
@@ -302,9 +322,10 @@ def _kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for r in zip(pdf["_range"], pdf["_host"], pdf["page_id"], pdf["url"], pdf["_guest"], pdf["html"], strict=True):
                 yield (*r[:5], lines_of(r[5] or ""))
 
-    def emit(before, run, after) -> None:
-        same = lambda other: other is not None and other[0][:2] == run[0][:2]
-        near = ([before[-1][-1]] if same(before) else []) + ([after[0][-1]] if same(after) else [])
+    def emit(before: list[list[Line]], run: list[tuple], after: list[list[Line]]) -> None:
+        near = [*before[:1], *after[:1]]
+        # the nearest on both sides in turn; where one side ends, more of the other
+        around = [x for pair in zip_longest(before, after) for x in pair if x is not None][:WITNESSES]
         every = [near] * len(run) if near else _inside(run)
         last = text = None
         for r, others in zip(run, every, strict=True):
@@ -312,19 +333,27 @@ def _kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             # equal neighbours share one list of lines, and so the result
             if text is None or not (near and r[-1] is last):
-                last, text = r[-1], main_text(r[-1], others)
+                last, text = r[-1], main_text(r[-1], others, around)
             done.append((r[2], r[3], text))
 
-    before = run = None
-    for after in _runs(rows()):
-        if run is not None:
-            emit(before, run, after)
-        before, run = run and run[-1:], after
+    before: deque[tuple] = deque(maxlen=WITNESSES)
+    ahead: deque[list[tuple]] = deque()
+
+    def settle() -> None:
+        run = ahead.popleft()
+        same = lambda r: r[:2] == run[0][:2]
+        emit([r[-1] for r in reversed(before) if same(r)], run, [x[0][-1] for x in islice(ahead, WITNESSES) if same(x[0])])
+        before.append(run[-1])
+
+    for run in _runs(rows()):
+        ahead.append(run)
+        if len(ahead) > WITNESSES:
+            settle()
         if len(done) >= 1000:
             yield pd.DataFrame(done, columns=["page_id", "url", "text"])
             done.clear()
-    if run is not None:
-        emit(before, run, None)
+    while ahead:
+        settle()
     if done:
         yield pd.DataFrame(done, columns=["page_id", "url", "text"])
 

@@ -336,3 +336,14 @@ def test_copies_are_no_template(spark, copies):
     want = {p: "\n\n".join(re.findall(r"<p>((?!Imprint).*?)</p>", h)) for p, _, h in rows}
     for n in (1, 5, 2000):
         assert {r["page_id"]: r["text"] for r in html_extract.extract(df, n).collect()} == want
+
+
+def test_template_inside_the_main_part(spark):
+    """What every page of a host repeats in its article is template; what a few quote is not."""
+    page = lambda k, more: "<article>" + "".join(f"<p>Story {k} says line {i} of number {k * 7 + i}</p>" for i in range(12)) + f"{more}<p>We may earn money by links.</p></article>"
+    rows = [(k, f"http://x.org/{100 + k}", page(k, "<p>A quoted passage.</p>" if k in (0, 1, 20, 21, 22, 39) else "")) for k in range(40)]
+    rows += [(50, "http://y.org/1", page(50, "")), (51, "http://y.org/2", page(51, ""))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {p: "\n\n".join(x for x in re.findall(r"<p>(.*?)</p>", h) if p >= 50 or not x.startswith("We may")) for p, _, h in rows}
+    for n in (4, 2000):
+        assert {r["page_id"]: r["text"] for r in html_extract.extract(df, n).collect()} == want
