@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import math
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,33 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
+def sheltered(docs: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """docs with its columns under names that no operator uses, and what finds them by their own names."""
+    names = {c.lower(): f"_in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), lambda c: F.col(names[c.lower()])
+
+
+def kept_names(columns: list[str], results: list[str]) -> list[str]:
+    """Names of a table's columns beside results: one that a result needs becomes <name>_given."""
+    taken = {c.lower() for c in [*columns, *results]}
+    out = []
+    for c in columns:
+        new = c
+        if c.lower() in {r.lower() for r in results}:
+            while new.lower() in taken:
+                new += "_given"
+            taken.add(new.lower())
+        out.append(new)
+    return out
+
+
+def restored(df: DataFrame, columns: list[str], results: list[str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """The sheltered columns under their own names (see kept_names), but for those to drop, then the results."""
+    gone = {d.lower() for d in drop}
+    names = kept_names(columns, results)
+    return df.select(*[F.col(f"_in{i}").alias(new) for i, (c, new) in enumerate(zip(columns, names, strict=True)) if c.lower() not in gone], *results)
+
+
 def chunk_count(df: DataFrame, text: str, chunk_bytes: int) -> int:
     """Chunks of about chunk_bytes of text that the table makes; at least one."""
     total = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

@@ -6,12 +6,14 @@ automaton gives the longest piece at each position, a piece is accepted if it is
 shorter pieces are tried otherwise, and a bitfield marks positions from which no split goes on.
 
 No piece of the model joins a space to the end of a word, so the words are encoded apart, and a bounded cache
-keeps those that come again. Characters without a piece become byte pieces. Where several spaces stand together,
-whose pieces all have the same score, the merges are run as they are (highest score first, then leftmost).
-
-Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows are each encoded; an
-empty table gives no rows; a text that is one long word is encoded in time linear in its length, but for the rare
-backtracking.
+keeps the ids and the decoded text of those that come again. Characters without a piece become byte pieces, which the
+library decodes; other pieces decode to what they spell. Pieces of equal score, such as runs of spaces, are merged
+leftmost first, and the compatibility test knows that.
+
+Defined cases: null and empty texts have no ids and decode to the empty text; rows that repeat are each encoded, and
+no result depends on another row, so there are no ties; a column that has the name of a result is kept as
+<name>_given; an empty table gives no rows; a very long text is encoded whole, also one that is a single word, in
+time linear in its length but for the rare backtracking.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import release_memory
+from strandlake.llm.common import release_memory, restored, sheltered, text_of
 
 SPACE = "▁"
 #: Words that each worker keeps, in two generations of this size, and the longest that is kept.
-CACHE_WORDS, CACHE_LENGTH = 150_000, 48
+CACHE_WORDS, CACHE_LENGTH = 200_000, 48
 CACHE_PAIRS = 500_000
 
 
@@ -60,15 +62,20 @@ class PieceEncoder:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.length = [len(p) for p in self.text]
+        self.reach = max(map(len, real))
         self.decimal = [str(i) for i in range(n)]
         self.shorter = [next((real[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in real), -1) for p in self.text]
-        self.known = re.compile("[" + "".join(map(re.escape, (p for p in self.ids if len(p) == 1))) + "]+|[\\s\\S]")
+        alone = [p for p in self.ids if len(p) == 1]
+        self.known = re.compile("[" + "".join(map(re.escape, alone)) + "]+|[\\s\\S]")
+        self.plain = re.compile(f"{SPACE}?[" + "".join(map(re.escape, (p for p in alone if p not in (SPACE, "\n")))) + "]+")
+        self.fallback = {*special, *self.bytes_}
+        self.first = next(i for p, i in sorted(self.ids.items()) if len(p) == 1 and p.isalpha())
         self.segments = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.joined = {a << 20 | b: self.score[i] for p, i in self.ids.items() for k in range(1, len(p)) if (a := real.get(p[:k])) is not None and (b := real.get(p[k:])) is not None}
         self.edges: tuple[dict[int, list], dict[int, list]] = {}, {}
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.units: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def merge(self, s: str, whole: int = -1) -> list[int]:
         """The encoding by its definition: join the neighbours whose piece has the highest score, leftmost first.
@@ -149,74 +156,101 @@ class PieceEncoder:
                 return True
 
     def backtrack(self, s: str) -> list[int]:
-        """The encoding of a text of known characters, no two spaces in a row."""
-        n = len(s)
-        longest, best = [-1] * n, [0] * n
-        for end, (size, i) in self.automaton.iter(s):
-            if size > best[at := end + 1 - size]:
-                best[at], longest[at] = size, i
-        length, shorter, compatible = self.length, self.shorter, self.compatible
-        failed = bytearray((n >> 3) + 1)
+        """The encoding of a text of known characters."""
+        pairs, compatible, longest = self.pairs, self.compatible, self.automaton.iter_long
         out: list[int] = []
-        pos, token = 0, longest[0]
+        # the longest piece at each position in turn, as long as it is compatible with the last one
+        last = -1
+        for end, (size, token) in longest(s):
+            if last >= 0:
+                fits = pairs.get(last << 20 | token)
+                if not (compatible(last, token) if fits is None else fits):
+                    break
+            out.append(token)
+            last = token
+        else:
+            return out
+        length, shorter, reach, n = self.length, self.shorter, self.reach, len(s)
+        failed = bytearray((n >> 3) + 1)
+        pos, token = end + 1 - size, shorter[token]
         while pos < n or token >= 0:
-            last = out[-1] if out else -1
-            while True:
+            if token >= 0:
                 end = pos + length[token]
-                if not failed[end >> 3] >> (end & 7) & 1 and (last < 0 or compatible(last, token)):
+                if not failed[end >> 3] >> (end & 7) & 1 and (not out or compatible(out[-1], token)):
                     out.append(token)
                     pos = end
-                    token = longest[end] if end < n else -1
-                    break
-                if (less := shorter[token]) >= 0:
-                    token = less
-                    continue
+                    token = next(longest(s[end : end + reach]))[1][1] if end < n else -1
+                else:
+                    token = shorter[token]
+            else:
+                # nothing goes on from here: the piece before must be another one
                 failed[pos >> 3] |= 1 << (pos & 7)
                 token = out.pop()
                 pos -= length[token]
-                break
+                token = shorter[token]
         return out
 
-    def word(self, s: str) -> tuple[int, ...]:
+    def word(self, s: str) -> list[int]:
         """The ids of one segment."""
         out: list[int] = []
         for part in self.known.findall(s):
             if part[0] not in self.ids:
                 out.extend(self.bytes_[b] for b in part.encode("utf-8", "replace"))
-            elif part.startswith(SPACE * 2):
-                out.extend(self.merge(part))
             else:
                 out.extend(self.backtrack(part))
-        return tuple(out)
+        return out
+
+    def spelled(self, s: str) -> tuple[str, str]:
+        """The ids, as decimals joined by commas, of some whole segments, and the text that they decode to."""
+        decimal, text = self.decimal, self.text
+        if self.plain.fullmatch(s):
+            ids = self.backtrack(s)
+        else:
+            ids = [i for x in self.segments.findall(s) for i in self.word(x)]
+            if not self.fallback.isdisjoint(ids):
+                # the library drops a space that comes first: another piece stands before
+                return ",".join([decimal[i] for i in ids]), self.lib.decode([self.first, *ids])[len(text[self.first]) :]
+        return ",".join([decimal[i] for i in ids]), "".join([text[i] for i in ids]).replace(SPACE, " ")
+
+    def look_up(self, unit: str) -> tuple[str, str]:
+        """What a unit gives: a word with the space before it, or a line feed and the word that it stands before."""
+        found = self.older.get(unit)
+        if found is None:
+            found = self.spelled(unit if unit[0] == "\n" else SPACE + unit)
+        if len(unit) <= CACHE_LENGTH:
+            if len(self.units) >= CACHE_WORDS:
+                self.older, self.units = self.units, {}
+            self.units[unit] = found
+        return found
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """The ids, and the same as decimals joined by commas."""
+        said, _ = self.coded(text)
+        return list(map(int, said.split(","))) if said else [], said
+
+    def coded(self, text: str) -> tuple[str, str]:
+        """The ids as decimals joined by commas, and the text that they decode to."""
         if not text:
-            return [], ""
-        words, older, decimal, out, said = self.words, self.older, self.decimal, [], []
-        for s in self.segments.findall(SPACE + text.replace(" ", SPACE)):
-            found = words.get(s)
-            if found is None:
-                found = older.get(s)
-                if found is None:
-                    ids = self.word(s)
-                    found = ids, ",".join([decimal[i] for i in ids])
-                if len(s) <= CACHE_LENGTH:
-                    if len(words) >= CACHE_WORDS:
-                        self.older = older = words
-                        self.words = words = {}
-                    words[s] = found
-            out += found[0]
-            said.append(found[1])
-        return out, ",".join(said)
+            return "", ""
+        if text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text or SPACE in text:
+            said, decoded = [], []
+            for s in self.segments.findall(SPACE + text.replace(" ", SPACE)):
+                a, b = self.look_up(s[1:]) if s[0] == SPACE and len(s) > 1 and s[1] != SPACE else self.spelled(s)
+                said.append(a)
+                decoded.append(b)
+        else:
+            units = text.replace("\n", " \n").split(" ")
+            found = list(map(self.units.get, units))
+            if None in found:
+                found = [self.look_up(u) if x is None else x for u, x in zip(units, found, strict=True)]
+            said, decoded = [x[0] for x in found], [x[1] for x in found]
+        # the library puts a space before the text, and takes it away again
+        return ",".join(said), "".join(decoded)[1:]
 
     def forget(self) -> None:
-        """Lets the older generation of words go, so that an idle worker holds little more than the model."""
+        """Lets the older generation of units go, so that an idle worker holds little more than the model."""
         self.older = {}
 
-    def decode(self, ids: list[int]) -> str:
-        return self.lib.decode(ids) if ids else ""
-
 
 _LOADED: dict[str, PieceEncoder] = {}
 
@@ -231,7 +265,7 @@ def encoder(model: bytes) -> PieceEncoder:
 
 
 def encode_texts(docs: DataFrame, model_path: str, text: str = "text", digests: bool = False) -> DataFrame:
-    """docs with ids (array<int>), n_tokens and decoded (string).
+    """docs with n_tokens, ids (array<int>) and decoded (string); a column that has such a name becomes <name>_given.
 
     digests: instead of ids and decoded, their ids_sha256 and decoded_sha256, made where the ids are.
     The model is read on the driver and travels with the task, a file of a few hundred kB.
@@ -249,19 +283,19 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", digests:
             use.forget()
             release_memory()
 
-    mine = {"_e", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in mine])
-    return docs.withColumn("_e", run(F.coalesce(F.col(text), F.lit("")))).select(*docs.columns, "_e.*")
+    inner, col = sheltered(docs)
+    results = ["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
+    return restored(inner.withColumn("_e", run(text_of(col(text)))).select(*inner.columns, "_e.*"), docs.columns, results)
 
 
 def _rows(use: PieceEncoder, texts: Iterable[str], digests: bool) -> list[tuple]:
     out = []
     for t in texts:
-        ids, said = use.encode(t)
-        decoded = use.decode(ids)
+        said, decoded = use.coded(t)
         if digests:
-            out.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+            out.append((said.count(",") + 1 if said else 0, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         else:
+            ids = list(map(int, said.split(","))) if said else []
             out.append((len(ids), ids, decoded))
     return out
 
