@@ -1,79 +1,97 @@
 """Document fingerprints by I-Match over several randomised lexicons.
 
 The lexicon keeps the words whose inverse document frequency lies in a band: ln(N / df) / ln(N) between LOW and
-HIGH, df counted over all documents. Each of the RATES has LEXICONS random sub-lexicons, to which a word belongs
-by its hash; a document's distinct words of a sub-lexicon, sorted, hash to one signature. Equal texts have equal
-fingerprints; the likeness of two fingerprints is the share of equal signatures among the sub-lexicons in which
-either document has a word. Sparse sub-lexicons still agree when half of a text was replaced, dense ones only for
-near copies, so the share falls off gradually.
-
-A word's sub-lexicons follow from its hash, so words of none are left out from the start.
-
-A document's edited text takes its tail from the next document (descending doc_id), so documents are dealt to
-ranges of doc_id, as compressed blocks; each range also receives the one document that follows it. A range keeps
-its documents' words as numbers into its own list of words, counts are summed by word, and only the words in the
-band go back to the ranges that have them.
-
-Defined cases: a null text is empty; a document without words in the lexicon has empty signatures, and the
-likeness of two such is 1 if their texts are equal, else 0; rows that repeat a doc_id follow each other by text; a
-null doc_id comes last; a table of one row is its own next document; an empty table gives no rows.
+HIGH, df counted over all documents. LEXICONS gives random sub-lexicons of several densities, to which a word
+belongs by its hash; a document's distinct words of a sub-lexicon, sorted, hash to one signature. One more signature,
+the first, hashes all distinct words, so that documents of few words differ too. Equal texts have equal fingerprints;
+the likeness of two fingerprints is the share of equal signatures among those that either document has. Sparse
+sub-lexicons still agree when half of a text was replaced, dense ones only for near copies, so the share falls off
+gradually. A word's sub-lexicons follow from its hash, so words of none are left out from the start.
+
+A document's edited text takes its tail from the next document (descending doc_id). So the texts, compressed one by
+one, are sorted by ranges of doc_id; a task reads its range as a stream and cuts it into units of UNIT_BYTES. The last
+document of a range meets the first of the next range in a second, small step. A unit keeps its documents' words as
+numbers into its own list of words, which goes in pieces to buckets of the words' hashes; a bucket sums the counts
+and answers each unit which of its words are in the band.
+
+Defined cases: a null text is empty; a document without words has an empty fingerprint (all zero), and the likeness
+of two such is 1 if their texts are equal, else 0; rows that repeat a doc_id, null ids too, follow each other by the
+hash of their text, and may lie in several ranges; a null doc_id comes last; a table of one row is its own next
+document; other columns are not looked at, whatever their names; an empty table gives no rows; a very long text is a
+unit of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import text_of, written
-from strandlake.llm.jaccard import mixed
+from strandlake.llm.common import release_memory, text_of, written
+from strandlake.llm.jaccard import _planes, _unplanes, mixed
 
 LOW, HIGH = 0.1, 0.9
-#: A word is in a sub-lexicon of rate r with the chance 1 / r.
-RATES, LEXICONS = (32, 128, 512, 2048), 8
-#: Documents of a range, about, unless that makes more than MAX_RANGES: the borders, 16 MB at most, are on the driver.
-RANGE_DOCS, MAX_RANGES = 6000, 1_000_000
-DOCS, WORDS = 0, 1
+#: (rate, sub-lexicons): a word is in a sub-lexicon of that rate with the chance 1 / rate.
+LEXICONS = ((8, 1), (32, 5), (128, 12), (512, 22), (2048, 23))
+RATES = [rate for rate, n in LEXICONS for _ in range(n)]
+#: Signatures of a fingerprint.
+SIGNATURES = 1 + len(RATES)
+#: Text of a unit, of a range, and of the words of a bucket, about.
+UNIT_BYTES, RANGE_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20, 16 << 20
+#: Ranges at most: a range is a stream, so a longer one only means fewer tasks.
+MOST_RANGES = 50_000
+#: Rows of the store: a unit's documents, a piece of its words, the first and the last document of a range.
+DOCS, WORDS, HEAD, TAIL = range(4)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_STORE = "kind int, unit long, bucket int, doc long, a binary, b binary"
 
 
-def subsets(words: np.ndarray) -> np.ndarray:
-    """Which sub-lexicons each word (by hash) belongs to, as bits."""
-    out = np.zeros(len(words), np.int64)
-    for j in range(len(RATES) * LEXICONS):
-        seed = np.uint64((j + 1) * int(_STEP) & (1 << 64) - 1)
-        out |= (mixed(words ^ seed) % np.uint64(RATES[j // LEXICONS]) == 0).astype(np.int64) << j
-    return out
+def memberships(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a word, sub-lexicon) of all memberships of words (hashes), by word."""
+    at, of = [], []
+    for j, rate in enumerate(RATES):
+        mine = np.flatnonzero(mixed(words ^ np.uint64((j + 1) * int(_STEP) & (1 << 64) - 1)) % np.uint64(rate) == 0)
+        at.append(mine)
+        of.append(np.full(len(mine), j, np.int32))
+    at_, of_ = np.concatenate(at), np.concatenate(of)
+    order = np.argsort(at_, kind="stable")
+    return at_[order], of_[order]
 
 
 def signatures(doc: np.ndarray, words: np.ndarray, docs: int) -> np.ndarray:
     """A row a document, a column a sub-lexicon: the hash of the sorted distinct words that belong to it; 0 if none.
 
-    doc, words: the documents' words, as hashes.
+    doc, words: the documents' distinct words in the band, as hashes.
     """
-    order = np.lexsort((words, doc))
-    doc, words = doc[order], words[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (words[1:] != words[:-1])
-    doc, words = doc[new], words[new]
-    bits = subsets(words)
-    out = np.zeros((docs, len(RATES) * LEXICONS), np.uint32)
-    for j in range(out.shape[1]):
-        mine = np.flatnonzero(bits >> j & 1)
-        if not len(mine):
-            continue
-        d = doc[mine]
-        starts = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        place = np.arange(len(d)) - np.repeat(starts, np.diff(np.append(starts, len(d))))
-        listed = np.add.reduceat(mixed(words[mine] ^ (place.astype(np.uint64) + np.uint64(1)) * _STEP), starts)
-        out[d[starts], j] = np.maximum(mixed(listed).astype(np.uint32), 1)
+    out = np.zeros((docs, len(RATES)), np.uint32)
+    known, back = np.unique(words, return_inverse=True)
+    at, of = memberships(known)
+    n = np.bincount(at, minlength=len(known))
+    first = np.cumsum(n) - n
+    # every (document, word) as often as the word has sub-lexicons
+    times = n[back]
+    row = np.repeat(np.arange(len(words)), times)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    place = doc[row].astype(np.int64) * len(RATES) + of[first[back[row]] + nth]
+    order = np.lexsort((back[row], place))
+    place, word = place[order], known[back[row][order]]
+    if not len(place):
+        return out
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    rank = np.arange(len(place)) - np.repeat(starts, np.diff(np.append(starts, len(place))))
+    listed = np.add.reduceat(mixed(word ^ (rank.astype(np.uint64) + np.uint64(1)) * _STEP), starts)
+    out.ravel()[place[starts]] = np.maximum(mixed(listed).astype(np.uint32), 1)
     return out
 
 
@@ -94,164 +112,258 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def in_order(rows: list[tuple]) -> list[tuple]:
-    """(doc, text) by descending doc, nulls last, then by text."""
-    rows = sorted(rows, key=lambda r: r[1])
-    return sorted((r for r in rows if r[0] is not None), key=lambda r: r[0], reverse=True) + [r for r in rows if r[0] is None]
-
+# --- order -------------------------------------------------------------------------------------------------------
 
-def _packed(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        for at in range(0, b.num_rows, 1000):
+            some = b.slice(at, 1000)
+            texts = some["data"].to_pylist()
+            ties = [xxhash.xxh3_128_digest(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([some["doc"], pa.array(ties, pa.binary()), pa.array(map(pack, texts), pa.binary())], names=["doc", "tie", "data"])
 
-def _unpacked(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "unit", "bucket", "doc", "a", "b"])
 
-def _range_of(cuts: np.ndarray, docs: pa.ChunkedArray) -> np.ndarray:
-    """0 for null, else 1 and the number of borders up to the doc."""
-    known = docs.fill_null(0).to_numpy(zero_copy_only=False)
-    return np.where(docs.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(cuts, known, "right") + 1)
 
-
-def _heads(cuts: np.ndarray):
-    """The largest doc of each range."""
+def _cut(buckets: int):
+    """A range in order, as units; its last document waits for the next range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, int | None] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
+        part, no, size = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[int | None, bytes]] = []
+        blob = None
+
+        def unit() -> Iterator[pa.RecordBatch]:
+            nonlocal held, no, size
+            n = len(held) - 1
+            rows = _unit(part << 32 | no, [d for d, _ in held[:n]], [t for _, t in held], np.arange(n), np.arange(1, n + 1), buckets)
+            held, size, no = held[n:], 0, no + 1
+            yield _rows(rows)
+
         for b in batches:
-            for r, d in zip(_range_of(cuts, b["doc"]).tolist(), b["doc"].to_pylist(), strict=True):
-                best[r] = d if best.get(r) is None else max(best[r], d)
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], names=["range", "head"])
+            for doc, z in zip(b["doc"].to_pylist(), b["data"].to_pylist(), strict=True):
+                if blob is None:
+                    yield _rows([(HEAD, part, None, None, z, None)])
+                blob = z
+                held.append((doc, unpack(z)))
+                size += len(held[-1][1])
+                if size >= UNIT_BYTES and len(held) > 1:
+                    yield from unit()
+        if len(held) > 1:
+            yield from unit()
+        if held:
+            yield _rows([(TAIL, part, None, held[0][0], blob, None)])
+        held.clear()
+        release_memory()
 
     return run
 
 
-def _dealer(cuts: np.ndarray, guests: dict[int | None, int]):
-    """Blocks of documents for their ranges; a range's head also visits the range that it follows."""
+def _last(buckets: int):
+    """Units of single documents with the one that follows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        part, no = TaskContext.get().partitionId(), 0
         for b in batches:
-            for at in range(0, b.num_rows, 2500):
-                piece = pa.table(b.slice(at, 2500))
-                of = _range_of(cuts, piece["doc"])
-                goes: dict[tuple[int, bool], list[int]] = {}
-                for k, (r, d) in enumerate(zip(of.tolist(), piece["doc"].to_pylist(), strict=True)):
-                    goes.setdefault((r, False), []).append(k)
-                    if d in guests:
-                        goes.setdefault((guests[d], True), []).append(k)
-                for (r, guest), rows in goes.items():
-                    block = _packed(piece.take(pa.array(rows)))
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([guest]), pa.array([block], pa.binary())], names=["range", "guest", "block"])
+            docs, own, after = (b[c].to_pylist() for c in ("doc", "own", "after"))
+            for at in range(0, len(docs), 100):
+                n = len(docs[at : at + 100])
+                texts = [unpack(z) for z in (*own[at : at + n], *after[at : at + n])]
+                yield _rows(_unit(1 << 62 | part << 32 | no, docs[at : at + n], texts, np.arange(n), np.arange(n, 2 * n), buckets))
+                no += 1
+        release_memory()
 
     return run
 
 
-def _counted(rows: pa.Table) -> pa.Table:
-    """A range's documents with their words as numbers, and its words with how many of its documents have them."""
-    own: list[tuple] = []
-    guests: list[tuple] = []
-    for r in rows.to_pylist():
-        t = _unpacked(r["block"])
-        (guests if r["guest"] else own).extend(zip(t["doc"].to_pylist(), t["text"].to_pylist(), strict=True))
-    if not own:
-        return _kept([], [], [], [], [])
-    own, guests = in_order(own), in_order(guests)
-    texts = [t for _, t in own] + [(guests or own)[0][1]]
-    after = texts[1:]
-    number: dict[bytes, int] = {}
-    df: Counter = Counter()
+# --- units -------------------------------------------------------------------------------------------------------
 
-    def listed(text: str, count: bool) -> np.ndarray:
-        mine = {number.setdefault(w, len(number)) for w in text.encode("utf-8", "replace").lower().split()}
-        if count:
-            df.update(mine)
-        return np.fromiter(mine, np.int32, len(mine))
-
-    words = [listed(t, i < len(own)) for i, t in enumerate(texts)]
-    changed, sha, same = [], [], []
-    for (_, t), x in zip(own, after, strict=True):
-        e = edited(t, x)
-        changed.append(listed(e, False))
-        sha.append(hashlib.sha256(e.encode("utf-8", "replace")).hexdigest())
-        same.append(e == t)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
-    told = subsets(hashes) != 0
-    new = np.cumsum(told) - 1
 
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        return pa.array([np.sort(new[p[told[p]]]).astype(np.int32) for p in parts], pa.list_(pa.int32()))
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(list, value) of all values."""
+    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists) if lists else np.zeros(0, np.int64)
+
 
-    n = len(own)
-    info = pa.table({
-        "doc": pa.array([d for d, _ in own] + [None], pa.int64()), "n_chars": pa.array([len(t) for _, t in own] + [0], pa.int64()), "sha": pa.array(sha + [""]),
-        "same": pa.array(same + [False]), "again": pa.array([a == t for (_, t), a in zip(own, after, strict=True)] + [False]),
-        "words": lists(words), "changed": lists(changed + [np.zeros(0, np.int32)]),
-    })
-    keys = hashes[told]
-    counts = np.fromiter((df.get(int(i), 0) for i in np.flatnonzero(told)), np.int64, len(keys))
-    at = rows["range"][0].as_py()
-    assert info.num_rows == n + 1
-    blob = _packed(info.append_column("lexicon", pa.array([keys.view(np.int64) if i == 0 else [] for i in range(n + 1)], pa.list_(pa.int64()))))
-    return _kept([at] * (len(keys) + 1), [DOCS] + [WORDS] * len(keys), np.append(0, keys.view(np.int64)), np.append(0, counts), [blob] + [None] * len(keys))
+def _whole(of: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """The signature of all distinct words of each list; 0 if none."""
+    out = np.zeros(n, np.uint64)
+    np.add.at(out, of, mixed(hashes))
+    return np.where(np.bincount(of, minlength=n) > 0, np.maximum(mixed(out).astype(np.uint32), 1), 0).astype(np.uint32)
 
 
-def _kept(at, kind, key, n, info) -> pa.Table:
-    return pa.table({"range": pa.array(at, pa.int32()), "kind": pa.array(kind, pa.int32()), "key": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64()), "info": pa.array(info, pa.binary())})
+def _unit(unit: int, docs: list, raw: list[bytes], own: np.ndarray, after: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of the store for documents whose texts are raw[own], each followed by raw[after].
+
+    The edited text's words are told by those of the two texts: a bit for each word of either, and the few words that
+    the cuts make.
+    """
+    number: dict[bytes, int] = {}
+    df: Counter = Counter()
+    counted = set(own.tolist())
+
+    def listed(text: bytes) -> np.ndarray:
+        mine = {number.setdefault(w, len(number)) for w in text.lower().split()}
+        return np.fromiter(mine, np.int64, len(mine))
+
+    lists = []
+    for i, t in enumerate(raw):
+        lists.append(listed(t))
+        if i in counted:
+            df.update(lists[-1].tolist())
+    texts = [t.decode("utf-8", "replace") for t in raw]
+    changed, sha, same, again, chars = [], [], [], [], []
+    for i, j in zip(own.tolist(), after.tolist(), strict=True):
+        e = edited(texts[i], texts[j])
+        data = e.encode("utf-8", "replace")
+        changed.append(listed(data))
+        sha.append(hashlib.sha256(data).digest())
+        same.append(e == texts[i])
+        again.append(texts[i] == texts[j])
+        chars.append(len(texts[i]))
+    del texts
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
+    count = np.fromiter((df.get(i, 0) for i in range(len(number))), np.int64, len(number))
+    number.clear()
+    of, word = _flat(lists)
+    cof, cword = _flat(changed)
+    whole, cwhole = _whole(of, hashes[word], len(lists)), _whole(cof, hashes[cword], len(changed))
+
+    # numbers by hash, of words that are in a sub-lexicon
+    known = np.unique(memberships(hashes)[0])
+    known = known[np.argsort(hashes[known], kind="stable")]
+    new = np.full(len(hashes), -1)
+    new[known] = np.arange(len(known))
+    hashes, count = hashes[known], count[known]
+
+    def renumbered(of: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        word = new[word]
+        of, word = of[word >= 0], word[word >= 0]
+        order = np.lexsort((word, of))
+        return of[order], word[order]
+
+    (of, word), (cof, cword) = renumbered(of, word), renumbered(cof, cword)
+    sizes = np.bincount(of, minlength=len(lists))
+    ends = np.cumsum(sizes)
+    room = max(len(known), 1)
+    code = cof * room + cword
+
+    def entries(of_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, word) of the lists of one text a document."""
+        n = sizes[of_doc]
+        doc = np.repeat(np.arange(len(of_doc)), n)
+        at = np.arange(n.sum()) + np.repeat(ends[of_doc] - n - (np.cumsum(n) - n), n)
+        return doc, word[at]
+
+    (d, w), (x, y) = entries(own), entries(after)
+    in_own, in_after = d * room + w, x * room + y
+    extra = code[~(np.isin(code, in_own) | np.isin(code, in_after))]
+    delta = np.diff(word, prepend=0)
+    starts = (ends - sizes)[sizes > 0]
+    delta[starts] = word[starts]
+    blob = {
+        "docs": docs, "chars": chars, "sha": sha, "same": same, "again": again, "own": own, "after": after, "whole": whole, "cwhole": cwhole, "sizes": sizes, "delta": _planes(delta.astype(np.int32)),
+        "in_own": np.packbits(np.isin(in_own, code)), "in_after": np.packbits(np.isin(in_after, code) & ~np.isin(in_after, in_own)), "extra": extra, "room": room,
+    }
+    rows = [(DOCS, unit, None, None, zstandard.compress(pickle.dumps(blob), 3), None)]
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    edge = np.searchsorted(bucket, np.arange(buckets + 1))
+    rows += [(WORDS, unit, b, None, _planes(hashes[s:e]), _planes(count[s:e].astype(np.int32))) for b, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if e > s]
+    return rows
+
+
+def _band(least: float, most: float):
+    """Which words of each unit in one bucket are in the band: the bits, and the hashes of those that are."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys = [_unplanes(x, np.uint64) for x in rows["a"].to_pylist()]
+        counts = [_unplanes(x, np.int32) for x in rows["b"].to_pylist()]
+        known, back = np.unique(np.concatenate(keys), return_inverse=True)
+        df = np.bincount(back, np.concatenate(counts), len(known))
+        good = ((df >= least) & (df <= most))[back]
+        edge = np.cumsum([len(k) for k in keys])[:-1]
+        parts = [(np.packbits(g).tobytes(), _planes(k[g])) for k, g in zip(keys, np.split(good, edge), strict=True)]
+        n = [len(k) for k in keys]
+        del keys, counts, known, back, good
+        release_memory()
+        return pa.table({"of": rows["unit"], "bucket": rows["bucket"], "n": pa.array(n, pa.int64()), "bits": pa.array([p[0] for p in parts], pa.binary()), "keys": pa.array([p[1] for p in parts], pa.binary())})
+
+    return run
 
 
 def _printed(docs: pa.Table, band: pa.Table) -> pa.Table:
-    """Fingerprints of a range's documents. band: those of its words that are in the lexicon."""
-    keep = np.sort(band["key"].to_numpy())
+    """Fingerprints of a unit's documents."""
     out: dict[str, list] = {k: [] for k in ("doc", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-    for blob in docs["info"].to_pylist():
-        t = _unpacked(blob)
-        keys = t["lexicon"].combine_chunks().flatten().to_numpy()
-        at = np.searchsorted(keep, keys)
-        good = keep[np.minimum(at, len(keep) - 1)] == keys if len(keep) else np.zeros(len(keys), bool)
-        signed = []
-        for name in ("words", "changed"):
-            col = t[name].combine_chunks()
-            doc = np.repeat(np.arange(t.num_rows), col.value_lengths().to_numpy())
-            word = col.flatten().to_numpy()
+    pieces = sorted(band.to_pylist(), key=lambda r: r["bucket"])
+    none = [np.zeros(0, bool)]
+    good = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in pieces] or none)
+    keys = np.concatenate([_unplanes(r["keys"], np.uint64) for r in pieces] or [np.zeros(0, np.uint64)])
+    place = np.cumsum(good) - 1
+    for blob in docs["a"].to_pylist():
+        u = pickle.loads(zstandard.decompress(blob))
+        sizes, own, after, room = u["sizes"], u["own"], u["after"], u["room"]
+        ends = np.cumsum(sizes)
+        word = _unplanes(u["delta"], np.int32).astype(np.int64)
+        # sums of differences, anew for each list
+        total = np.cumsum(word)
+        starts = (ends - sizes)[sizes > 0]
+        word = total - np.repeat((total - word)[starts], sizes[sizes > 0]) if len(word) else word
+
+        def entries(of_doc: np.ndarray, sizes=sizes, ends=ends, word=word) -> tuple[np.ndarray, np.ndarray]:
+            n = sizes[of_doc]
+            at = np.arange(n.sum()) + np.repeat(ends[of_doc] - n - (np.cumsum(n) - n), n)
+            return np.repeat(np.arange(len(of_doc)), n), word[at]
+
+        def signed(doc: np.ndarray, word: np.ndarray, whole: np.ndarray) -> np.ndarray:
             use = good[word] if len(word) else np.zeros(0, bool)
-            signed.append(signatures(doc[use], keys.view(np.uint64)[word[use]], t.num_rows))
-        own, changed, after = signed[0][:-1], signed[1][:-1], signed[0][1:]
-        t = t.slice(0, t.num_rows - 1)
-        out["doc"] += t["doc"].to_pylist()
-        out["n_chars"] += t["n_chars"].to_pylist()
-        out["edited_sha256"] += t["sha"].to_pylist()
-        out["fingerprint"] += map(printed, own)
+            return np.column_stack([whole, signatures(doc[use], keys[place[word[use]]], len(whole))])
+
+        every = signed(np.repeat(np.arange(len(sizes)), sizes), word, u["whole"])
+        (d, w), (x, y) = entries(own), entries(after)
+        a, b = (np.unpackbits(u[k], count=len(v)).astype(bool) for k, v in (("in_own", d), ("in_after", x)))
+        changed = signed(np.concatenate([d[a], x[b], u["extra"] // room]), np.concatenate([w[a], y[b], u["extra"] % room]), u["cwhole"])
+        out["doc"] += u["docs"]
+        out["n_chars"] += u["chars"]
+        out["edited_sha256"] += [x.hex() for x in u["sha"]]
+        out["fingerprint"] += map(printed, every[own])
         out["edited_fingerprint"] += map(printed, changed)
-        out["near_edited"] += likeness(own, changed, t["same"].to_numpy(zero_copy_only=False)).tolist()
-        out["near_next"] += likeness(own, after, t["again"].to_numpy(zero_copy_only=False)).tolist()
+        out["near_edited"] += likeness(every[own], changed, np.array(u["same"], bool)).tolist()
+        out["near_next"] += likeness(every[own], every[after], np.array(u["again"], bool)).tolist()
+    release_memory()
     return pa.table({k: pa.array(v, {"doc": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}.get(k, pa.string())) for k, v in out.items()})
 
 
-def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", range_docs: int = RANGE_DOCS, low: float = LOW, high: float = HIGH) -> DataFrame:
+def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES, low: float = LOW, high: float = HIGH) -> DataFrame:
     """doc, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row. doc: a whole number."""
-    given = docs.select(F.col(doc).cast("long").alias("doc"), text_of(text).alias("text"))
-    ids = given.select("doc")
-    n = ids.count()
-    each = max(range_docs, n // MAX_RANGES)
-    border = F.pmod(F.xxhash64("doc"), F.lit(each)) == 0
-    cuts = np.array(sorted(r[0] for r in ids.where(F.col("doc").isNotNull() & border).distinct().collect()), np.int64)
-    tops = ids.mapInArrow(_heads(cuts), "range int, head long").groupBy("range").agg(F.max("head").alias("head")).collect()
-    tops = sorted((r["range"], r["head"]) for r in tops)
-    guests = {head: tops[(i + 1) % len(tops)][0] for i, (_, head) in enumerate(tops)}
-
-    dealt = given.mapInArrow(_dealer(cuts, guests), "range int, guest boolean, block binary")
-    store = written(dealt.groupBy("range").applyInArrow(_counted, "range int, kind int, key long, n long, info binary"))
-    words = store.where(F.col("kind") == WORDS).select("range", "key", "n")
-    words = words.withColumn("df", F.sum("n").over(W.partitionBy("key")))
-    least, most = n ** (1 - high), n ** (1 - low)
-    band = words.where((F.col("df") >= least) & (F.col("df") <= most)).select("range", "key")
-    texts = store.where(F.col("kind") == DOCS).select(F.col("range").alias("of"), "info")
+    given = docs.select(F.col(doc).cast("long").alias("doc"), text_of(text).cast("binary").alias("data"))
+    n, size = given.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()
+    ranges = min(MOST_RANGES, 1 + size // range_bytes)
+    buckets = 1 + size // BUCKET_BYTES
+    # rows that are equal in all but their place may go to different ranges
+    packed = given.mapInArrow(_compressed, "doc long, tie binary, data binary").withColumn("at", F.monotonically_increasing_id())
+    order = [F.col("doc").desc_nulls_last(), F.col("tie"), F.col("at")]
+    store = written(packed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc", "data").mapInArrow(_cut(buckets), _STORE))
+
+    # one row a range: the next one, and the first after the last
+    tails = store.where(F.col("kind") == TAIL).select(F.col("unit").alias("range"), "doc", F.col("a").alias("own"))
+    heads = store.where(F.col("kind") == HEAD).select(F.col("unit").alias("next"), F.col("a").alias("after"))
+    of_all = W.partitionBy(F.lit(0)).orderBy("range")
+    follows = tails.select("range").withColumn("next", F.coalesce(F.lead("range").over(of_all), F.first("range").over(of_all)))
+    ends = tails.join(follows, "range").join(heads, "next").select("doc", "own", "after")
+    ends = written(ends.mapInArrow(_last(buckets), _STORE))
+    store = store.where(F.col("kind").isin(DOCS, WORDS)).unionByName(ends)
+
+    words = store.where(F.col("kind") == WORDS).select("unit", "bucket", "a", "b")
+    band = words.groupBy("bucket").applyInArrow(_band(math.pow(n, 1 - high), math.pow(n, 1 - low)), "of long, bucket int, n long, bits binary, keys binary")
+    units = store.where(F.col("kind") == DOCS).select("unit", "a")
     kind = "doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    done = texts.groupBy("of").cogroup(band.groupBy("range")).applyInArrow(_printed, kind)
+    done = units.groupBy("unit").cogroup(band.groupBy("of")).applyInArrow(_printed, kind)
     return done.select(F.col("doc").cast(docs.schema[doc].dataType).alias(doc), *done.columns[1:])
 
 

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from helpers import SMALL
 
 from strandlake.llm import html_extract, imatch, jaccard, language, lm_score, pieces, pii, ppm
@@ -189,35 +190,70 @@ def test_families_of_copies(spark, options):
 # --- fingerprints ---
 
 
-def test_fingerprints(spark, docs, texts):
-    got = {r["doc_id"]: r for r in imatch.fingerprints(docs.select("doc_id", "text"), range_docs=30).collect()}
-    whole = {r["doc_id"]: r for r in imatch.op4_imatch(spark, SMALL).collect()}
-    assert got == whole
-    import xxhash
+def slow_mixed(x: int) -> int:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = ((x ^ x >> shift) * factor) % 2**64
+    return x
 
-    down = sorted(texts, reverse=True)
-    df: Counter = Counter()
-    for _, t in down:
-        df.update(imatch_words(t))
-    n = len(down)
-    lexicon = {w for w, c in df.items() if n ** (1 - imatch.HIGH) <= c <= n ** (1 - imatch.LOW)}
 
-    def sign(t: str) -> np.ndarray:
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in imatch_words(t) & lexicon], np.uint64)
-        return imatch.signatures(np.zeros(len(h), np.int64), h, 1)
+def slow_fingerprint(words: set[bytes], lexicon: set[bytes]) -> list[int]:
+    """By the definition: the hash of all words, then of each sub-lexicon's words in order of their hashes."""
+    step = 0x9E3779B97F4A7C15
+    number = {w: xxhash.xxh3_64_intdigest(w) for w in words}
+    out = [max(1, slow_mixed(sum(slow_mixed(h) for h in number.values()) % 2**64) % 2**32) if words else 0]
+    for j, rate in enumerate(imatch.RATES):
+        mine = sorted(number[w] for w in words & lexicon if slow_mixed(number[w] ^ (j + 1) * step % 2**64) % rate == 0)
+        total = sum(slow_mixed(h ^ (i + 1) * step % 2**64) for i, h in enumerate(mine)) % 2**64
+        out.append(max(1, slow_mixed(total) % 2**32) if mine else 0)
+    return out
+
 
+def slow_likeness(a: list[int], b: list[int], equal: bool) -> float:
+    told = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+    return sum(x == y for x, y in told) / len(told) if told else float(equal)
+
+
+def slow_matches(rows: list[tuple]) -> list[tuple]:
+    down = sorted(rows, key=lambda r: xxhash.xxh3_128_digest((r[1] or "").encode()))
+    down = [(d, t or "") for d, t in sorted(down, key=lambda r: math.inf if r[0] is None else -r[0])]
+    df = Counter(w for _, t in down for w in imatch_words(t))
+    n = len(down)
+    lexicon = {w for w, c in df.items() if n ** (1 - imatch.HIGH) <= c <= n ** (1 - imatch.LOW)}
+    out = []
     for i, (d, t) in enumerate(down):
         after = down[(i + 1) % n][1]
         e = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        r, a = got[d], sign(t)
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
-        assert r["fingerprint"] == imatch.printed(a[0]) and r["edited_fingerprint"] == imatch.printed(sign(e)[0])
-        assert math.isclose(r["near_edited"], imatch.likeness(a, sign(e), np.array([t == e]))[0]) and math.isclose(r["near_next"], imatch.likeness(a, sign(after), np.array([t == after]))[0])
+        x, y, z = (slow_fingerprint(imatch_words(v), lexicon) for v in (t, e, after))
+        shown = ["".join(f"{k:08x}" for k in v) for v in (x, y)]
+        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), *shown, round(slow_likeness(x, y, t == e), 12), round(slow_likeness(x, z, t == after), 12)))
+    return sorted(out, key=repr)
+
+
+def matches_of(df) -> list[tuple]:
+    return sorted(((*tuple(r)[:5], round(r[5], 12), round(r[6], 12)) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("unit", [None, 3000])
+def test_fingerprints(spark, docs, texts, unit, monkeypatch):
+    """The whole operator by its definition, at two sizes of units and ranges."""
+    if unit:
+        monkeypatch.setattr(imatch, "UNIT_BYTES", unit)
+    got = matches_of(imatch.fingerprints(docs.select("doc_id", "text"), range_bytes=imatch.RANGE_BYTES if unit is None else 20_000))
+    assert got == slow_matches(texts)
     same = defaultdict(set)
-    for d, t in down:
-        same[t].add(got[d]["fingerprint"])
+    for (_, t), r in zip(sorted(texts), sorted(got), strict=True):
+        same[r[3]].add(frozenset(imatch_words(t)))
+    # one fingerprint, one set of words: none is all zero but that of texts without words
     assert all(len(x) == 1 for x in same.values())
-    assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.6 * n
+    assert sum(r[5] > r[6] for r in got) > 0.85 * len(got)
+
+
+def test_fingerprints_of_odd_rows(spark):
+    rows = [(None, "a b c"), (None, None), (None, "a b c"), (3, ""), (3, "x y " * 50), (3, "x y " * 50), (2, "é " * 30), (1, "w" * 5000), (0, " \n "), (-7, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert matches_of(imatch.fingerprints(df, range_bytes=1)) == slow_matches(rows) == matches_of(imatch.fingerprints(df))
+    one = imatch.fingerprints(df.where("doc_id = 2")).first()
+    assert (one["near_next"], one["edited_sha256"]) == (1.0, hashlib.sha256(("é " * 30).encode()).hexdigest())
 
 
 def imatch_words(t: str) -> set[bytes]:
