@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,41 +59,93 @@ def links(edges_: DataFrame) -> DataFrame:
 def pruned(edges_: DataFrame, reach: bool = True) -> DataFrame:
     """Links that stay when, of the edges that leave a block with the same chromosome index, only the newest counts.
 
-    A pair of blocks that loses an edge is removed as a whole; then what START cannot reach is.
+    A pair of blocks that loses an edge is removed as a whole; then what START cannot reach is. Both windows run on one
+    shuffle, by the block that the edges leave.
     """
-    newest = W.partitionBy("bg", *SOURCE, "chromosome_index").orderBy(F.col("edge_id").desc())
-    ranked = edges_.where(F.col("chromosome_index") != S.NO_CHROMOSOME).withColumn("_n", F.row_number().over(newest))
-    lost = ranked.where("_n > 1").select("bg", *SOURCE, *TARGET).distinct()
-    kept = edges_.join(lost, ["bg", *SOURCE, *TARGET], "left_anti")
+    newest = F.max("edge_id").over(W.partitionBy("bg", *SOURCE, "chromosome_index"))
+    lost = (F.col("chromosome_index") != S.NO_CHROMOSOME) & (F.col("edge_id") != F.col("_newest"))
+    again = F.row_number().over(W.partitionBy("bg", *SOURCE, "chromosome_index", "edge_id").orderBy(*TARGET)) > 1
+    ranked = edges_.repartition("bg", *SOURCE).withColumns({"_newest": newest, "_again": again}).withColumn("_lost", lost | (F.col("_again") & (F.col("chromosome_index") != S.NO_CHROMOSOME)))
+    kept = ranked.withColumn("_gone", F.max("_lost").over(W.partitionBy("bg", *SOURCE, *TARGET))).where("not _gone").select(*edges_.columns)
     if not reach:
         return kept
+    kept = materialized(kept)
     start = kept.where(F.col("s_node") == S.START_NODE).select("bg", *SOURCE).distinct()
     seen = reachable(kept, start.select("bg", *[F.col(c).alias(d) for c, d in zip(SOURCE, ("node_id", "start", "end"), strict=True)]))
     return kept.join(seen.select("bg", *[F.col(d).alias(c) for c, d in zip(SOURCE, ("node_id", "start", "end"), strict=True)]), ["bg", *SOURCE], "left_semi")
 
 
-def reachable(edges_: DataFrame, seeds: DataFrame, backwards: bool = False, most_rounds: int = 10_000) -> DataFrame:
+_NODE = ["node_id", "start", "end"]
+#: The number of the block that stands for all that are known to be reached.
+_REACHED = -(1 << 63)
+#: Links that a job of a search goes ahead, the jobs until a graph is deep, and the doublings of a round of contraction.
+STEPS, SHALLOW_JOBS, JUMPS = 8, 2, 6
+
+
+def _block(cols: list[str]) -> Column:
+    return F.struct(*[F.col(c).cast("long").alias(n) for c, n in zip(cols, _NODE, strict=True)])
+
+
+def reachable(edges_: DataFrame, seeds: DataFrame, backwards: bool = False) -> DataFrame:
     """(bg, node_id, start, end): blocks that can be reached from the seeds, these included.
 
-    Breadth first: each round joins the last round's new blocks only. All graphs advance together; rounds are
-    written out, so that the plan stays short.
+    A few jobs go STEPS links ahead each, breadth first, which is all for shallow graphs. What is left of deeper ones is
+    contracted (see _contracted), so that the rounds do not follow the depth. All graphs advance together.
     """
     a, b = (TARGET, SOURCE) if backwards else (SOURCE, TARGET)
-    node = ["node_id", "start", "end"]
-    step = materialized(edges_.select("bg", *[F.col(c).alias(n) for c, n in zip(a, node, strict=True)], *[F.col(c).alias(f"n_{n}") for c, n in zip(b, node, strict=True)]).distinct())
-    front = materialized(seeds.select("bg", *node).distinct())
-    seen = front
-    for _ in range(most_rounds):
-        found = front.join(step, ["bg", *node]).select("bg", *[F.col(f"n_{n}").alias(n) for n in node]).distinct()
-        front = materialized(found.join(seen, ["bg", *node], "left_anti"))
+    to = [f"to_{n}" for n in _NODE]
+    step = materialized(edges_.select("bg", *[F.col(c).cast("long").alias(n) for c, n in zip(a, _NODE, strict=True)], *[F.col(c).cast("long").alias(n) for c, n in zip(b, to, strict=True)]).distinct())
+    front = seen = materialized(seeds.select("bg", *[F.col(c).cast("long").alias(c) for c in _NODE]).distinct())
+    for _ in range(SHALLOW_JOBS):
+        at, every = front, None
+        for k in range(1, STEPS + 1):
+            at = at.join(step, ["bg", *_NODE]).select("bg", *[F.col(t).alias(n) for t, n in zip(to, _NODE, strict=True)]).distinct()
+            one = at.withColumn("_k", F.lit(k))
+            every = one if every is None else every.unionByName(one)
+        new = materialized(every.groupBy("bg", *_NODE).agg(F.min("_k").alias("_k")).join(seen, ["bg", *_NODE], "left_anti"))
+        seen = seen.unionByName(new.drop("_k"))
+        front = new.where(F.col("_k") == STEPS).drop("_k")
         if not front.head(1):
             return seen
-        seen = seen.unionByName(front)
-    raise RuntimeError("the graph is deeper than most_rounds")
+    ways = step.select("bg", _block(_NODE).alias("u"), _block(to).alias("v"))
+    return _contracted(ways, materialized(seen.select("bg", _block(_NODE).alias("v")))).select("bg", "v.*")
+
+
+def _contracted(ways: DataFrame, first: DataFrame) -> DataFrame:
+    """(bg, v): blocks that can be reached from the first ones (bg, v), these included, over ways (bg, u, v).
+
+    What is reached is one block. A block with a single way in is reached if the block before it is, so it is merged
+    into that one, and its ways out become that one's; a block without a way in is left out. Chains, trees and bubbles
+    collapse at once wherever they are, so the rounds follow the widest tangle. They end when no way leaves what is
+    reached.
+    """
+    reached = F.struct(*[F.lit(_REACHED).alias(n) for n in _NODE])
+    ways = ways.join(first, ["bg", "v"], "left_anti").join(first.select("bg", F.col("v").alias("u"), F.lit(True).alias("_in")), ["bg", "u"], "left")
+    ways = materialized(ways.select("bg", F.when(F.col("_in"), reached).otherwise(F.col("u")).alias("u"), "v").where("u != v").distinct())
+    merged: list[DataFrame] = []
+    while ways.where(F.col("u") == reached).head(1):
+        # into: the block that one is merged into, if there is one way in; ends: whether that block stays
+        least = ways.groupBy("bg", "v").agg(F.min("u").alias("least"), F.max("u").alias("most"), F.max(F.col("u") == reached).alias("in"))
+        into = least.select("bg", "v", F.when(F.col("in"), reached).when(F.col("least") == F.col("most"), F.col("least")).alias("into"))
+        for _ in range(JUMPS):
+            up = into.where("into is not null").select("bg", F.col("v").alias("into"), F.col("into").alias("up"))
+            into = materialized(into.join(up, ["bg", "into"], "left").select("bg", "v", F.coalesce("up", "into").alias("into"), (F.col("into").isNotNull() & F.col("up").isNull()).alias("ends")))
+        merged.append(into.where("ends").select("bg", "v", "into"))
+        open_ = ways.join(into, ["bg", "v"]).where("not ends").select("bg", F.coalesce("into", "u").alias("u"), "v")
+        ends = into.select("bg", F.col("v").alias("u"), F.when(F.col("ends"), F.col("into")).otherwise(F.col("v")).alias("to"))
+        open_ = open_.join(ends, ["bg", "u"], "left").where(F.col("to").isNotNull() | (F.col("u") == reached))
+        ways = materialized(open_.select("bg", F.coalesce("to", "u").alias("u"), "v").where("u != v").distinct(), instead_of=(ways,))
+    found = first
+    for level in reversed(merged):
+        known = found.select("bg", F.col("v").alias("into"), F.lit(True).alias("_in"))
+        new = level.join(known, ["bg", "into"], "left").where(F.col("_in") | (F.col("into") == reached))
+        found = materialized(found.unionByName(new.select("bg", "v")))
+    return found
 
 
 def intermediate(edges_: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges on a way from a source to a target: both ends reached from the sources and reaching the targets."""
+    edges_ = materialized(edges_)
     both = reachable(edges_, sources).join(reachable(edges_, targets, backwards=True), ["bg", "node_id", "start", "end"])
     named = lambda cols: both.select("bg", *[F.col(n).alias(c) for n, c in zip(("node_id", "start", "end"), cols, strict=True)])
     return edges_.join(named(SOURCE), ["bg", *SOURCE], "left_semi").join(named(TARGET), ["bg", *TARGET], "left_semi")
@@ -110,7 +162,7 @@ def boundary_heal(split: DataFrame, edges_: DataFrame) -> DataFrame:
     return a.join(b, ["bg", "node_id", "at"]).select("bg", "node_id", "s_start", "at", "t_end", F.lit(-1).cast("long").alias("edge_id"))
 
 
-def components(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(bg, node, component): the smallest node that each node is connected to. pairs: (bg, a, b).
 
     Labels spread along the pairs and along labels themselves, so that long chains take few rounds.
@@ -118,7 +170,7 @@ def components(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
     both = pairs.select("bg", "a", "b").unionByName(pairs.select("bg", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialized(both)
     label = materialized(both.groupBy("bg", F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(label.withColumnRenamed("node", "b"), ["bg", "b"]).groupBy("bg", "a").agg(F.min("component").alias("near"))
         step = label.join(near.withColumnRenamed("a", "node"), ["bg", "node"]).select("bg", "node", "component", F.least("component", "near").alias("low"))
         # the label's own label
@@ -127,51 +179,82 @@ def components(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
         label = after.drop("moved")
         if not after.where("moved").head(1):
             return label
-    raise RuntimeError("the components did not settle")
 
 
-def simple_paths(edges_: DataFrame, longest: int = 60, by_edge: bool = False) -> DataFrame:
+def simple_paths(edges_: DataFrame, by_edge: bool = False) -> DataFrame:
     """(bg, path): every way from START to END that repeats no block, as an array of blocks (or of edge ids).
 
-    Ways are many by nature: this is for small graphs. They grow by one block a round, all graphs together; longest
-    bounds the number of blocks, beyond which it raises.
+    Ways are many by nature: this is for graphs of few bubbles, of any length. All graphs advance together, and a
+    round adds one block, or a whole chain of blocks with one way in and one way out. Ways end, as no block repeats.
     """
-    block = lambda cols: F.struct(*[F.col(c).alias(n) for c, n in zip(cols, ("node_id", "start", "end"), strict=True)])
-    step = edges_.select("bg", block(SOURCE).alias("s"), block(TARGET).alias("t"), "edge_id")
-    step = materialized(step if by_edge else step.select("bg", "s", "t").distinct().withColumn("edge_id", F.lit(0).cast("long")))
-    ways = step.where(F.col("s.node_id") == S.START_NODE).select("bg", F.array("s", "t").alias("path"), F.array("edge_id").alias("ids"), F.col("t").alias("at"))
+    step = edges_.select("bg", _block(SOURCE).alias("s"), _block(TARGET).alias("t"), "edge_id")
+    step = step if by_edge else step.select("bg", "s", "t").distinct().withColumn("edge_id", F.lit(0).cast("long"))
+    step = _chained(materialized(step))
+    ways = step.where(F.col("s.node_id") == S.START_NODE).select("bg", F.concat(F.array("s"), "ts").alias("path"), "ids", "t")
     done = None
-    for _ in range(longest):
+    while True:
         ways = materialized(ways)
-        over = ways.where(F.col("at.node_id") == S.END_NODE)
+        over = ways.where(F.col("t.node_id") == S.END_NODE)
         done = over if done is None else done.unionByName(over)
-        open_ = ways.where(F.col("at.node_id") != S.END_NODE)
+        open_ = ways.where(F.col("t.node_id") != S.END_NODE).select("bg", F.col("t").alias("s"), "path", "ids")
         if not open_.head(1):
             return done.select("bg", F.col("ids" if by_edge else "path").alias("path"))
-        grown = open_.join(step, (open_["bg"] == step["bg"]) & (open_["at"] == step["s"])).where(~F.array_contains("path", F.col("t")))
-        ways = grown.select(open_["bg"], F.concat("path", F.array("t")).alias("path"), F.concat("ids", F.array("edge_id")).alias("ids"), F.col("t").alias("at"))
-    raise RuntimeError("a way has more than the longest number of blocks")
+        more = step.select("bg", "s", "t", "ts", F.col("ids").alias("more"))
+        grown = open_.join(more, ["bg", "s"]).where(~F.arrays_overlap("path", "ts"))
+        ways = grown.select("bg", F.concat("path", "ts").alias("path"), F.concat("ids", "more").alias("ids"), "t")
+
 
+def _chained(step: DataFrame) -> DataFrame:
+    """Steps (bg, s, t, edge_id) with chains of steps made one: (bg, s, t, ts, ids), ts and ids in order.
 
-def path_counts(edges_: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    A block with one way in and one way out, other than START and END, is taken into the way that leads to it; what
+    was joined doubles in length each round.
+    """
+    way = materialized(step.select("bg", "s", "t", F.array("t").alias("ts"), F.array("edge_id").alias("ids")))
+    while True:
+        out, into = way.groupBy("bg", F.col("s").alias("x")).count().where("count = 1"), way.groupBy("bg", F.col("t").alias("x")).count().where("count = 1")
+        inner = out.select("bg", "x").join(into.select("bg", "x"), ["bg", "x"]).where(~S.is_terminal(F.col("x.node_id")))
+        # every second block of a chain, by hash: one that is less than the inner blocks beside it
+        rank = F.struct(F.xxhash64("x"), "x")
+        named = inner.select("bg", "x", rank.alias("r"))
+        ends = way.join(named.select("bg", F.col("x").alias("s"), F.col("r").alias("rs")), ["bg", "s"], "left").join(named.select("bg", F.col("x").alias("t"), F.col("r").alias("rt")), ["bg", "t"], "left")
+        ends = materialized(ends)
+        lower = ends.where("rs is not null").select("bg", F.col("s").alias("x"), F.col("rs").alias("r"), F.col("rt").alias("other"), (F.col("s") == F.col("t")).alias("own"))
+        lower = lower.unionByName(ends.where("rt is not null").select("bg", F.col("t").alias("x"), F.col("rt").alias("r"), F.col("rs").alias("other"), (F.col("s") == F.col("t")).alias("own")))
+        cut = materialized(lower.groupBy("bg", "x").agg(F.min(~F.col("own") & (F.col("other").isNull() | (F.col("r") < F.col("other")))).alias("least")).where("least").select("bg", "x"))
+        if not cut.head(1):
+            return way
+        a = ends.join(cut.select("bg", F.col("x").alias("t")), ["bg", "t"]).select("bg", "s", F.col("t").alias("x"), F.col("ts").alias("ts1"), F.col("ids").alias("ids1"))
+        b = ends.join(cut.select("bg", F.col("x").alias("s")), ["bg", "s"]).select("bg", "t", F.col("s").alias("x"), F.col("ts").alias("ts2"), F.col("ids").alias("ids2"))
+        joined = a.join(b, ["bg", "x"]).select("bg", "s", "t", F.concat("ts1", "ts2").alias("ts"), F.concat("ids1", "ids2").alias("ids"))
+        rest = ends.join(cut.select("bg", F.col("x").alias("t")), ["bg", "t"], "left_anti").join(cut.select("bg", F.col("x").alias("s")), ["bg", "s"], "left_anti")
+        way = materialized(rest.select("bg", "s", "t", "ts", "ids").unionByName(joined), instead_of=(way,))
+
+
+def _deepest(edges_: DataFrame) -> int:
+    """More rounds than any way of an acyclic graph has links: those of the largest graph."""
+    return (edges_.groupBy("bg").count().agg(F.max("count")).first()[0] or 0) + 2
+
+
+def path_counts(edges_: DataFrame) -> DataFrame:
     """(bg, ways): how many ways lead from START to END of acyclic graphs, counted without listing them."""
     pairs = materialized(edges_.select("bg", F.struct(*SOURCE).alias("s"), F.struct(*TARGET).alias("t")).distinct())
     at = materialized(pairs.where(F.col("s.s_node") == S.START_NODE).groupBy("bg", "t").agg(F.count("*").cast("decimal(38,0)").alias("n")))
     done = None
-    for _ in range(most_rounds):
+    for _ in range(_deepest(pairs)):
         over = at.where(F.col("t.t_node") == S.END_NODE).select("bg", "n")
         done = over if done is None else done.unionByName(over)
         here = at.where(F.col("t.t_node") != S.END_NODE).select("bg", F.struct(F.col("t.t_node").alias("s_node"), F.col("t.t_start").alias("s_start"), F.col("t.t_end").alias("s_end")).alias("s"), "n")
         at = materialized(here.join(pairs, ["bg", "s"]).groupBy("bg", "t").agg(F.sum("n").cast("decimal(38,0)").alias("n")))
         if not at.head(1):
             return done.groupBy("bg").agg(F.sum("n").alias("ways"))
-    raise RuntimeError("the graph has a cycle, or is deeper than most_rounds")
+    raise RuntimeError("the graph has a cycle")
 
 
-def all_sequences(edges: DataFrame, nodes: DataFrame, prune: bool = True, longest: int = 60) -> DataFrame:
+def all_sequences(edges: DataFrame, nodes: DataFrame, prune: bool = True) -> DataFrame:
     """(bg, sequence): the distinct texts that a graph can spell, read forwards. nodes: (node_id, sequence)."""
     linked = block_edges(edges, blocks(edges))
-    ways = simple_paths(pruned(linked) if prune else linked, longest).withColumn("way", F.xxhash64("bg", "path"))
+    ways = simple_paths(pruned(linked) if prune else linked).withColumn("way", F.xxhash64("bg", "path"))
     parts = ways.select("bg", "way", F.posexplode("path").alias("i", "b")).select("bg", "way", "i", "b.node_id", "b.start", "b.end").where(~S.is_terminal(F.col("node_id")))
     text = parts.join(nodes, "node_id").select("bg", "way", F.struct("i", S.slice_of(F.col("sequence"), F.col("start"), F.col("end")).alias("x")).alias("p"))
     spelled = text.groupBy("bg", "way").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["x"]), "").alias("sequence"))
@@ -185,7 +268,7 @@ def project_paths(path_blocks: DataFrame, split: DataFrame) -> DataFrame:
     path_blocks: (bg, path_id, idx, node_id, seq_start, seq_end, strand). A path is projected only if the graph's
     blocks cover each of its blocks exactly.
     """
-    inside = path_blocks.join(split, ["bg", "node_id"]).where((F.col("start") >= F.col("seq_start")) & (F.col("end") <= F.col("seq_end")))
+    inside = I.overlap_join(path_blocks, split, ["bg", "node_id"], ("seq_start", "seq_end"), ("start", "end")).where((F.col("start") >= F.col("seq_start")) & (F.col("end") <= F.col("seq_end")))
     cover = inside.groupBy("bg", "path_id", "idx").agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
     bad = path_blocks.join(cover, ["bg", "path_id", "idx"], "left").where(F.coalesce("covered", F.lit(0)) != F.col("seq_end") - F.col("seq_start")).select("bg", "path_id").distinct()
     order = W.partitionBy("bg", "path_id", "idx").orderBy(F.when(F.col("strand") == "-", -F.col("start")).otherwise(F.col("start")))
@@ -193,7 +276,7 @@ def project_paths(path_blocks: DataFrame, split: DataFrame) -> DataFrame:
     return good.select("bg", "path_id", "idx", "part", "node_id", "start", "end", "strand")
 
 
-def spans(edges_: DataFrame, unambiguous: bool = False, most_rounds: int = 10_000) -> DataFrame:
+def spans(edges_: DataFrame, unambiguous: bool = False) -> DataFrame:
     """(bg, node_id, start, end, at): every offset from START at which each block of an acyclic graph can lie.
 
     unambiguous: leave out nodes of which two different spans overlap, by offset and then by base.
@@ -202,14 +285,14 @@ def spans(edges_: DataFrame, unambiguous: bool = False, most_rounds: int = 10_00
     step = materialized(edges_.select("bg", *[F.col(c).alias(n) for c, n in zip(SOURCE, node, strict=True)], *[F.col(c).alias(f"n_{n}") for c, n in zip(TARGET, node, strict=True)]).distinct())
     front = materialized(step.where(F.col("node_id") == S.START_NODE).select("bg", *node, F.lit(0).cast("long").alias("at")).distinct())
     seen = front
-    for _ in range(most_rounds):
+    for _ in range(_deepest(step)):
         grown = front.join(step, ["bg", *node]).select("bg", *[F.col(f"n_{n}").alias(n) for n in node], (F.col("at") + F.col("end") - F.col("start")).alias("at")).distinct()
         front = materialized(grown.join(seen, ["bg", *node, "at"], "left_anti"))
         if not front.head(1):
             break
         seen = seen.unionByName(front)
     else:
-        raise RuntimeError("the graph has a cycle, or is deeper than most_rounds")
+        raise RuntimeError("the graph has a cycle")
     if not unambiguous:
         return seen
     a = seen.select("bg", "node_id", F.struct(F.col("at").alias("x"), F.col("start").alias("y")).alias("lo"), F.struct((F.col("at") + F.col("end") - F.col("start")).alias("x"), F.col("end").alias("y")).alias("hi"))
@@ -218,18 +301,18 @@ def spans(edges_: DataFrame, unambiguous: bool = False, most_rounds: int = 10_00
     return seen.join(clash.select("bg", "node_id").distinct(), ["bg", "node_id"], "left_anti")
 
 
-def depth(edges_: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def depth(edges_: DataFrame) -> DataFrame:
     """(bg, node_id, start, end, depth): the longest number of links from START; the layers of a drawing."""
     node = ["node_id", "start", "end"]
     step = materialized(edges_.select("bg", *[F.col(c).alias(n) for c, n in zip(SOURCE, node, strict=True)], *[F.col(c).alias(f"n_{n}") for c, n in zip(TARGET, node, strict=True)]).distinct())
     front = materialized(step.where(F.col("node_id") == S.START_NODE).select("bg", *node).distinct())
     layers = front.withColumn("depth", F.lit(0).cast("long"))
-    for k in range(1, most_rounds):
+    for k in range(1, _deepest(step) + 1):
         front = materialized(front.join(step, ["bg", *node]).select("bg", *[F.col(f"n_{n}").alias(n) for n in node]).distinct())
         if not front.head(1):
             return layers.groupBy("bg", *node).agg(F.max("depth").alias("depth"))
         layers = layers.unionByName(front.withColumn("depth", F.lit(k).cast("long")))
-    raise RuntimeError("the graph has a cycle, or is deeper than most_rounds")
+    raise RuntimeError("the graph has a cycle")
 
 
 def _cut_nodes(pairs: list[tuple]) -> list:

@@ -1,7 +1,7 @@
 """Joins and windows over half-open intervals.
 
-Every join has an equi key. Where one key can hold very many intervals (a whole chromosome), both sides are dealt
-to bins of positions as well, so that no task meets all intervals of a key with all others.
+Every join has an equi key. As one key can hold very many intervals (a whole chromosome), both sides are dealt to
+bins of positions as well, so that no task meets all intervals of a key with all others.
 """
 
 from __future__ import annotations
@@ -10,15 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bases of a bin. A bin holds at most as many blocks of a path, and a genome of 3e9 bases has 730,000 bins.
+BIN = 4096
 
-def _cond(keys: list[str], left: str, right: str) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out &= F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return out
 
+def _bins(df: DataFrame, start: Column, last: Column, bin_size: int) -> DataFrame:
+    """A row for each bin of positions from start to last."""
+    return df.withColumn("_bin", F.explode(F.sequence(F.floor(start / bin_size), F.floor(last / bin_size))))
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str, str], b_range: tuple[str, str], bin_size: int | None = None) -> DataFrame:
+
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str, str], b_range: tuple[str, str], bin_size: int = BIN) -> DataFrame:
     """Rows of a with the rows of b of the same keys whose [start, end) overlaps; b's keys are dropped.
 
     bin_size: bases a bin; a pair that meets in several bins is kept in the first of them. Column names of the two
@@ -26,18 +27,18 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str
     """
     (s, e), (x, y) = a_range, b_range
     meets = (F.col(s) < F.col(y)) & (F.col(x) < F.col(e))
-    if bin_size is None:
-        return a.join(b, keys).where(meets)
-    a = a.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor((F.greatest(F.col(e), F.col(s) + 1) - 1) / bin_size))))
-    b = b.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(x) / bin_size), F.floor((F.greatest(F.col(y), F.col(x) + 1) - 1) / bin_size))))
+    a = _bins(a, F.col(s), F.greatest(F.col(e), F.col(s) + 1) - 1, bin_size)
+    b = _bins(b, F.col(x), F.greatest(F.col(y), F.col(x) + 1) - 1, bin_size)
     first = F.col("_bin") == F.floor(F.greatest(F.col(s), F.col(x)) / bin_size)
     return a.join(b, [*keys, "_bin"]).where(meets & first).drop("_bin")
 
 
-def point_join(points: DataFrame, point: str, blocks: DataFrame, keys: list[str], block_range: tuple[str, str]) -> DataFrame:
+def point_join(points: DataFrame, point: str, blocks: DataFrame, keys: list[str], block_range: tuple[str, str], bin_size: int = BIN) -> DataFrame:
     """Each point with the block [start, end) of its keys that holds it; points in no block are left out."""
     x, y = block_range
-    return points.join(blocks, keys).where((F.col(point) >= F.col(x)) & (F.col(point) < F.col(y)))
+    points = points.withColumn("_bin", F.floor(F.col(point) / bin_size))
+    blocks = _bins(blocks, F.col(x), F.greatest(F.col(y), F.col(x) + 1) - 1, bin_size)
+    return points.join(blocks, [*keys, "_bin"]).where((F.col(point) >= F.col(x)) & (F.col(point) < F.col(y))).drop("_bin")
 
 
 def consecutive(df: DataFrame, keys: list[str], point: str, start: str, end: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import scalars as S
 from strandlake.operators import edits, entities, graph, intervals, paths, versions
 from strandlake.plans import derive as D
-from strandlake.session import table
+from strandlake.session import materialized, table
 from strandlake.sources import writers
 
 QUERIES: dict = {}
@@ -358,7 +358,7 @@ def _layer(linked: DataFrame, layer: int) -> DataFrame:
 
 @query(D.sql_with(["dag"], recursive=True) + _GRAPH["dag"] + _REACH + "SELECT bg, node AS node_id FROM fwd")
 def reachable(spark, d) -> DataFrame:
-    linked = _dag(spark, d)
+    linked = materialized(_dag(spark, d))
     return graph.reachable(linked, _layer(linked, 1)).select("bg", "node_id")
 
 
@@ -366,7 +366,7 @@ def reachable(spark, d) -> DataFrame:
 mid AS (SELECT bg, node FROM fwd INTERSECT SELECT bg, node FROM back)
 SELECT k.bg, s_node, t_node, edge_id, chromosome_index FROM daglinks k JOIN mid a ON a.bg = k.bg AND a.node = k.s_node JOIN mid b ON b.bg = k.bg AND b.node = k.t_node""")
 def intermediate_edges(spark, d) -> DataFrame:
-    linked = _dag(spark, d)
+    linked = materialized(_dag(spark, d))
     return graph.intermediate(linked, _layer(linked, 1), _layer(linked, 3)).select("bg", "s_node", "t_node", "edge_id", "chromosome_index")
 
 
@@ -472,7 +472,7 @@ def articulation_points(spark, d) -> DataFrame:
 
 @query()
 def graph_partitions(spark, d) -> DataFrame:
-    linked = _dag(spark, d)
+    linked = materialized(_dag(spark, d))
     return graph.partitions(graph.depth(linked), graph.articulation_points(linked), 4)
 
 

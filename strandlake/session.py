@@ -38,10 +38,13 @@ _LOCAL: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir, deleted when the JVM ends.
 
-    Where that setting is empty (one machine, as in tests) a local folder takes its place.
+    Where that setting is empty a local master, whose executors are this machine, gets a folder of its own; a cluster
+    must name one that all its machines share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="strandlake-"))
             atexit.register(shutil.rmtree, _LOCAL[0], True)
@@ -52,11 +55,26 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder and read again, so that a loop's plan does not grow."""
-    path = shared_folder(df.sparkSession)
+def forget(written: DataFrame) -> None:
+    """Deletes the files of a result of ``materialized`` that nothing reads any more."""
+    spark = written.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(written._strandlake_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialized(df: DataFrame, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """The rows written once to the shared folder and read again, so that a loop's plan does not grow.
+
+    instead_of: earlier results of this function that nothing reads any more; their files are deleted.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in instead_of:
+        forget(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandlake_path = path
+    return out
 
 
 def ship(spark: SparkSession) -> None:
