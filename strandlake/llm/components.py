@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import written
+from strandlake.session import forget
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -28,16 +29,14 @@ def _stars(links: DataFrame) -> DataFrame:
     return small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): every node of links (a, b), with the smallest node it is connected to."""
     links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    for _ in range(most_rounds):
+    same = False
+    while not same:
         after = written(_stars(links))
         same = links.count() == after.count() and not after.join(links, ["a", "b"], "left_anti").head(1)
-        links = after
-        if same:
-            break
-    else:
-        raise RuntimeError("the components did not settle")
+        before, links = links, after
+        forget(before)
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
