@@ -18,7 +18,8 @@ A border stands only where the EDGE rows on both its sides hold EDGE_RUNS runs,
 hot host is split without changing any result.
 
 Defined cases: null and empty html give an empty text; a null url belongs to the empty host; repeated rows are of one
-run, so that an exact copy does not delete the whole page; an empty table gives no rows.
+run, so that an exact copy does not delete the whole page; rows of one url go by page_id and the html's hash; other
+columns are not looked at, whatever their names; an empty table gives no rows; a very long page is read and aligned whole.
 """
 
 from __future__ import annotations
@@ -52,7 +53,11 @@ NOISE = frozenset(
     "footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion "
     "related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
+INSIDE_NOISE = NOISE - {"header", "masthead"}
 MAIN_WORDS = frozenset("articlebody".split())
+#: Whole classes of the content itself; headings, and headers inside a main part, are content too.
+CONTENT = frozenset("article article-body article-content body content entry entry-content main main-content post post-body post-content story text".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Pages of one task; ranges are made so that each has about this many.
 RANGE_PAGES = 2000
 #: Rows seen beyond a border, and the runs they must hold for the border to stand.
@@ -73,14 +78,15 @@ _SPACE = re.compile(r"[\x20\x09-\x0D\xA0]+")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
-def _marks(attrs: str) -> tuple[bool, bool, bool]:
-    """Whether attributes mark noise, a main part, or hide the element."""
+def _marks(attrs: str, inside: bool = False) -> tuple[bool, bool, bool]:
+    """Whether attributes mark noise, a main part, or hide the element. inside: it stands in a main part."""
     noise = main = hidden = False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            noise |= bool(words & NOISE)
+            whole = set(value.split())
+            # a class that names the content itself outweighs a word of another
+            noise |= bool(set(re.split(r"[^a-z0-9]+", value)) & (INSIDE_NOISE if inside else NOISE)) and not whole & CONTENT
             main |= name == "role" and value in ("main", "article")
         elif name == "itemprop":
             main |= value in MAIN_WORDS
@@ -162,10 +168,10 @@ def lines_of(page: str) -> list[Line]:
             pop()
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCK:
             continue
-        noise, is_main, hidden = _marks(m[3]) if m[3] and m[3].strip() else (False, False, False)
+        noise, is_main, hidden = _marks(m[3], bool(main)) if m[3] and m[3].strip() else (False, False, False)
         is_main |= name in ("main", "article")
         # a page's header is noise, an article's own is not
-        cuts = name in NEVER or hidden or name == "header" and not main or noise and name not in ("html", "body", "main", "article")
+        cuts = name in NEVER or hidden or name == "header" and not main or noise and name not in ("html", "body", "main", "article") and name not in HEADINGS
         if cuts:
             flush()
         if name in RAW:
