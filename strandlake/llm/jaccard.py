@@ -17,7 +17,9 @@ All steps are exact, given that different shingles of compared documents have di
 
 Links are 100 * intersection >= threshold * union. Defined cases: a text of fewer than five words is one shingle,
 the whole sequence; a null text or one without words is the empty set, linked with nothing, its own component;
-repeated rows and equal texts share a component; an empty table gives no rows.
+repeated rows and equal texts share a component; a row without a doc is linked as any other, and a component takes the
+smallest doc of those that have one; other columns are kept as they are, whatever their names; an empty table gives no
+rows; a very long text is read whole.
 """
 
 from __future__ import annotations
@@ -30,15 +32,16 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import chunk_count, release_memory, text_of, written
+from strandlake.llm.common import WORD, chunk_count, release_memory, restored, sheltered, text_of, written
 from strandlake.llm.components import components
 
 WORDS, PERCENT = 5, 75
 #: Sets that share a token and are still paired for it.
 MOST = 32
+#: Documents that are there several times are broadcast up to this many.
+BROADCAST_KEYS = 100_000
 #: Sets of a group of the matrix.
 GROUP = 256
 #: Text that is cut into sets at a time.
@@ -107,7 +110,7 @@ def _unplanes(blob: bytes, kind) -> np.ndarray:
 
 # --- sets and tokens ---------------------------------------------------------------------------------------------
 
-_MEMBERS = "doc string, sid long, n long"
+_MEMBERS = "doc string, tie string, sid long, n long"
 _DEALT = "bucket int, tokens binary, place binary, sids binary, sizes binary"
 
 
@@ -129,7 +132,7 @@ def _member_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _pieces(batches, PIECE_BYTES):
             sets = shingle_sets(table["data"].to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([table["doc"].combine_chunks(), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc", "sid", "n"])
+            yield pa.RecordBatch.from_arrays([table["doc"].combine_chunks(), table["tie"].combine_chunks(), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc", "tie", "sid", "n"])
         release_memory()
 
     return run
@@ -435,12 +438,12 @@ def _cross_family(hot: DataFrame, links: DataFrame, percent: int, group: int) ->
 
 
 def near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, most: int = MOST, group: int = GROUP, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has doc (as text), sid and n of every row; links has pairs (a, b) of sids.
+    """(members, links): members has doc (as text), tie (the digest of the text), sid and n of every row; links has pairs (a, b) of sids.
 
     The links given connect all that are connected; links inside a family need not all be there.
     """
     given = docs.select(F.col(doc).cast("string").alias("doc"), text_of(text).cast("binary").alias("data"))
-    members = written(given.mapInArrow(_member_rows(words), _MEMBERS))
+    members = written(given.withColumn("tie", F.md5("data")).mapInArrow(_member_rows(words), _MEMBERS))
     buckets = chunk_count(given, "data", bucket_bytes)
     dealt = given.select("data").mapInArrow(_dealer(words, buckets), _DEALT)
     found = written(dealt.groupBy("bucket").applyInArrow(_bucket(percent, most, buckets), _FOUND))
@@ -465,24 +468,45 @@ def near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
     return members, written(links.distinct())
 
 
-def with_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """doc, n_shingles and component_id of every row of docs; rows without a doc are their own component, null."""
+def _named(docs: DataFrame, doc: str, text: str, **options) -> DataFrame:
+    """doc, n_shingles, tie (the text's digest) and component (a set's number) of every row."""
     members, links = near_copies(docs, doc, text, **options)
-    kind = docs.schema[doc].dataType
     family = components(links)
-    named = members.select(F.col("doc").cast(kind).alias(doc), "sid", F.col("n").alias("n_shingles"))
-    named = written(named.join(family.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")).drop("sid"))
+    named = members.select(F.col("doc").cast(docs.schema[doc].dataType).alias(doc), "sid", "tie", F.col("n").alias("n_shingles"))
+    return written(named.join(family.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")).drop("sid"))
+
+
+def with_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc, n_shingles and component_id of every row of docs; component_id is null only where no row reached has a doc."""
+    named = _named(docs, doc, text, **options)
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min(doc).alias("component_id"))
     full = named.where("n_shingles > 0").join(least, "component").select(doc, "n_shingles", "component_id")
     return full.unionByName(named.where("n_shingles = 0").select(doc, "n_shingles", F.col(doc).alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The row with the smallest doc of each component; of rows that share it, one."""
-    part = with_components(docs, doc, text, **options).where(F.col(doc) == F.col("component_id")).select(doc).distinct()
-    kept = docs.join(part, doc, "left_semi").unionByName(docs.where(F.col(doc).isNull()))
-    first = W.partitionBy(doc).orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns if c != doc])
-    return kept.withColumn("_copy", F.row_number().over(first)).where((F.col("_copy") == 1) | F.col(doc).isNull()).drop("_copy")
+    """One row of each component: that with the smallest doc, rows without one last, then with the least digest.
+
+    Of rows that have doc and text in common the least by all columns stays. A row without words is linked with
+    nothing, so it stays.
+    """
+    named = _named(docs.select(doc, text), doc, text, **options).where("n_shingles > 0")
+    same = named.groupBy("component", doc, "tie").agg(F.count("*").alias("copies"))
+    first = same.groupBy("component").agg(F.min(F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("d"), "tie", "copies")).alias("k"))
+    keys = written(first.select(F.col("k.d").alias("_kd"), F.col("k.tie").alias("_kt"), F.col("k.copies").alias("_kn")))
+    inner, col = sheltered(docs)
+    rows = inner.withColumns({"_d": col(doc), "_t": F.md5(text_of(col(text)).cast("binary"))})
+    is_key = F.col("_d").eqNullSafe(F.col("_kd")) & (F.col("_t") == F.col("_kt"))
+    once = rows.join(keys.where("_kn = 1"), is_key, "left_semi")
+    several = keys.where("_kn > 1")
+    n = several.count()
+    if n:
+        again = rows.join(F.broadcast(several) if n <= BROADCAST_KEYS else several, is_key, "left_semi")
+        # what is equal is brought together before the shuffle
+        again = again.groupBy("_d", "_t").agg(F.min(F.struct(*inner.columns)).alias("r")).select("r.*", "_d", "_t")
+        once = once.unionByName(again.select(once.columns))
+    wordless = rows.where(~text_of(col(text)).rlike(WORD))
+    return restored(once.unionByName(wordless), docs.columns, [])
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -490,15 +514,15 @@ def op2_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT doc_id, rid, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, rid, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
   ELSE list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS ss FROM w),
 t AS (SELECT rid, unnest(ss) AS g FROM s),
 f AS (SELECT g FROM t GROUP BY g HAVING count(*) > 1),
 u AS (SELECT t.* FROM t JOIN f USING (g)),
 p AS (SELECT x.rid AS a, y.rid AS b, count(*) AS i FROM u x JOIN u y ON x.g = y.g AND x.rid <> y.rid GROUP BY ALL),
-l AS (SELECT sa.doc_id AS a, sb.doc_id AS b FROM p JOIN s sa ON sa.rid = p.a JOIN s sb ON sb.rid = p.b WHERE 100 * i >= 75 * (len(sa.ss) + len(sb.ss) - i)),
-r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
-SELECT doc_id, len(ss)::BIGINT AS n_shingles, component_id FROM s JOIN m ON m.a = s.doc_id
+l AS (SELECT p.a, p.b FROM p JOIN s sa ON sa.rid = p.a JOIN s sb ON sb.rid = p.b WHERE 100 * i >= 75 * (len(sa.ss) + len(sb.ss) - i)),
+r AS (SELECT rid AS a, rid AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT r.a, min(s.doc_id) AS component_id FROM r JOIN s ON s.rid = r.b GROUP BY r.a)
+SELECT doc_id, len(ss)::BIGINT AS n_shingles, component_id FROM s JOIN m ON m.a = s.rid
 """
