@@ -4,19 +4,26 @@ Two histograms describe a document: the classes of the characters in its words,
 language's most common words. The reference of a language holds the median share (in whole thousandths) of each
 class over all its documents, so that even a large minority of junk does not move it. A document is rejected when
 the Jensen-Shannon distance (base 2, 0 to 1) of a histogram from the reference exceeds the limit, provided the
-document is long enough for that histogram to mean anything.
+document is long enough for that histogram to mean anything. A histogram of k classes from n things drawn lies about
+sqrt((k - 1) / (8 n ln 2)) from where they were drawn; the limit is NOISE times that, and a shift for what texts
+are about.
 
-Defined cases: null and empty texts have zero counts and fail the base rules; a document without a language, or
-of a language with fewer than MIN_REFERENCE long documents, is judged by the base rules alone; repeated rows are
-each judged; an empty table gives no rows.
+A document without a language, or of a language with fewer than MIN_REFERENCE long documents, is compared with the
+pooled reference of all documents, with a larger shift and by characters alone.
+
+Defined cases: null and empty texts have zero counts and fail the base rules; where no document is long enough for a
+reference, the base rules judge alone; repeated rows are each judged, and no verdict depends on an order; a column
+that has the name of a result is kept as <name>_given; an empty table gives no rows; a very long text is read whole.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import WORD, text_of, written
+from strandlake.llm.common import WORD, kept_names, restored, sheltered, text_of, written
 
 # Each language's most common words.
 COMMON = {
@@ -24,15 +31,23 @@ COMMON = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "with", "on"],
     "es": ["de", "la", "que", "el", "en", "los", "se", "del", "las", "por"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "que"],
+    "it": ["di", "e", "che", "la", "il", "un", "a", "per", "in", "una"],
+    "nl": ["de", "en", "van", "het", "een", "in", "is", "dat", "op", "te"],
+    "pl": ["w", "i", "na", "z", "do", "nie", "jest", "to", "o", "a"],
+    "pt": ["de", "a", "o", "que", "e", "do", "da", "em", "um", "para"],
+    "ru": ["и", "в", "не", "на", "что", "с", "по", "как", "к", "из"],
+    "sv": ["och", "i", "att", "det", "som", "en", "på", "är", "av", "för"],
 }
 CLASSES = ("lower", "upper", "digit", "symbol", "mark", "other")
 #: Least characters (code points) in words for the character histogram, least words for the word histogram.
 MIN_CHARS, MIN_WORDS = 100, 100
-#: Largest distance of a kept document: a + b / sqrt(n), for the sampling noise of a histogram of n things.
-CHAR_LIMIT, WORD_LIMIT = (0.2, 2.7), (0.08, 2.1)
+#: Shift of the limit of each histogram, and of the characters against the pooled reference; times the noise.
+CHAR_SHIFT, WORD_SHIFT, POOLED_SHIFT, NOISE = 0.13, 0.02, 0.25, 2.0
+CHAR_NOISE, WORD_NOISE = (NOISE * math.sqrt(k / (8 * math.log(2))) for k in (5, 10))
 MIN_REFERENCE = 20
-#: The references joined by broadcast: languages with the most documents first.
-MAX_LANGUAGES = 1000
+#: References are broadcast up to this many languages, joined by a shuffle beyond.
+BROADCAST_LANGUAGES = 10_000
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -113,21 +128,25 @@ def _histograms(df: DataFrame) -> DataFrame:
 
 
 def references(df: DataFrame) -> DataFrame:
-    """(lang, _qh, _qw, _docs): median shares by language, scaled to a sum of 1; at most MAX_LANGUAGES rows."""
+    """(_of, _qh, _qw): median shares by language, scaled to a sum of 1; the row without a language is the pooled one.
+
+    df: features, with _lang.
+    """
     def medians(col: str, n: int) -> list[Column]:
         return [F.coalesce(F.percentile(F.round(F.col(col)[i] * 1000, 0), F.lit(0.5)), F.lit(0.0)).alias(f"{col}{i}") for i in range(n)]
 
-    found = df.where(F.col("lang").isNotNull() & F.col("_ph").isNotNull()).groupBy("lang").agg(F.count("*").alias("_docs"), *medians("_ph", 6), *medians("_pw", 10))
+    long_ = df.where(F.col("_ph").isNotNull())
+    own = long_.where(F.col("_lang").isNotNull()).groupBy("_lang").agg(F.count("*").alias("_docs"), *medians("_ph", 6), *medians("_pw", 10)).where(F.col("_docs") >= MIN_REFERENCE)
+    pooled = long_.agg(F.count("*").alias("_docs"), *medians("_ph", 6)).where("_docs > 0").withColumns({"_lang": F.lit(None).cast("string")} | {f"_pw{i}": F.lit(None).cast("double") for i in range(10)})
 
     def scaled(col: str, n: int, rest: bool) -> Column:
         parts = [F.col(f"{col}{i}") for i in range(n)]
         if rest:
-            return F.array(*[p / 1000 for p in parts], F.lit(1.0) - sum(parts) / 1000)
+            return F.when(parts[0].isNotNull(), F.array(*[p / 1000 for p in parts], F.lit(1.0) - sum(parts) / 1000))
         total = sum(parts)
         return F.when(total > 0, F.array(*[p / total for p in parts]))
 
-    found = found.where(F.col("_docs") >= MIN_REFERENCE)
-    return found.select("lang", "_docs", scaled("_ph", 6, False).alias("_qh"), scaled("_pw", 10, True).alias("_qw")).orderBy(F.col("_docs").desc(), "lang").limit(MAX_LANGUAGES)
+    return own.unionByName(pooled).select(F.col("_lang").alias("_of"), scaled("_ph", 6, False).alias("_qh"), scaled("_pw", 10, True).alias("_qw"))
 
 
 def js_distance(p: str, q: str, n: int) -> Column:
@@ -140,27 +159,41 @@ def js_distance(p: str, q: str, n: int) -> Column:
 
 
 def judge(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with the base counts, base_failed, char_distance, word_distance (null where not judged) and kept.
+    """docs with RESULTS: the base counts, base_failed, the distances (null where not judged) and kept.
 
-    drop: columns of docs, such as the text, that the result need not carry.
+    drop: columns of docs, such as the text, that the result need not carry. A column of docs that has the name of
+    a result becomes <name>_given.
     """
-    mine = {*BASE, "base_failed", "kept", "char_distance", "word_distance"}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in mine])
+    inner, col = sheltered(docs)
+    gone = [f"_in{i}" for i, c in enumerate(docs.columns) if c.lower() in {d.lower() for d in drop}]
     # one pass over the texts; the references and the verdicts come from the features it leaves
-    full = with_repeats(with_common(with_characters(with_words(docs.withColumn("_text", F.col("text")), "_text"), "_text")), "_text")
-    full = written(_histograms(full.drop("_words", "_text", *drop)))
-    full = full.join(F.broadcast(references(full)), "lang", "left")  # at most MAX_LANGUAGES rows
+    full = inner.withColumns({"_text": col("text"), "_lang": col("lang")})
+    full = with_repeats(with_common(with_characters(with_words(full, "_text"), "_text"), lang="_lang"), "_text")
+    full = written(_histograms(full.drop("_words", "_text", *gone)))
+    found = written(references(full))
+    n = found.count()
+    pooled = found.where("_of is null").select(F.col("_qh").alias("_pooled"))  # one row at most
+    own = found.where("_of is not null")
+    full = full.join(F.broadcast(own) if n <= BROADCAST_LANGUAGES else own, F.col("_lang") == F.col("_of"), "left").join(F.broadcast(pooled), F.lit(True), "left")
+    full = full.withColumn("_far", F.col("_of").isNull()).withColumn("_qh", F.when(F.col("_far"), F.col("_pooled")).otherwise(F.col("_qh")))
     full = full.withColumns({
         "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         "char_distance": F.when(F.col("_ph").isNotNull() & F.col("_qh").isNotNull(), js_distance("_ph", "_qh", 6)),
         "word_distance": F.when(F.col("_pw").isNotNull() & F.col("_qw").isNotNull(), js_distance("_pw", "_qw", 11)),
     })
 
-    def near(col: str, n: str, limit: tuple[float, float]) -> Column:
-        return F.coalesce(F.col(col) <= limit[0] + limit[1] / F.sqrt(F.col(n).cast("double")), F.lit(True))
+    def near(distance: str, n: str, shift: Column, noise: float) -> Column:
+        return F.coalesce(F.col(distance) <= shift + noise / F.sqrt(F.col(n).cast("double")), F.lit(True))
+
+    char_shift = F.when(F.col("_far"), POOLED_SHIFT).otherwise(CHAR_SHIFT)
+    kept = ~F.col("base_failed") & near("char_distance", "word_chars", char_shift, CHAR_NOISE) & near("word_distance", "n_words", F.lit(WORD_SHIFT), WORD_NOISE)
+    return restored(full.withColumn("kept", kept), docs.columns, RESULTS, drop)
+
 
-    full = full.withColumn("kept", ~F.col("base_failed") & near("char_distance", "word_chars", CHAR_LIMIT) & near("word_distance", "n_words", WORD_LIMIT))
-    return full.drop("_common", "_ph", "_pw", "_qh", "_qw", "_docs", *[f"_c_{c}" for c in CLASSES])
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep."""
+    full = judge(docs).where("kept")
+    return full.select(*[F.col(n).alias(c) for n, c in zip(kept_names(docs.columns, RESULTS), docs.columns, strict=True)])
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
@@ -192,11 +225,14 @@ p AS (SELECT *, {", ".join(f"CASE WHEN word_chars >= {MIN_CHARS} THEN {x}::DOUBL
   {", ".join(f"CASE WHEN n_words >= {MIN_WORDS} AND common IS NOT NULL THEN k{i}::DOUBLE / n_words END AS pw{i}" for i in range(10))},
   CASE WHEN n_words >= {MIN_WORDS} AND common IS NOT NULL THEN (n_words - {" - ".join(f"k{i}" for i in range(10))})::DOUBLE / n_words END AS pw10 FROM c),
 m AS (SELECT lang, {med("ph{}", "h")}, {med("pw{}", "w")} FROM p WHERE lang IS NOT NULL AND ph0 IS NOT NULL GROUP BY lang HAVING count(*) >= {MIN_REFERENCE}),
-q AS (SELECT lang, {", ".join(f"m{i}h / nullif({total_h}, 0) AS qh{i}" for i in range(6))}, {", ".join(f"m{i}w / 1000 AS qw{i}" for i in range(10))}, 1.0 - ({total_w}) / 1000 AS qw10 FROM m),
-j AS (SELECT p.*, CASE WHEN ph0 IS NOT NULL AND qh0 IS NOT NULL THEN sqrt(greatest({js(6, "h")}, 0.0)) END AS dh, CASE WHEN pw0 IS NOT NULL AND qw0 IS NOT NULL THEN sqrt(greatest({js(11, "w")}, 0.0)) END AS dw FROM p LEFT JOIN q USING (lang)),
+om AS (SELECT {med("ph{}", "h")} FROM p WHERE ph0 IS NOT NULL HAVING count(*) > 0),
+o AS (SELECT {", ".join(f"m{i}h / nullif({total_h}, 0) AS oh{i}" for i in range(6))} FROM om),
+q AS (SELECT lang AS of_lang, {", ".join(f"m{i}h / nullif({total_h}, 0) AS qh{i}" for i in range(6))}, {", ".join(f"m{i}w / 1000 AS qw{i}" for i in range(10))}, 1.0 - ({total_w}) / 1000 AS qw10 FROM m),
+pq AS (SELECT p.*, of_lang IS NULL AS far, {", ".join(f"CASE WHEN of_lang IS NULL THEN oh{i} ELSE qh{i} END AS qh{i}" for i in range(6))}, {", ".join(f"qw{i}" for i in range(11))} FROM p LEFT JOIN q ON q.of_lang = p.lang LEFT JOIN o ON true),
+j AS (SELECT *, CASE WHEN ph0 IS NOT NULL AND qh0 IS NOT NULL THEN sqrt(greatest({js(6, "h")}, 0.0)) END AS dh, CASE WHEN pw0 IS NOT NULL AND qw0 IS NOT NULL THEN sqrt(greatest({js(11, "w")}, 0.0)) END AS dw FROM pq),
 b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM j)
 SELECT doc_id, n_words, word_chars, c3::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(dh <= {CHAR_LIMIT[0]} + {CHAR_LIMIT[1]} / sqrt(word_chars), true) AND coalesce(dw <= {WORD_LIMIT[0]} + {WORD_LIMIT[1]} / sqrt(n_words), true) AS kept
+  NOT base_failed AND coalesce(dh <= CASE WHEN far THEN {POOLED_SHIFT} ELSE {CHAR_SHIFT} END + {CHAR_NOISE} / sqrt(word_chars), true) AND coalesce(dw <= {WORD_SHIFT} + {WORD_NOISE} / sqrt(n_words), true) AS kept
 FROM b
 """
 
