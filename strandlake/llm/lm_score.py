@@ -13,7 +13,8 @@ of its own keys, then scores its documents.
 Words travel as 62 bits of their hash: two of a billion distinct words share one with a chance of about a tenth.
 
 Defined cases: null and empty texts have one token, the end, and one symbol; without any text to learn from every
-symbol costs 257 evenly likely ones; repeated rows are learned from and scored each; an empty table gives no rows.
+symbol costs 257 evenly likely ones; repeated rows are learned from and scored each, and no score depends on an order;
+other columns are not looked at, whatever their names; an empty table gives no rows; a very long text is scored whole.
 """
 
 from __future__ import annotations
@@ -28,11 +29,10 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm import ppm
-from strandlake.llm.common import release_memory, text_of, written
+from strandlake.llm.common import chunk_count, release_memory, text_of, written
 from strandlake.llm.language import remainder
 
 ORDER = 4
@@ -40,7 +40,8 @@ ORDER = 4
 SHARED = 2
 CHUNK_BYTES = 16 << 20
 BATCH_BYTES = 1 << 20
-BUCKETS = 256
+#: Text whose grams make a bucket, about, and the buckets at most: as many as there are pairs of context symbols.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 64, 257 * 257
 WORD_BIT = 1 << 62
 DOCS = -1
 _PACKED = "chunk long, key long, n long, blob binary"
@@ -189,14 +190,16 @@ def _scored(docs: pa.Table, values: pa.Table) -> pa.Table:
 def score(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     given = docs.select(F.col(doc).cast("string").alias("doc"), text_of(text).cast("binary").alias("data"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, chunk_count(given, "data", BUCKET_BYTES)))
     store = written(given.mapInArrow(_packed, _PACKED))
     keys = store.where(F.col("key") >= 0).select("chunk", "key", "n")
 
-    # words: the chunk knows its own count already, so only other totals go back
-    by = W.partitionBy("key").orderBy(F.col("n").desc(), "chunk")
+    # words: the chunk knows its own count already, so only other totals go back; sums are made before the shuffle, and a
+    # word that one chunk alone has needs no answer
     words = keys.where(F.col("key") >= WORD_BIT)
-    words = words.withColumns({"total": F.sum("n").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "first": (F.row_number().over(by) == 1).cast("long")})
-    words = words.where("total != n").select("chunk", "key", F.col("total").cast("double").alias("value"), "first")
+    totals = words.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("chunks"), F.max(F.struct("n", (-F.col("chunk")).alias("c"))).alias("most"))
+    totals = totals.where("chunks > 1").select("key", "total", (-F.col("most.c")).alias("at"))
+    words = words.join(totals, "key").where("total != n").select("chunk", "key", F.col("total").cast("double").alias("value"), (F.col("chunk") == F.col("at")).cast("long").alias("first"))
 
     grams = keys.where(F.col("key") < WORD_BIT)
     low = []
@@ -204,7 +207,7 @@ def score(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text
         rows = grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(ppm.mask(k + 1))).alias("key")).agg(F.sum("n").alias("n")).toPandas().sort_values("key")
         low.append((rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)))
     context = F.shiftright("key", ppm.BITS).bitwiseAND(F.lit(ppm.mask(SHARED)))
-    totals = grams.groupBy("key").agg(F.sum("n").alias("n")).withColumn("bucket", F.pmod(F.xxhash64(context), F.lit(BUCKETS)))
+    totals = grams.groupBy("key").agg(F.sum("n").alias("n")).withColumn("bucket", F.pmod(F.xxhash64(context), F.lit(buckets)))
     resolved = totals.groupBy("bucket").applyInPandas(_resolver(low), "key long, value double")
     back = words.unionByName(grams.select("chunk", "key").join(resolved, "key").select("chunk", "key", "value", F.lit(0).cast("long").alias("first")))
 
