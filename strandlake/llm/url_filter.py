@@ -5,8 +5,10 @@ word of its block. It is an ordinary table, at most MAX_BLOCKS rows of 72 bytes,
 whatever the length of the list. URLs that pass it meet the list itself in an exact hash join, which removes
 the false positives.
 
-Defined cases: a null url or one without ``://`` has an empty host and path, no canonical form, and is
-allowed; repeated rows are each judged; an empty list blocks nothing; an empty table gives no rows.
+Defined cases: a null or empty url or one without ``://`` has an empty host and path, no canonical form, and is
+allowed; repeated rows are each judged, and keys that the list repeats count once; rules of equal length go by host and
+path; an empty list blocks nothing; a column that has the name of a result is kept as <name>_given; an empty table
+gives no rows; a very long url is read whole.
 """
 
 from __future__ import annotations
@@ -16,17 +18,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import ascii_lower
+from strandlake.llm.common import ascii_lower, restored, sheltered, written
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: First words of host labels that put a URL on the list of the registered query.
 BAD_LABELS = ("ads", "adult", "casino", "cheap", "free", "spam")
-#: Blocks of the filter: 2**17 * 72 bytes, 9.4 MB, is all that is ever broadcast.
-MAX_BLOCKS = 1 << 17
+#: Blocks of the filter: 2**19 * 72 bytes, 38 MB, is all that is ever broadcast of it. A list of far more than
+#: MAX_BLOCKS * KEYS_A_BLOCK keys fills it, and more rows go to the exact join; the results are the same.
+MAX_BLOCKS = 1 << 19
 KEYS_A_BLOCK = 32
 #: A longer list is shuffled to its join instead of broadcast.
 BROADCAST_KEYS = 50_000
+RESULTS = ["host", "path", "rule", "verdict"]
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -78,32 +82,36 @@ def bloom_table(listed: DataFrame, key: str, blocks: int) -> DataFrame:
 
 def in_list(df: DataFrame, key: str, listed: DataFrame, listed_key: str, out: str) -> DataFrame:
     """df with the boolean ``out``: whether its key is listed. A null key is not."""
-    keys = listed.select(F.col(listed_key).alias("_listed")).where(F.col("_listed").isNotNull()).distinct()
+    keys = written(listed.select(F.col(listed_key).alias("_listed")).where(F.col("_listed").isNotNull()).distinct())
     n = keys.count()
     blocks = 1
     while blocks < MAX_BLOCKS and blocks * KEYS_A_BLOCK < n:
         blocks *= 2
     bloom = F.broadcast(bloom_table(keys, "_listed", blocks))
     probe = df.withColumn("_block", _block(F.col(key), blocks)).join(bloom, "_block", "left")
-    hit = F.lit(True)
+    hit = F.col(key).isNotNull()
     for i, b in enumerate(_bits(F.col(key))):
         hit &= F.col(f"_w{i}").bitwiseAND(b) == b
-    hit = F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))
-    probe = probe.withColumn("_hit", hit).drop("_block", *[f"_w{i}" for i in range(8)])
+    probe = probe.withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_block", *[f"_w{i}" for i in range(8)])
+    told = F.col("_listed").isNotNull()
+    if n <= BROADCAST_KEYS:
+        # one pass: what the filter does not pass meets no key
+        met = probe.withColumn("_asked", F.when(F.col("_hit"), F.col(key))).join(F.broadcast(keys), F.col("_asked") == F.col("_listed"), "left")
+        return met.withColumn(out, told).drop("_listed", "_asked", "_hit")
+    # only what passes the filter is shuffled
     misses = probe.where(~F.col("_hit")).withColumn(out, F.lit(False))
-    exact = F.broadcast(keys) if n <= BROADCAST_KEYS else keys
-    hits = probe.where("_hit").join(exact, F.col(key) == F.col("_listed"), "left").withColumn(out, F.col("_listed").isNotNull()).drop("_listed")
+    hits = probe.where("_hit").join(keys, F.col(key) == F.col("_listed"), "left").withColumn(out, told).drop("_listed")
     return misses.unionByName(hits).drop("_hit")
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict. ``listed`` has one column of canonical URLs."""
-    pages = pages.drop(*[c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict")])
+    inner, col = sheltered(pages)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    judged = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "_canonical": canonical(F.col(url))})
+    judged = inner.withColumns({"host": host_of(col(url)), "path": path_of(col(url)), "_canonical": canonical(col(url))})
     judged = in_list(judged, "_canonical", listed, listed.columns[0], "_in")
     method = F.when(F.col("_in"), "block").otherwise("allow")
-    return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)}).drop("_canonical", "_in")
+    return restored(judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)}), pages.columns, RESULTS)
 
 
 def listed_urls(pages: DataFrame, labels: Sequence[str] = BAD_LABELS) -> DataFrame:
