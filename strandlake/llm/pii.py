@@ -12,8 +12,10 @@ vote pattern and by feature bucket, whose sizes are fixed by the number of label
 Patterns use possessive repeats, and start a match only where a run starts (or where the last match ended): the
 same matches as the plain patterns, in time linear in the text. Runs of digits too short for a card are left out.
 
-Defined cases: null and empty texts have no spans; repeated rows are each searched; without candidates nothing is
-added; an empty table gives no rows.
+Defined cases: null and empty texts have no spans; repeated rows are each searched; spans of a kind do not overlap, and
+of those of several kinds that do the first counts when they are replaced; without candidates nothing is added; a
+column that has the name of a result is kept as <name>_given; an empty table gives no rows; a very long text is searched
+whole, in time linear in it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import text_of
+from strandlake.llm.common import kept_names, restored, sheltered, text_of
 
 BASE = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -54,24 +56,38 @@ SHAPE = {
 CONTEXT = {"national_id": r"(?i)(no|number|id|nr|#|:|=)\W*$", "secret": r"[=:]\s*[\"']?$"}
 ADDED = tuple(sorted(LOOSE))
 KINDS = BASE + ADDED
+RESULTS = ["spans", *(f"n_{k}" for k in BASE)]
+#: Spans of a block, inside which running values are listed one after another.
+BLOCK = 64
 LABELERS = ("shape", "gazetteer", "context")
 #: Buckets of the classifier's own features: length, and share of digits.
 LENGTHS, DIGITS = (12, 24, 32, 48), (0.1, 0.3, 0.6, 0.95)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>>: spans (code points, end exclusive) and texts of all matches, in order."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    sizes = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("l"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+def running(values: Column, step, zero: int = 0) -> Column:
+    """What step makes of all values before each; in blocks, so that the work follows the number of values."""
+    n = F.size(values)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / BLOCK).cast("int") - 1, F.lit(0))), lambda i: F.slice(values, i * BLOCK + 1, BLOCK))
+
+    def scan(items: Column, start: Column, value) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, first, lambda acc, x: F.struct(step(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    starts = scan(blocks, F.lit(zero), lambda block: F.aggregate(block, F.lit(zero), lambda a, x: step(a, x)))
+    return F.flatten(F.zip_with(blocks, starts, lambda block, start: scan(block, start, lambda x: x)))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["p"]
-        e = s + x["l"]
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+def with_matches(docs: DataFrame, text: Column, pattern: str, worth: Column, out: str) -> DataFrame:
+    """Adds out, array<struct<s, e, m>>: spans (code points, end exclusive) and texts of all matches, in order."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    docs = docs.withColumn("_found", F.when(worth, found).otherwise(F.array().cast("array<string>")))
+    pieces = F.when(F.size("_found") > 0, F.split(text, pattern, -1))
+    sizes = F.zip_with(F.slice(pieces, 1, F.size("_found")), "_found", lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("l"), m.alias("m")))
+    docs = docs.withColumn("_sizes", sizes)
+    docs = docs.withColumn("_before", F.when(F.size("_found") > 0, running(F.transform("_sizes", lambda x: x["p"] + x["l"]), lambda a, x: a + x)))
+    spans = F.zip_with("_sizes", "_before", lambda x, at: F.struct((at + x["p"]).alias("s"), (at + x["p"] + x["l"]).alias("e"), x["m"].alias("m")))
+    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    return docs.withColumn(out, F.when(F.size("_found") > 0, spans).otherwise(none)).drop("_found", "_sizes", "_before")
 
 
 def luhn(digits: Column) -> Column:
@@ -100,7 +116,6 @@ def _keeps(kind: str):
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds _email, _ip, _card and _phone: spans of the base kinds."""
     t = text_of(text)
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
     docs = docs.withColumn("_digits", t.rlike("[0-9]"))
     for kind in BASE:
         worth = F.contains(t, F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)
@@ -109,8 +124,8 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
             worth = worth & t.rlike(r"[0-9](?:[\x20-]?+[0-9]){12}")
         if kind == "ip":
             worth = worth & t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")
-        found = F.when(worth, matches(t, PATTERNS[kind])).otherwise(none)
-        docs = docs.withColumn(f"_{kind}", F.filter(found, _keeps(kind)))
+        docs = with_matches(docs, t, PATTERNS[kind], worth, f"_{kind}")
+        docs = docs.withColumn(f"_{kind}", F.filter(f"_{kind}", _keeps(kind)))
     return docs.drop("_digits")
 
 
@@ -144,11 +159,11 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.concat(*[F.col(f"_{k}") for k in BASE])
     out = []
     for kind in ADDED:
-        found = F.when(t.rlike(LOOSE[kind]), matches(t, LOOSE[kind])).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+        docs = with_matches(docs, t, LOOSE[kind], t.rlike(LOOSE[kind]), f"_loose_{kind}")
         # candidates without any digit are words
-        found = F.filter(found, lambda x: x["m"].rlike("[0-9]") & ~_overlaps(x, base))
+        found = F.filter(f"_loose_{kind}", lambda x: x["m"].rlike("[0-9]") & ~_overlaps(x, base))
         out.append(F.transform(found, _voter(kind, t)))
-    return docs.withColumn("_loose", F.concat(*out))
+    return docs.withColumn("_loose", F.concat(*out)).drop(*[f"_loose_{k}" for k in ADDED])
 
 
 def estimate(counts: dict[tuple, int], rounds: int = 50) -> dict[tuple, float]:
@@ -238,27 +253,49 @@ def _span(kind: str):
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with spans: array<struct<kind, s, e>>, by kind as listed in KINDS, then start; and n_<kind> of base kinds."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"spans", *(f"n_{k}" for k in BASE)}])
-    model = classifier(with_candidates(with_base(docs.select(text), text), text))
-    docs = with_candidates(with_base(docs, text), text)
+    """docs with spans: array<struct<kind, s, e>>, by kind as listed in KINDS, then start; and n_<kind> of base kinds.
+
+    A column of docs that has such a name becomes <name>_given.
+    """
+    inner, col = sheltered(docs)
+    model = classifier(with_candidates(with_base(inner.select(col(text).alias("_text")), "_text"), "_text"))
+    full = with_candidates(with_base(inner.withColumn("_text", col(text)), "_text"), "_text")
     parts = [F.transform(F.col(f"_{k}"), _span(k)) for k in BASE]
     parts += [F.transform(F.filter("_loose", _accepts(k, model[k])), _span(k)) for k in ADDED]
     counts = {f"n_{k}": F.size(f"_{k}").cast("bigint") for k in BASE}
-    return docs.withColumns({"spans": F.concat(*parts)} | counts).drop("_loose", *[f"_{k}" for k in BASE])
+    return restored(full.withColumns({"spans": F.concat(*parts)} | counts), docs.columns, RESULTS)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces each span of the text by its kind in angle brackets; overlapping spans go together, as the first."""
-    order = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """Replaces each span of the text by its kind in angle brackets; overlapping spans go together, as the first.
 
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
-    return docs.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(F.col(text)))
+    The text is cut at every BLOCK-th span first, so that no cut counts its code points from the start of the text.
+    """
+    names = docs.columns
+    order = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    full = docs.withColumn("_order", F.when(F.size("spans") > 0, order))
+    # where the spans before have ended: a span that starts earlier belongs to them
+    full = full.withColumn("_at", F.when(F.size("spans") > 0, running(F.transform("_order", lambda x: x["e"]), lambda a, x: F.greatest(a, x))))
+    cuts = F.zip_with("_order", "_at", lambda x, at: F.struct(at.alias("at"), x["s"].alias("s"), F.greatest(at, x["e"]).alias("to"), F.upper(x["kind"]).alias("kind")))
+    full = full.withColumn("_cuts", F.filter(cuts, lambda x: x["s"] >= x["at"]))
+    whole, n = F.col(text), F.size("_cuts")
+
+    def block(i: Column) -> Column:
+        some = F.slice("_cuts", i * BLOCK + 1, BLOCK)
+        start = some[0]["at"]
+        part = F.struct(F.substr(whole, start + 1, F.element_at(some, -1)["s"] - start).alias("t"), start.alias("from"), some.alias("cuts"))
+        return F.concat_ws("", F.transform(F.array(part), lambda p: F.concat_ws("", F.transform(p["cuts"], lambda x: F.concat(F.substr(p["t"], x["at"] - p["from"] + 1, x["s"] - x["at"]), F.lit("<"), x["kind"], F.lit(">"))))))
+
+    body = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1), block))
+    last = F.array_max(F.transform("_order", lambda x: x["e"]))
+    done = F.concat(body, F.substr(whole, last + 1, F.length(whole)))
+    return full.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(whole)).select(*names)
+
+
+def clean_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs, with the spans that are found in the text replaced."""
+    full = redact(find(docs, text), text)
+    return full.select(*[F.col(n).alias(c) for n, c in zip(kept_names(docs.columns, RESULTS), docs.columns, strict=True)])
 
 
 def spans_text(spans: Column) -> Column:
