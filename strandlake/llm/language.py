@@ -1,34 +1,37 @@
 """Language identification: code lengths under one frozen byte-context model (PPM) for each language.
 
-The model of a language is fitted on a bounded sample of its labelled documents: the SAMPLE_DOCS with the smallest
-hashes among those of at most SAMPLE_CHARS code points. A document is given to the language whose model codes it
-in the fewest bits; the score is that language's share of the probability, all languages being equally likely
-beforehand.
-
-Defined cases: null texts and texts without a letter are ``und`` with score 0, as is everything when no language
-has a sample; ties go to the first language by code point; documents without a language are never learned from;
-repeated rows are each judged; an empty table gives no rows.
+The model of a language is fitted on a bounded sample of its labelled documents: of the distinct texts the
+SAMPLE_DOCS with the smallest hashes, each up to SAMPLE_CHARS code points; where there are very many languages, fewer
+of each, so that the whole sample keeps to SAMPLE_TOTAL. A document is given to the language whose model codes it in
+the fewest bits; the score is that language's share of the probability, all languages being equally likely beforehand.
+
+Defined cases: null and empty texts and texts without a letter are ``und`` with score 0, as is everything when no
+language has a sample; ties go to the first language by code point; documents without a language are never learned
+from; repeated rows are each judged, and copies are learned from once; a column that has the name of a result is kept
+as <name>_given; an empty table gives no rows; a very long text is judged whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm import ppm
+from strandlake.llm.common import restored, sheltered
 
 ORDER = 3
-#: The sample's bound: documents a language, code points a document, languages (those with most documents).
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 300, 10_000, 100
+#: The sample's bounds: documents a language, code points a document, code points in all (one document a language at least).
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 300, 10_000, 100_000_000
+BROADCAST_HASHES = 1_000_000
 #: Bytes of text that are scored together.
 BATCH_BYTES = 2_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def remainder(col: str, n: int) -> Column:
@@ -41,12 +44,17 @@ def _folded(text: str) -> bytes:
 
 
 def sample(docs: DataFrame, learn: Column) -> DataFrame:
-    """(lang, text): the bounded sample of the documents to learn from."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = rows.select("lang", "text", F.xxhash64("text").alias("_h"))
-    first = rows.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_h", "text"))).where(F.col("_n") <= SAMPLE_DOCS)
-    large = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES)
-    return first.join(F.broadcast(large.select("lang")), "lang", "left_semi").select("lang", "text")
+    """(lang, text): the bounded sample of the documents to learn from.
+
+    Hashes are chosen first, without the texts; the rank is cut on the map side, so that no task sorts a language.
+    """
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("_h"))
+    known = rows.select("lang", "_h").distinct()
+    langs = rows.agg(F.countDistinct("lang")).first()[0]
+    most = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // (SAMPLE_CHARS * max(1, langs))))
+    least = known.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= most).drop("_n")
+    least = F.broadcast(least) if langs * most <= BROADCAST_HASHES else least
+    return rows.join(least, ["lang", "_h"], "left_semi").groupBy("lang", "_h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text")).select("lang", "text")
 
 
 def fit(rows: list[tuple[str, str]]) -> dict[str, list[ppm.Level]]:
@@ -96,8 +104,8 @@ def identify(docs: DataFrame, learn: Column) -> DataFrame:
             found = judge(model.value, [t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("_l", "lang_pred", "score")])
-    return docs.withColumn("_l", run(F.col("text"))).select(*docs.columns, "_l.*")
+    inner, col = sheltered(docs)
+    return restored(inner.withColumn("_l", run(col("text"))).select(*inner.columns, "_l.*"), docs.columns, ["lang_pred", "score"])
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
