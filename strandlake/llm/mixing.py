@@ -8,8 +8,9 @@ No window runs over a whole source or over the whole table: running counts are t
 the hash, of the finish time), and the buckets' own sums, a few thousand rows a source, carry the offsets.
 
 Defined cases: null text has size 0, and is never taken; a null source is a source of its own, the last one;
-rows that repeat a doc_id are separate offers, ordered by doc_id, epoch and the text's hash; an empty table
-gives no rows.
+rows that repeat a doc_id are separate offers, told apart by the text's hash and, where that is equal too, by the order
+of their sources; ties of finish time go by source and hash; a null doc_id counts as an empty one; other columns are
+kept as they are, whatever their names; an empty table gives no rows; a very long text is one offer.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import WORD, text_of, written
+from strandlake.llm.common import WORD, restored, sheltered, text_of, written
 
 WEIGHTS = (5, 2, 1)
 #: Budget and cap are ratios of whole numbers, so that targets are exact up to one division.
@@ -105,9 +106,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, epochs: int = EPOCHS, s
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken."""
-    times = mix(docs, **options).where("taken > 0").select("_key", "_copy", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    rows = _numbered(docs.withColumn("_key", row_key())).join(times, ["_key", "_copy"])
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    inner, col = sheltered(docs)
+    three = docs.select("doc_id", "source", "text")
+    times = mix(three, **options).where("taken > 0").select("_key", "_copy", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    named = inner.withColumns({"doc_id": col("doc_id"), "source": col("source"), "text": col("text")})
+    rows = _numbered(named.withColumn("_key", row_key()).drop("doc_id", "text")).join(times, ["_key", "_copy"])
+    return restored(rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))), docs.columns, [])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
