@@ -1,6 +1,12 @@
 """A training corpus from documents: rules, near copies, personal data, mix, tokens.
 
 Each stage gets the rows that the one before it kept, as a table that was written and is read again.
+
+Defined cases, for every stage but the last: all columns of the input come out under their names with their values, but
+for text and n_chars, which personal data changes; columns that are named like an operator's results are no exception.
+Null and empty texts fail the quality rules and so leave at the first stage; rows without a doc_id are rows like others;
+rows that repeat go to one of each in the second stage; very long texts are worked on whole; ties are settled by the
+operators as they say; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,28 +28,27 @@ def tokenizer_path() -> str:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the rules keep."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.kept_rows(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near copies."""
-    return jaccard.one_of_each(docs).select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts by its kind."""
-    clean = pii.redact(pii.find(docs))
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return pii.clean_rows(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source's documents up to its target; a document that is taken twice is there twice."""
-    return mixing.mixed_rows(docs).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's piece ids, and whether decoding them gives its text again."""
-    done = pieces.encode_texts(docs, tokenizer_path())
+    done = pieces.encode_texts(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
     again = F.col("decoded") == F.coalesce("text", F.lit(""))
     return done.select("doc_id", "lang", "source", "n_tokens", "ids", again.alias("round_trip"))
 
