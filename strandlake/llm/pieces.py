@@ -22,9 +22,11 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from pathlib import Path
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -34,10 +36,19 @@ from strandlake.llm.common import release_memory, restored, sheltered, text_of
 
 SPACE = "▁"
 #: Words that each worker keeps, in two generations of this size, and the longest that is kept.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 48
+CACHE_WORDS, CACHE_LENGTH = 120_000, 48
+#: Those that an idle worker holds: the first that it met, which are the most frequent.
+IDLE_WORDS = 40_000
+#: Texts that are encoded at a time.
+TEXTS = 500
 CACHE_PAIRS = 500_000
 
 
+def numbers(said: str) -> np.ndarray:
+    """Decimals joined by commas as numbers of four bytes each."""
+    return np.fromstring(said, np.int32, sep=",") if said else np.zeros(0, np.int32)
+
+
 class PieceEncoder:
     """Encodes like the sentencepiece library does with a BPE model that has byte pieces and identity normalisation."""
 
@@ -226,7 +237,7 @@ class PieceEncoder:
     def encode(self, text: str) -> tuple[list[int], str]:
         """The ids, and the same as decimals joined by commas."""
         said, _ = self.coded(text)
-        return list(map(int, said.split(","))) if said else [], said
+        return numbers(said).tolist(), said
 
     def coded(self, text: str) -> tuple[str, str]:
         """The ids as decimals joined by commas, and the text that they decode to."""
@@ -248,8 +259,9 @@ class PieceEncoder:
         return ",".join(said), "".join(decoded)[1:]
 
     def forget(self) -> None:
-        """Lets the older generation of units go, so that an idle worker holds little more than the model."""
-        self.older = {}
+        """Lets most units go, so that an idle worker holds little more than the model."""
+        first = self.older or self.units
+        self.older, self.units = {}, dict(islice(first.items(), IDLE_WORDS))
 
 
 _LOADED: dict[str, PieceEncoder] = {}
@@ -278,7 +290,8 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", digests:
         use = encoder(model)
         try:
             for texts in batches:
-                yield pd.DataFrame(_rows(use, texts, digests), columns=["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
+                for at in range(0, len(texts), TEXTS):
+                    yield pd.DataFrame(_rows(use, texts.iloc[at : at + TEXTS], digests), columns=["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
         finally:
             use.forget()
             release_memory()
@@ -295,7 +308,7 @@ def _rows(use: PieceEncoder, texts: Iterable[str], digests: bool) -> list[tuple]
         if digests:
             out.append((said.count(",") + 1 if said else 0, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         else:
-            ids = list(map(int, said.split(","))) if said else []
+            ids = numbers(said)
             out.append((len(ids), ids, decoded))
     return out
 
