@@ -156,8 +156,14 @@ def number_or_minus(text: Column) -> Column:
     return F.when(text == "*", F.lit(-1).cast("bigint")).otherwise(text.cast("bigint"))
 
 
+#: Fixed value: the sign of a block whose label has no room.
+BLOCK_SIGN = "\u23fa"
+
+
 def inner_label(text: Column, width: int) -> Column:
-    """At most width characters, the middle given up for three dots."""
+    """At most width characters, the middle given up for three dots; a sign where the width is below five."""
+    if width < 5:
+        return F.when(F.length(text) <= width, text).otherwise(F.lit(BLOCK_SIGN))
     head, tail = (width - 3 + 1) // 2, (width - 3) // 2
     return F.when(F.length(text) <= width, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("..."), F.right(text, F.lit(tail))))
 
@@ -170,6 +176,60 @@ def html_label(text: Column) -> Column:
     return short
 
 
+def clip_label(text: Column, start: Column, window_start: Column, window_width: Column) -> Column:
+    """What of a label at start shows in a window; an ellipsis takes the place of the last character before a cut."""
+    n = F.length(text)
+    end, window_end = start + n - 1, window_start + window_width - 1
+    right = F.when(end > window_end, F.concat(F.substr(text, F.lit(1), (n - (end - window_end) - 1).cast("int")), F.lit("\u2026"))).otherwise(text)
+    both = F.when(window_start > start, F.concat(F.lit("\u2026"), F.substr(right, (window_start - start + 2).cast("int")))).otherwise(right)
+    return F.when((n == 0) | (end < window_start) | (start > window_end), F.lit("")).otherwise(both)
+
+
+def point(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def clip_line(a: Column, b: Column, low: Column, high: Column) -> Column:
+    """struct<a, b>: the part of a line (two points) inside a window (its two corners); null where none is.
+
+    Each side of the window bounds the share of the line that is inside, from below or above.
+    """
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    sides = [(-dx, a["x"] - low["x"]), (dx, high["x"] - a["x"]), (-dy, a["y"] - low["y"]), (dy, high["y"] - a["y"])]
+    first = F.greatest(F.lit(0.0), *[F.when(p < 0, q / p) for p, q in sides])
+    last = F.least(F.lit(1.0), *[F.when(p > 0, q / p) for p, q in sides])
+    beside = F.lit(False)
+    for p, q in sides:
+        beside |= (p == 0) & (q < 0)
+    at = lambda t: point(a["x"] + t * dx, a["y"] + t * dy)
+    return F.when(~beside & (first <= last), F.struct(at(first).alias("a"), at(last).alias("b")))
+
+
+def rectangles_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether two rectangles, each given by two opposite corners, overlap or touch."""
+    on = lambda k: (F.greatest(a[k], b[k]) >= F.least(c[k], d[k])) & (F.greatest(c[k], d[k]) >= F.least(a[k], b[k]))
+    return on("x") & on("y")
+
+
+def braille(p: Column) -> Column:
+    """A point moved to the nearest dot: halves across, quarters down."""
+    return point(F.round(p["x"] * 2) / 2, F.round(p["y"] * 4) / 4)
+
+
+def curve(a: Column, b: Column, points: int) -> Column:
+    """Points of a cubic curve that leaves a and reaches b level: the two, and between them dots of the curve."""
+    middle = (a["x"] + b["x"]) / 2
+
+    def at(i: Column) -> Column:
+        t = i.cast("double") / (points - 1)
+        u = F.lit(1.0) - t
+        along = lambda p0, p1, p2, p3: u * u * u * p0 + 3.0 * u * u * t * p1 + 3.0 * u * t * t * p2 + t * t * t * p3
+        return braille(point(along(a["x"], middle, middle, b["x"]), along(a["y"], a["y"], b["y"], b["y"])))
+
+    inner = F.transform(F.sequence(F.lit(1), F.lit(points - 2)), at) if points > 2 else F.array().cast("array<struct<x:double,y:double>>")
+    return F.concat(F.array(a), inner, F.array(b))
+
+
 def is_terminal(node: Column) -> Column:
     return node.isin(START_NODE, END_NODE)
 

@@ -68,6 +68,11 @@ def paths_of(paths: DataFrame, collection: str, sample: str | None) -> DataFrame
     return paths.where((F.col("collection") == collection) & F.col("sample").eqNullSafe(F.lit(sample)))
 
 
+def operation_files(additions: DataFrame, used: DataFrame) -> DataFrame:
+    """Files (id and further fields) with the operations that use them (file_addition_id, operation_hash), null where none does."""
+    return additions.join(used.withColumnRenamed("file_addition_id", "id"), "id", "left")
+
+
 def graphs_with_edges(graphs: DataFrame, members: DataFrame, edges: DataFrame, sample: str) -> DataFrame:
     """All graphs with the edges of one sample's: the sample is part of the join, not a filter."""
     wanted = members.withColumn("_sample", F.lit(sample))

@@ -386,3 +386,90 @@ def change_blocks(edges: DataFrame, lengths: DataFrame) -> DataFrame:
     inner = ends.where(~S.is_terminal(F.col("node_id")))
     every = inner.unionByName(inner.select("node_id", F.lit(0).cast("long").alias("p"))).unionByName(inner.select("node_id").distinct().join(lengths, "node_id").select("node_id", F.col("length").alias("p")))
     return I.consecutive(every, ["node_id"], "p", "start", "end")
+
+
+def cycle_breaks(edges_: DataFrame) -> DataFrame:
+    """Edges that open what neither START nor END is joined to: (bg, the edge's six fields, chromosome_index, phased).
+
+    A component of three blocks or more without both begins at its first block (the smallest node) and ends at the
+    block from which a link leads back to the first, the largest of several; where none does, at the largest block
+    that nothing leaves. START leads to the one, the other to END, and END back to START. A ring keeps its order
+    that way, turned so that its smallest node comes first.
+    """
+    links_ = materialized(edges_.select("bg", _block(SOURCE).alias("a"), _block(TARGET).alias("b")).distinct())
+    label = components(links_)
+    held = label.groupBy("bg", "component").agg(
+        F.count("*").alias("n"), F.max(F.col("node.node_id") == S.START_NODE).alias("has_start"), F.max(F.col("node.node_id") == S.END_NODE).alias("has_end"), F.max("node").alias("largest"))
+    closed = held.where("n >= 3 and not has_start and not has_end").select("bg", "component", "largest")
+    back = links_.join(closed.select("bg", F.col("component").alias("b")), ["bg", "b"]).groupBy("bg", F.col("b").alias("component")).agg(F.max("a").alias("back"))
+    ends = label.join(links_.select("bg", F.col("a").alias("node")).distinct(), ["bg", "node"], "left_anti").groupBy("bg", "component").agg(F.max("node").alias("sink"))
+    found = closed.join(back, ["bg", "component"], "left").join(ends, ["bg", "component"], "left").select("bg", F.col("component").alias("first"), F.coalesce("back", "sink", "largest").alias("last"))
+    plus, zero = F.lit("+"), F.lit(0).cast("long")
+    one, two = F.lit(S.START_NODE).cast("long"), F.lit(S.END_NODE).cast("long")
+
+    def edge(source: Column, at: Column, target: Column, to: Column) -> Column:
+        return F.struct(source.alias("source_node"), at.alias("source_coordinate"), plus.alias("source_strand"), target.alias("target_node"), to.alias("target_coordinate"), plus.alias("target_strand"))
+
+    three = F.array(edge(one, zero, F.col("first.node_id"), F.col("first.start")), edge(F.col("last.node_id"), F.col("last.end"), two, zero), edge(two, zero, one, zero))
+    return found.select("bg", F.explode(three).alias("e")).select("bg", "e.*", F.lit(S.NO_CHROMOSOME).cast("long").alias("chromosome_index"), F.lit(0).alias("phased"))
+
+
+def highlighted(projected: DataFrame) -> DataFrame:
+    """Blocks of projected paths with the block that follows each: (path_id, idx, part, node_id, start, end, next).
+
+    projected: what project_paths gives. next is null for a path's last block; START and END are left out.
+    """
+    inner = projected.where(~S.is_terminal(F.col("node_id")))
+    follows = F.lead(F.struct("node_id", "start", "end")).over(W.partitionBy("path_id").orderBy("idx", "part"))
+    return inner.select("path_id", "idx", "part", "node_id", "start", "end", follows.alias("next"))
+
+
+# --- drawings ------------------------------------------------------------------------------------------------------
+
+
+def layout(edges_: DataFrame, sweeps: int = 2) -> DataFrame:
+    """(bg, node_id, start, end, layer, place): layers by the longest way from START, and the order inside a layer.
+
+    A sweep orders each layer by the mean place of the blocks that lead to a block, which uncrosses links.
+    """
+    edges_ = materialized(edges_)
+    layers = materialized(depth(edges_).withColumnRenamed("depth", "layer"))
+    w = W.partitionBy("bg", "layer")
+    at = layers.withColumn("place", F.row_number().over(w.orderBy("node_id", "start")) - 1)
+    step = materialized(edges_.select("bg", _block(SOURCE).alias("s"), _block(TARGET).alias("t")).distinct())
+    for _ in range(sweeps):
+        at = materialized(at)
+        named = at.withColumn("t", _block(_NODE))
+        mean = step.join(named.select("bg", F.col("t").alias("s"), "place"), ["bg", "s"]).groupBy("bg", "t").agg((F.sum("place") / F.count("*")).alias("mean"))
+        ordered = F.row_number().over(w.orderBy(F.coalesce("mean", F.col("place").cast("double")), "node_id", "start")) - 1
+        at = named.join(mean, ["bg", "t"], "left").withColumn("place", ordered).select("bg", *_NODE, "layer", "place")
+    return at
+
+
+def scaled_layout(placed: DataFrame, label_width: int, scale: int = 1, aspect: float = 1.0) -> DataFrame:
+    """placed with x1, x2 and y: where each block's label begins and ends, in whole characters.
+
+    A layer is as wide as its widest label (the block's bases, label_width at most); labels stand in its middle, and a
+    layer is moved by the widths of those before. Below a width of five there are no labels, and a block is one wide.
+    """
+    y = F.round(F.col("place") * float(scale * aspect)).cast("long")
+    x = F.round(F.col("layer") * float(scale)).cast("long")
+    placed = placed.withColumns({"x1": x, "y": y})
+    if label_width < 5:
+        return placed.withColumn("x2", F.col("x1") + 1)
+    placed = placed.withColumn("_w", F.least(F.col("end") - F.col("start"), F.lit(label_width)))
+    widths = placed.groupBy("bg", "x1").agg(F.max("_w").alias("_widest"))
+    of_graph = W.partitionBy("bg").orderBy("x1")
+    widths = widths.withColumn("_widest", F.when(F.row_number().over(of_graph) == 1, F.greatest("_widest", F.lit(1))).otherwise(F.col("_widest")))
+    widths = widths.withColumn("_moved", F.coalesce(F.sum("_widest").over(of_graph.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    middle = F.round((F.col("_widest") - F.col("_w")) / 2).cast("long")
+    done = placed.join(widths, ["bg", "x1"]).withColumn("x1", F.col("x1") + middle + F.col("_moved"))
+    return done.withColumn("x2", F.col("x1") + F.col("_w")).select(*[c for c in placed.columns if c != "_w"], "x2")
+
+
+def drawn_links(edges_: DataFrame, scaled: DataFrame) -> DataFrame:
+    """(bg, s_node, .., t_end, x1, y1, x2, y2): links from the end of one label to before the next; START and END have none."""
+    pairs = edges_.select("bg", *SOURCE, *TARGET).distinct().where(~S.is_terminal(F.col("s_node")) & ~S.is_terminal(F.col("t_node")))
+    a = scaled.select("bg", *[F.col(n).alias(c) for n, c in zip(_NODE, SOURCE, strict=True)], F.col("x2").alias("_x1"), F.col("y").alias("y1"))
+    b = scaled.select("bg", *[F.col(n).alias(c) for n, c in zip(_NODE, TARGET, strict=True)], (F.col("x1") - 1).alias("_x2"), F.col("y").alias("y2"))
+    return pairs.join(a, ["bg", *SOURCE]).join(b, ["bg", *TARGET]).select("bg", *SOURCE, *TARGET, F.col("_x1").alias("x1"), "y1", F.col("_x2").alias("x2"), "y2")

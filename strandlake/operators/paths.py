@@ -131,7 +131,25 @@ def with_replacement(path_edges: DataFrame, edits: DataFrame, blocks: DataFrame)
     return kept.unionByName(new).withColumn("idx", F.row_number().over(W.partitionBy("path_id").orderBy("at")) - 1).select("path_id", "idx", "edge_id")
 
 
-def accession_blocks(accessions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Blocks of named parts of paths: accessions (path_id, name, start, end)."""
-    named = accessions.withColumnRenamed("name", "range_id")
-    return partition_range(named, blocks).withColumnRenamed("range_id", "name")
+def accession_edges(accessions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Edges of named parts of paths, in order: (path_id, name, idx, the edge's six fields).
+
+    accessions: (path_id, name, start, end). START leads to where the part begins, its blocks follow each other, and
+    the block that holds the end, or stops there, leads to END; both terminals have the coordinate -1.
+    """
+    length = path_length(blocks)
+    asked = accessions.join(length, "path_id").where((F.col("start") >= 0) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.col("length")))
+    asked = asked.withColumn("_to", F.least(F.col("end") + 1, F.col("length"))).drop("length")
+    met = I.overlap_join(asked, blocks, ["path_id"], ("start", "_to"), ("path_start", "path_end"))
+    w = W.partitionBy("path_id", "name").orderBy("idx")
+    at = lambda c: F.col(c) - F.col("path_start") + F.col("seq_start")
+    plus, outside = F.lit("+"), F.lit(-1).cast("long")
+    first = F.lag("idx").over(w).isNull()
+    row = met.select(
+        "path_id", "name", "idx", (F.row_number().over(w) - 1).cast("long").alias("k"), F.lead("idx").over(w).isNull().alias("last"),
+        F.struct(
+            F.coalesce(F.lag("node_id").over(w), F.lit(S.START_NODE).cast("long")).alias("source_node"), F.coalesce(F.lag("seq_end").over(w), outside).alias("source_coordinate"), F.coalesce(F.lag("strand").over(w), plus).alias("source_strand"),
+            F.col("node_id").alias("target_node"), F.when(first, at("start")).otherwise(F.col("seq_start")).alias("target_coordinate"), F.when(first, plus).otherwise(F.col("strand")).alias("target_strand")).alias("into"),
+        F.struct(F.col("node_id").alias("source_node"), at("end").alias("source_coordinate"), plus.alias("source_strand"), F.lit(S.END_NODE).cast("long").alias("target_node"), outside.alias("target_coordinate"), plus.alias("target_strand")).alias("out"))
+    ends = row.where("last").select("path_id", "name", (F.col("k") + 1).alias("idx"), "out.*")
+    return row.select("path_id", "name", F.col("k").alias("idx"), "into.*").unionByName(ends)

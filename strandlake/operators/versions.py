@@ -96,8 +96,3 @@ def remapped(rows: DataFrame, column: str, *maps: DataFrame) -> DataFrame:
         names.append(f"_new{i}")
         out = out.join(m.select(F.col("old").alias(f"_old{i}"), F.col("new").alias(names[-1])), F.col(column) == F.col(f"_old{i}"), "left").drop(f"_old{i}")
     return out.withColumn(column, F.coalesce(*names, column)).drop(*names)
-
-
-def manifest_missing(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:
-    """Files of the one that the other lacks: what a push copies."""
-    return local.join(remote, keys, "left_anti")

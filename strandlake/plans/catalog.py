@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import scalars as S
@@ -303,6 +303,16 @@ def new_path_with(spark, d) -> DataFrame:
     return paths.with_replacement(D.pedge(spark, d), cut, paths.path_blocks(D.blk(spark, d)))
 
 
+@query(D.sql_with(["off", "pth"]) + f""", n AS (SELECT path_id, max(path_end) AS length FROM off GROUP BY path_id), r AS (SELECT c.*, length FROM ({_CUTS}) c JOIN n USING (path_id) WHERE "end" <= length AND start <= "end"),
+m AS (SELECT r.path_id, r.start AS a, r."end" AS z, o.idx, node_id, seq_start, seq_end, strand, path_start, row_number() OVER w - 1 AS k, lag(node_id) OVER w AS pn, lag(seq_end) OVER w AS pe, lag(strand) OVER w AS ps, lead(o.idx) OVER w IS NULL AS last
+  FROM r JOIN off o ON o.path_id = r.path_id AND r.start < o.path_end AND (o.path_start <= r."end") AND o.path_start < r.length WINDOW w AS (PARTITION BY r.path_id ORDER BY o.idx))
+SELECT path_id, k AS idx, coalesce(pn, 1) AS source_node, coalesce(pe, -1) AS source_coordinate, coalesce(ps, '+') AS source_strand, node_id AS target_node, CASE WHEN pn IS NULL THEN a - path_start + seq_start ELSE seq_start END AS target_coordinate, CASE WHEN pn IS NULL THEN '+' ELSE strand END AS target_strand FROM m
+UNION ALL SELECT path_id, k + 1, node_id, z - path_start + seq_start, '+', 2, -1, '+' FROM m WHERE last""")
+def accession_edges(spark, d) -> DataFrame:
+    named = _cuts(spark, d).select("path_id", F.lit("acc").alias("name"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return paths.accession_edges(named, paths.path_blocks(D.blk(spark, d))).drop("name")
+
+
 # --- graphs --------------------------------------------------------------------------------------------------------
 
 _ENDS = "SELECT bg, source_node AS node_id, source_coordinate AS p FROM {0} WHERE source_node > 2 UNION SELECT bg, target_node, target_coordinate FROM {0} WHERE target_node > 2"
@@ -370,9 +380,9 @@ def intermediate_edges(spark, d) -> DataFrame:
     return graph.intermediate(linked, _layer(linked, 1), _layer(linked, 3)).select("bg", "s_node", "t_node", "edge_id", "chromosome_index")
 
 
-@query(D.sql_with(["edg"]) + _GRAPH["edg"] + """SELECT a.bg, a.node_id, a.start AS s_start, a."end" AS at, b."end" AS t_end, -1 AS edge_id FROM edgblocks a JOIN edgblocks b ON a.bg = b.bg AND a.node_id = b.node_id AND a."end" = b.start AND a.node_id > 2
-WHERE NOT EXISTS (SELECT 1 FROM edglinks l WHERE l.bg = a.bg AND l.s_node = a.node_id AND l.s_start = a.start AND l.s_end = a."end")
-AND NOT EXISTS (SELECT 1 FROM edglinks l WHERE l.bg = b.bg AND l.t_node = b.node_id AND l.t_start = b.start AND l.t_end = b."end")""")
+@query(D.sql_with(["edg"]) + _GRAPH["edg"] + """, outs AS (SELECT DISTINCT bg, s_node AS node_id, s_start AS start, s_end AS "end" FROM edglinks), ins AS (SELECT DISTINCT bg, t_node AS node_id, t_start AS start, t_end AS "end" FROM edglinks),
+a AS (SELECT b.* FROM edgblocks b ANTI JOIN outs o ON o.bg = b.bg AND o.node_id = b.node_id AND o.start = b.start AND o."end" = b."end" WHERE b.node_id > 2), c AS (SELECT b.* FROM edgblocks b ANTI JOIN ins o ON o.bg = b.bg AND o.node_id = b.node_id AND o.start = b.start AND o."end" = b."end" WHERE b.node_id > 2)
+SELECT a.bg, a.node_id, a.start AS s_start, a."end" AS at, c."end" AS t_end, -1 AS edge_id FROM a JOIN c ON a.bg = c.bg AND a.node_id = c.node_id AND a."end" = c.start""")
 def boundary_heal(spark, d) -> DataFrame:
     e = D.edg(spark, d)
     split = graph.blocks(e)
@@ -437,6 +447,12 @@ def project_paths(spark, d) -> DataFrame:
     return graph.project_paths(b, graph.blocks(D.edg(spark, d))).drop("bg")
 
 
+@query(ORACLES["project_paths"].replace("SELECT path_id, idx, part, node_id, start", "SELECT path_id, idx, part, node_id, start, \"end\", lead(node_id) OVER (PARTITION BY path_id ORDER BY idx, part) AS next_node FROM (SELECT path_id, idx, part, node_id, start") + ")")
+def path_highlight(spark, d) -> DataFrame:
+    shown = graph.highlighted(project_paths(spark, d))
+    return shown.select("path_id", "idx", "part", "node_id", "start", "end", F.col("next.node_id").alias("next_node"))
+
+
 _SPANS = """, step AS (SELECT DISTINCT bg, s_node, s_end - s_start AS len, t_node FROM daglinks),
 span AS (SELECT bg, 1 AS node_id, 0 AS at FROM step WHERE s_node = 1 UNION SELECT p.bg, s.t_node, p.at + s.len FROM span p JOIN step s ON s.bg = p.bg AND s.s_node = p.node_id),
 sized AS (SELECT DISTINCT p.bg, p.node_id, p.at, b.start, b."end" FROM span p JOIN dagblocks b ON b.bg = p.bg AND b.node_id = p.node_id)
@@ -465,17 +481,78 @@ def graph_layers(spark, d) -> DataFrame:
     return graph.depth(_dag(spark, d)).select("bg", "node_id", "depth")
 
 
-@query()
+_CUT = """, und AS (SELECT DISTINCT bg, s_node AS a, t_node AS b FROM daglinks WHERE s_node <> t_node UNION SELECT bg, t_node, s_node FROM daglinks WHERE s_node <> t_node),
+whole AS (SELECT bg, a AS x, a AS node FROM und UNION SELECT w.bg, w.x, u.b FROM whole w JOIN und u ON u.bg = w.bg AND u.a = w.node),
+rest AS (SELECT bg, a AS x, min(b) AS node FROM und GROUP BY bg, a UNION SELECT r.bg, r.x, u.b FROM rest r JOIN und u ON u.bg = r.bg AND u.a = r.node AND u.b <> r.x),
+n_whole AS (SELECT bg, x, count(*) AS n FROM whole GROUP BY bg, x), n_rest AS (SELECT bg, x, count(*) AS n FROM rest GROUP BY bg, x),
+cutnode AS (SELECT w.bg, w.x AS node_id FROM n_whole w JOIN n_rest r ON r.bg = w.bg AND r.x = w.x WHERE r.n < w.n - 1)
+"""
+
+
+@query(D.sql_with(["dag"], recursive=True) + _GRAPH["dag"] + _CUT + """SELECT c.bg, c.node_id, b.start, b."end" FROM cutnode c JOIN dagblocks b ON b.bg = c.bg AND b.node_id = c.node_id""")
 def articulation_points(spark, d) -> DataFrame:
+    """Checked by taking out each block in turn."""
     return graph.articulation_points(_dag(spark, d))
 
 
-@query()
+@query(D.sql_with(["dag"], recursive=True) + _GRAPH["dag"] + _CUT + _DEPTH + """, ranked AS (SELECT d.bg, d.node_id, b.start, b."end", row_number() OVER (PARTITION BY d.bg ORDER BY d.depth, d.node_id, b.start) AS rank, c.node_id IS NOT NULL AS cut
+  FROM deep d JOIN dagblocks b ON b.bg = d.bg AND b.node_id = d.node_id LEFT JOIN cutnode c ON c.bg = d.bg AND c.node_id = d.node_id),
+firsts AS (SELECT bg, min(rank) AS rank FROM ranked WHERE cut GROUP BY bg, (rank - 1) // 4)
+SELECT r.bg, r.node_id, r.start, r."end", r.rank, (SELECT count(*) FROM firsts f WHERE f.bg = r.bg AND f.rank < r.rank) AS part FROM ranked r""")
 def graph_partitions(spark, d) -> DataFrame:
     linked = materialized(_dag(spark, d))
     return graph.partitions(graph.depth(linked), graph.articulation_points(linked), 4)
 
 
+_RING = """, r0 AS (SELECT path_id AS bg, idx, (idx * 7 + path_id) % 1000 + 3 AS node, max(idx) OVER (PARTITION BY path_id) AS most FROM blk),
+ring AS (SELECT a.bg, a.node AS s, b.node AS t FROM r0 a JOIN r0 b ON a.bg = b.bg AND b.idx = CASE WHEN a.idx < a.most THEN a.idx + 1 WHEN a.bg % 2 = 0 THEN 0 ELSE -1 END
+  UNION ALL SELECT bg, 1, node FROM r0 WHERE idx = 0 AND bg % 4 = 1 UNION ALL SELECT bg, node, 2 FROM r0 WHERE idx = most AND bg % 4 = 1),
+und AS (SELECT bg, s AS a, t AS b FROM ring UNION SELECT bg, t, s FROM ring), reach AS (SELECT bg, a AS x, a AS node FROM und UNION SELECT r.bg, r.x, u.b FROM reach r JOIN und u ON u.bg = r.bg AND u.a = r.node),
+comp AS (SELECT bg, x AS node, min(node) AS c FROM reach GROUP BY bg, x),
+closed AS (SELECT bg, c, max(node) AS largest FROM comp GROUP BY bg, c HAVING count(*) >= 3 AND NOT bool_or(node = 1) AND NOT bool_or(node = 2)),
+done AS (SELECT k.bg, k.c, coalesce((SELECT max(s) FROM ring g WHERE g.bg = k.bg AND g.t = k.c), (SELECT max(m.node) FROM comp m WHERE m.bg = k.bg AND m.c = k.c AND NOT EXISTS (SELECT 1 FROM ring g WHERE g.bg = m.bg AND g.s = m.node)), largest) AS z FROM closed k)
+"""
+
+
+def _ring(spark, d) -> DataFrame:
+    """Paths as rings, as chains with START and END, and as chains that neither is joined to; all blocks are ten long."""
+    last = F.max("idx").over(Window.partitionBy("path_id"))
+    r = D.blk(spark, d).select(F.col("path_id").alias("bg"), "idx", ((F.col("idx") * 7 + F.col("path_id")) % 1000 + 3).alias("node"), last.alias("most"))
+    to = F.when(F.col("idx") < F.col("most"), F.col("idx") + 1).when(F.col("bg") % 2 == 0, F.lit(0).cast("long")).otherwise(F.lit(-1).cast("long"))
+    inner = r.select("bg", F.col("node").alias("s"), to.alias("at")).join(r.select("bg", F.col("idx").alias("at"), F.col("node").alias("t")), ["bg", "at"]).select("bg", "s", "t")
+    one, two = F.lit(S.START_NODE).cast("long"), F.lit(S.END_NODE).cast("long")
+    every = inner.unionByName(r.where("idx = 0 and bg % 4 = 1").select("bg", one.alias("s"), F.col("node").alias("t"))).unionByName(r.where("idx = most and bg % 4 = 1").select("bg", F.col("node").alias("s"), two.alias("t")))
+    long_ = lambda c: F.when(S.is_terminal(F.col(c)), F.lit(0)).otherwise(F.lit(10)).cast("long")
+    zero = F.lit(0).cast("long")
+    return every.select("bg", F.col("s").alias("s_node"), zero.alias("s_start"), long_("s").alias("s_end"), F.col("t").alias("t_node"), zero.alias("t_start"), long_("t").alias("t_end"))
+
+
+@query(D.sql_with(["blk"], recursive=True) + _RING + "SELECT bg, 1 AS source_node, 0 AS source_coordinate, c AS target_node FROM done UNION ALL SELECT bg, z, 10, 2 FROM done UNION ALL SELECT bg, 2, 0, 1 FROM done")
+def cycle_breaking(spark, d) -> DataFrame:
+    return graph.cycle_breaks(_ring(spark, d)).select("bg", "source_node", "source_coordinate", "target_node")
+
+
+_PLACED = _DEPTH + """, p0 AS (SELECT d.bg, d.node_id, b.start, b."end", d.depth AS layer, row_number() OVER (PARTITION BY d.bg, d.depth ORDER BY d.node_id, b.start) - 1 AS place FROM deep d JOIN dagblocks b ON b.bg = d.bg AND b.node_id = d.node_id),
+""" + "".join(f"""m{k} AS (SELECT s.bg, s.t_node AS node_id, sum(p.place)::DOUBLE / count(*) AS mean FROM step s JOIN p{k} p ON p.bg = s.bg AND p.node_id = s.s_node GROUP BY s.bg, s.t_node),
+p{k + 1} AS (SELECT p.bg, p.node_id, p.start, p."end", p.layer, row_number() OVER (PARTITION BY p.bg, p.layer ORDER BY coalesce(m.mean, p.place::DOUBLE), p.node_id, p.start) - 1 AS place FROM p{k} p LEFT JOIN m{k} m ON m.bg = p.bg AND m.node_id = p.node_id){"," if k == 0 else ""}
+""" for k in range(2))
+
+
+@query(D.sql_with(["dag"], recursive=True) + _GRAPH["dag"] + _PLACED + "SELECT bg, node_id, start, \"end\", layer, place FROM p2")
+def graph_layout(spark, d) -> DataFrame:
+    return graph.layout(_dag(spark, d))
+
+
+@query(D.sql_with(["dag"], recursive=True) + _GRAPH["dag"] + _PLACED + """, w AS (SELECT *, layer * 3 AS x, least("end" - start, 8) AS w FROM p2), g AS (SELECT bg, x, max(w) AS widest FROM w GROUP BY bg, x),
+h AS (SELECT bg, x, CASE WHEN row_number() OVER (PARTITION BY bg ORDER BY x) = 1 THEN greatest(widest, 1) ELSE widest END AS widest FROM g), k AS (SELECT *, coalesce(sum(widest) OVER (PARTITION BY bg ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved FROM h),
+s AS (SELECT w.bg, node_id, (w.x + round((widest - w) / 2) + moved)::BIGINT AS x1, w, (place * 3)::BIGINT AS y FROM w JOIN k ON k.bg = w.bg AND k.x = w.x)
+SELECT a.bg, e.s_node, e.t_node, a.x1 + a.w AS x1, a.y AS y1, b.x1 - 1 AS x2, b.y AS y2 FROM (SELECT DISTINCT bg, s_node, t_node FROM daglinks WHERE s_node > 2 AND t_node > 2) e JOIN s a ON a.bg = e.bg AND a.node_id = e.s_node JOIN s b ON b.bg = e.bg AND b.node_id = e.t_node""")
+def drawn_links(spark, d) -> DataFrame:
+    """Where the links of a drawing begin and end, with labels of eight characters at most."""
+    linked = materialized(_dag(spark, d))
+    return graph.drawn_links(linked, graph.scaled_layout(graph.layout(linked), 8, 3)).select("bg", "s_node", "t_node", "x1", "y1", "x2", "y2")
+
+
 @query(D.sql_with(["edg"]) + """, e AS (SELECT source_node AS node_id, source_coordinate AS p FROM edg UNION SELECT target_node, target_coordinate FROM edg), i AS (SELECT * FROM e WHERE node_id > 2 UNION SELECT node_id, 0 FROM e WHERE node_id > 2 UNION SELECT node_id, 64 FROM e WHERE node_id > 2),
 c AS (SELECT node_id, p AS start, lead(p) OVER (PARTITION BY node_id ORDER BY p) AS "end" FROM i) SELECT * FROM c WHERE "end" IS NOT NULL""")
 def change_graph(spark, d) -> DataFrame:
@@ -483,6 +560,40 @@ def change_graph(spark, d) -> DataFrame:
     return graph.change_blocks(D.edg(spark, d), lengths)
 
 
+_LINE = "SELECT event_id, (event_id % 37 - 9)::DOUBLE AS ax, (user_id % 23 - 6)::DOUBLE AS ay, (user_id % 41 - 11)::DOUBLE AS zx, (event_id % 19 - 5)::DOUBLE AS zy FROM events"
+
+
+@query(f"""WITH l AS ({_LINE}), s AS (SELECT *, zx - ax AS dx, zy - ay AS dy FROM l),
+t AS (SELECT *, greatest(0.0, CASE WHEN dx > 0 THEN ax / -dx WHEN dx < 0 THEN (20.0 - ax) / dx ELSE 0.0 END, CASE WHEN dy > 0 THEN ay / -dy WHEN dy < 0 THEN (10.0 - ay) / dy ELSE 0.0 END) AS t0,
+  least(1.0, CASE WHEN dx > 0 THEN (20.0 - ax) / dx WHEN dx < 0 THEN ax / -dx ELSE 1.0 END, CASE WHEN dy > 0 THEN (10.0 - ay) / dy WHEN dy < 0 THEN ay / -dy ELSE 1.0 END) AS t1 FROM s),
+u AS (SELECT *, t0 <= t1 AND NOT (dx = 0 AND (ax < 0 OR ax > 20)) AND NOT (dy = 0 AND (ay < 0 OR ay > 10)) AS seen FROM t)
+SELECT event_id, seen AS visible, CASE WHEN seen THEN round(ax + t0 * dx, 6) END AS x1, CASE WHEN seen THEN round(ay + t1 * dy, 6) END AS y2,
+  greatest(ax, zx) >= 0 AND 20 >= least(ax, zx) AND greatest(ay, zy) >= 0 AND 10 >= least(ay, zy) AS meets FROM u""")
+def line_clipping(spark, d) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = table(spark, d, "events").select("event_id", S.point(e % 37 - 9, u % 23 - 6).alias("a"), S.point(u % 41 - 11, e % 19 - 5).alias("b"), S.point(F.lit(0), F.lit(0)).alias("low"), S.point(F.lit(20), F.lit(10)).alias("high"))
+    four = [F.col(c) for c in ("a", "b", "low", "high")]
+    cut = rows.select("event_id", S.clip_line(*four).alias("c"), S.rectangles_meet(*four).alias("meets"))
+    return cut.select("event_id", F.col("c").isNotNull().alias("visible"), F.round("c.a.x", 6).alias("x1"), F.round("c.b.y", 6).alias("y2"), "meets")
+
+
+@query("""WITH l AS (SELECT p_partkey, p_name AS t, length(p_name) AS n, (p_partkey % 7 - 3)::BIGINT AS s, (p_size % 9 + 3)::BIGINT AS w FROM part), e AS (SELECT *, s + n - 1 AS z, w - 1 AS wz FROM l),
+r AS (SELECT *, CASE WHEN z > wz THEN substr(t, 1, n - (z - wz) - 1) || '…' ELSE t END AS cut FROM e)
+SELECT p_partkey, CASE WHEN n = 0 OR z < 0 OR s > wz THEN '' WHEN s < 0 THEN '…' || substr(cut, -s + 2) ELSE cut END AS shown FROM r""")
+def label_clipping(spark, d) -> DataFrame:
+    shown = S.clip_label(F.col("p_name"), F.col("p_partkey") % 7 - 3, F.lit(0), F.col("p_size") % 9 + 3)
+    return table(spark, d, "part").select("p_partkey", shown.alias("shown"))
+
+
+@query("""WITH p AS (SELECT p_partkey, (p_partkey % 11)::DOUBLE AS ax, (p_size % 5)::DOUBLE AS ay, (p_partkey % 11 + p_size)::DOUBLE AS zx, (p_partkey % 13)::DOUBLE AS zy FROM part),
+q AS (SELECT *, unnest(generate_series(1, 3)) AS i FROM p), r AS (SELECT *, i / 4.0::DOUBLE AS t, 1.0 - i / 4.0::DOUBLE AS u, (ax + zx) / 2 AS m FROM q)
+SELECT p_partkey, i::BIGINT AS i, round((u * u * u * ax + 3.0 * u * u * t * m + 3.0 * u * t * t * m + t * t * t * zx) * 2) / 2 AS x, round((u * u * u * ay + 3.0 * u * u * t * ay + 3.0 * u * t * t * zy + t * t * t * zy) * 4) / 4 AS y FROM r""")
+def curve_points(spark, d) -> DataFrame:
+    a, b = S.point(F.col("p_partkey") % 11, F.col("p_size") % 5), S.point(F.col("p_partkey") % 11 + F.col("p_size"), F.col("p_partkey") % 13)
+    points = table(spark, d, "part").select("p_partkey", F.posexplode(S.curve(a, b, 5)).alias("i", "p")).where("i between 1 and 3")
+    return points.select("p_partkey", F.col("i").cast("long").alias("i"), "p.x", "p.y")
+
+
 # --- entities ------------------------------------------------------------------------------------------------------
 
 _SIX = "source_node, source_coordinate, source_strand, target_node, target_coordinate, target_strand"
@@ -512,6 +623,15 @@ def graph_members(spark, d) -> DataFrame:
     return joined.groupBy("bg", "edge_id").agg(F.count("*").alias("n"), F.min("chromosome_index").alias("first_index"))
 
 
+@query(D.sql_with(["edg"]) + """, g AS (SELECT DISTINCT bg AS id, (bg % 3)::VARCHAR AS sample FROM edg) SELECT DISTINCT g.id, g.sample, m.edge_id, m.source_node, m.target_node
+FROM g LEFT JOIN edg m ON m.bg = g.id AND g.sample = '1'""")
+def graphs_with_edges(spark, d) -> DataFrame:
+    e = D.edg(spark, d)
+    graphs = e.select(F.col("bg").alias("id"), (F.col("bg") % 3).cast("string").alias("sample")).distinct()
+    found = entities.graphs_with_edges(graphs, e.select("bg", "edge_id"), e.select("edge_id", "source_node", "target_node").distinct(), "1")
+    return found.select("id", "sample", "edge_id", "source_node", "target_node").distinct()
+
+
 _GRAPHS = "SELECT collection, sample, name, count(*) AS n FROM pth GROUP BY ALL"
 
 
@@ -526,6 +646,12 @@ def child_sample_clone(spark, d) -> DataFrame:
     return entities.child_graphs(g.select("id", "collection", "sample", "name"), kids).select("collection", "sample", "name")
 
 
+@query("SELECT p_partkey AS id, p_name AS file_path, u.operation_hash FROM part LEFT JOIN (SELECT DISTINCT l_partkey, md5((l_orderkey % 50)::VARCHAR) AS operation_hash FROM lineitem WHERE l_linenumber = 1) u ON u.l_partkey = p_partkey")
+def operation_files(spark, d) -> DataFrame:
+    used = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("file_addition_id"), F.md5((F.col("l_orderkey") % 50).cast("string").cast("binary")).alias("operation_hash")).distinct()
+    return entities.operation_files(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("file_path")), used)
+
+
 @query(D.sql_with(["edg"]) + "SELECT -bg AS bg, edge_id, chromosome_index, phased FROM edg")
 def graph_clone(spark, d) -> DataFrame:
     members = D.edg(spark, d).select("bg", "edge_id", "chromosome_index", "phased")

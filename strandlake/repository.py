@@ -35,7 +35,12 @@ TABLES = {
     "paths": _schema(path_id=_L, bg=_L, name=_S, made=_L),
     "path_edges": _schema(path_id=_L, idx=_L, edge_id=_L),
     "accessions": _schema(path_id=_L, name=_S, start=_L, end=_L),
+    "accession_edges": _schema(path_id=_L, name=_S, idx=_L, source_node=_L, source_coordinate=_L, source_strand=_S, target_node=_L, target_coordinate=_L, target_strand=_S),
+    "files": _schema(id=_L, file_path=_S, file_type=_S),
+    "operation_files": _schema(file_addition_id=_L, operation=_S),
 }
+#: What refers to what: table, column, and the table and key that it names.
+REFERENCES = (("members", "edge_id", "edges", "edge_id"), ("path_edges", "edge_id", "edges", "edge_id"), ("nodes", "sequence_hash", "sequences", "hash"), ("edges", "source_node", "nodes", "node_id"), ("edges", "target_node", "nodes", "node_id"), ("paths", "bg", "graphs", "id"), ("members", "bg", "graphs", "id"))
 OPERATIONS = _schema(op=_S, parent=_S, branch=_S, kind=_S, made=_L, summary=_S)
 EDGE = edits.EDGE
 
@@ -195,6 +200,29 @@ class Repository:
         self._masked |= {o for o in later if next(r["branch"] for r in self._log if r["op"] == o) == self.branch}
         self._save()
 
+    def missing(self, rows: dict[str, DataFrame]) -> DataFrame:
+        """(table, id): what rows of an operation refer to and neither they nor the store hold."""
+        def held(name: str, key: str) -> DataFrame:
+            here = self.table(name).select(F.col(key).cast("string").alias("id"))
+            return here.unionByName(rows[name].select(F.col(key).cast("string").alias("id"))) if name in rows else here
+
+        out = None
+        for name, column, of, key in REFERENCES:
+            if name not in rows:
+                continue
+            made = rows[name].select(F.col(column).cast("string").alias(f"{of}_id"))
+            if of == "nodes":
+                made = made.where(~F.col("nodes_id").isin(str(S.START_NODE), str(S.END_NODE)))
+            need = versions.dependencies(made, "id", {of: held(of, key)})
+            out = need if out is None else out.unionByName(need)
+        return self.spark.createDataFrame([], "`table` string, id string") if out is None else out.distinct()
+
+    def _complete(self, rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        lost = self.missing(rows).limit(3).collect()
+        if lost:
+            raise ValueError("the operation needs " + ", ".join(f"{r['table']} {r['id']}" for r in lost))
+        return rows
+
     def apply(self, op: str) -> str:
         """The rows of one operation, added to the current branch as a new operation."""
         source = next(r for r in self._log if r["op"] == self.resolve(op))
@@ -203,7 +231,7 @@ class Repository:
             made = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/ops/{source['op']}/{name}")
             here = self.table(name)
             rows[name] = made.join(here, [made[c].eqNullSafe(here[c]) for c in made.columns], "left_anti")
-        return self.commit(f"apply {source['kind']}", rows, source["summary"])
+        return self.commit(f"apply {source['kind']}", self._complete(rows), source["summary"])
 
     def merge(self, branch: str) -> list[str]:
         """All operations of another branch that this one lacks, oldest first."""
@@ -252,7 +280,7 @@ class Repository:
                 made = mine.where(F.col("table") == name).select(F.from_json("row", TABLES[name]).alias("r")).select("r.*")
                 here = self.table(name)
                 new[name] = made.join(here, [made[c].eqNullSafe(here[c]) for c in made.columns], "left_anti")
-            done.append(self.commit(r["kind"], new, r["summary"]))
+            done.append(self.commit(r["kind"], self._complete(new), r["summary"]))
         return done
 
     def push(self, remote: str) -> int:
@@ -271,6 +299,19 @@ class Repository:
 
     # --- views of the tables ---------------------------------------------------------------------------------------
 
+    def add_file(self, path: str, file_type: str = "") -> int:
+        """Notes a file that operations use; its number follows from its path."""
+        made = self.spark.createDataFrame([(path, file_type)], "file_path string, file_type string").withColumn("id", S.key_number(F.col("file_path")))
+        used = made.select(F.col("id").alias("file_addition_id"), F.lit(self.head).cast("string").alias("operation"))
+        number = made.first()["id"]
+        self.commit("add file", {"files": self._new("files", made, ["id"]), "operation_files": used}, path)
+        return number
+
+    def files_of(self, op: str) -> DataFrame:
+        """Files that an operation uses."""
+        used = self.table("operation_files").withColumnRenamed("operation", "operation_hash")
+        return entities.operation_files(self.table("files"), used).where(F.col("operation_hash") == self.resolve(op)).drop("operation_hash")
+
     def views(self) -> None:
         """Registers the current tables as temporary views, for ``query``."""
         for name in TABLES:
@@ -405,6 +446,10 @@ class Repository:
         e = e.unionByName(seg.join(into, "node_id", "left_anti").select(one.alias("source_node"), zero.alias("source_coordinate"), plus.alias("source_strand"), F.col("node_id").alias("target_node"), zero.alias("target_coordinate"), plus.alias("target_strand")))
         e = e.unionByName(seg.join(out, "node_id", "left_anti").select(F.col("node_id").alias("source_node"), F.col("length").alias("source_coordinate"), plus.alias("source_strand"), two.alias("target_node"), zero.alias("target_coordinate"), plus.alias("target_strand")))
         e = e.withColumns({"edge_id": S.key_number(F.concat_ws(":", *EDGE)), "bg": S.key_number(place)})
+        # what neither START nor END is joined to is a ring, and opened
+        whole = e.withColumns({"chromosome_index": F.lit(S.NO_CHROMOSOME).cast("long"), "phased": F.lit(0)})
+        opened = graph.cycle_breaks(graph.block_edges(whole, graph.blocks(whole)))
+        e = e.unionByName(opened.withColumn("edge_id", S.key_number(F.concat_ws(":", *EDGE))).select(e.columns))
         pe = pe.withColumns({"edge_id": S.key_number(F.concat_ws(":", *EDGE)), "path_id": S.key_number(F.concat_ws("#", place, "name"))})
         graph_row = self.spark.range(1).select(S.key_number(place).alias("id"), F.lit(collection).alias("collection"), F.lit(sample).cast("string").alias("sample"), F.lit(name).alias("name"))
         return self.commit("import gfa", {
@@ -440,7 +485,11 @@ class Repository:
 
     def child(self, collection: str, parent: str | None, sample: str) -> dict[str, DataFrame]:
         """Rows of a sample whose graphs are copies of its parent's, for those that it does not have."""
-        made = entities.child_graphs(self.table("graphs"), self.spark.createDataFrame([(collection, parent, sample)], "collection string, parent string, sample string"))
+        return self.children(self.spark.createDataFrame([(collection, parent, sample)], "collection string, parent string, sample string"))
+
+    def children(self, kids: DataFrame) -> dict[str, DataFrame]:
+        """The same for a table of samples (collection, parent, sample), all in one plan; accessions go along."""
+        made = entities.child_graphs(self.table("graphs"), kids)
         have = self.table("graphs").select(F.col("id"))
         made = made.join(have, "id", "left_anti")
         copies = made.select("old", F.col("id").alias("new"))
@@ -449,8 +498,26 @@ class Repository:
             "graphs": made.select("id", "collection", "sample", "name"), "members": entities.cloned(self.table("members"), copies),
             "paths": p.select(F.col("to").alias("path_id"), F.col("new").alias("bg"), "name", F.lit(len(self._log)).alias("made")),
             "path_edges": self.table("path_edges").join(p.select("path_id", "to"), "path_id").select(F.col("to").alias("path_id"), "idx", "edge_id"),
+        } | {
+            name: self.table(name).join(p.select("path_id", "to"), "path_id").withColumn("path_id", F.col("to")).drop("to") for name in ("accessions", "accession_edges")
         }
 
+    def add_accession(self, collection: str, graph_name: str, name: str, start: int, end: int, sample: str | None = None) -> str:
+        """Names the part [start, end) of a graph's current path; a path's names are unique."""
+        p = self.current_paths(self.graphs(collection, sample).where(F.col("name") == graph_name)).select("path_id")
+        made = p.select("path_id", F.lit(name).alias("name"), F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"))
+        if self.table("accessions").join(made.select("path_id", "name"), ["path_id", "name"], "left_semi").head(1):
+            raise ValueError(f"the path has an accession {name}")
+        edges = paths.accession_edges(made, self.path_blocks(p))
+        if not edges.head(1):
+            raise ValueError("the accession lies outside its path")
+        return self.commit("add accession", {"accessions": made, "accession_edges": edges}, name)
+
+    def accession_sequence(self, name: str) -> DataFrame:
+        """(path_id, sequence) of the parts of that name."""
+        part = self.table("accession_edges").where(F.col("name") == name)
+        return paths.path_sequence(paths.blocks_from_edges(part), self.node_texts())
+
     def update_with_vcf(self, path: str, collection: str, genotype: str | None = None, sample: str | None = None, parent: str | None = None) -> str:
         """Variant calls as changes of each sample's graphs. genotype and sample: for files that lack them."""
         calls = readers.vcf(self.spark, path)
@@ -463,11 +530,7 @@ class Repository:
         if edits.out_of_bounds(changes, blocks).head(1):
             raise ValueError("a variant lies outside its sequence")
         new = edits.edit_edges(changes, blocks)
-        names = [r["sample"] for r in calls.select("sample").distinct().collect()]  # the header's samples
-        rows: dict[str, DataFrame] = {}
-        for s in names:
-            for name, df in self.child(collection, parent, s).items():
-                rows[name] = rows[name].unionByName(df) if name in rows else df
+        rows = self.children(calls.select(F.lit(collection).alias("collection"), F.lit(parent).cast("string").alias("parent"), "sample").distinct())
         place = F.concat_ws("/", F.lit(collection), "sample", "chrom")
         e = new.join(changes.select("change_id", S.key_number(place).alias("bg")), "change_id").withColumn("edge_id", S.key_number(F.concat_ws(":", *EDGE)))
         made = changes.select("node_id", "node_hash", "sequence", S.sequence_hash(F.lit("DNA"), F.col("sequence"), F.lit(""), F.lit("")).alias("h"), "node_end").where("node_end > 0")
@@ -476,11 +539,18 @@ class Repository:
         rows |= {
             "sequences": self._new("sequences", made.select(F.col("h").alias("hash"), F.lit("DNA").alias("sequence_type"), "sequence", F.lit("").alias("name"), F.lit("").alias("file_path"), F.col("node_end").alias("length")), ["hash"]),
             "nodes": self._new("nodes", made.select("node_id", F.col("h").alias("sequence_hash"), F.col("node_hash").alias("hash")), ["node_id"]),
-            "edges": self._new("edges", self._edge_rows(e), ["edge_id"]), "members": rows["members"].unionByName(members) if "members" in rows else members,
-            "accessions": self._new("accessions", acc, ["path_id", "name"]),
+            "edges": self._new("edges", self._edge_rows(e), ["edge_id"]), "members": rows["members"].unionByName(members),
+            "accessions": rows["accessions"].unionByName(self._new("accessions", acc, ["path_id", "name"])),
+            "accession_edges": rows["accession_edges"].unionByName(paths.accession_edges(self._new("accessions", acc, ["path_id", "name"]), blocks)),
         }
         return self.commit("update vcf", rows, path)
 
+    def variant_counts(self, path: str, collection: str, parent: str | None = None) -> DataFrame:
+        """(sample, chrom, changes): how many changes the calls of a file make on each path of a sample."""
+        base = self.current_paths(self.graphs(collection, parent)).select("path_id", F.col("graph").alias("chrom"))
+        calls = readers.vcf(self.spark, path).where("gt is not null").join(base, "chrom")
+        return edits.variant_changes(calls).groupBy("sample", "chrom").agg(F.count("*").alias("changes"))
+
     def update_with_edits(self, kind: str, items: DataFrame, collection: str, sample: str, parent: str | None = None, chromosome: int = S.NO_CHROMOSOME, preserve: bool = True) -> str:
         """Edits (graph, start, end, sequence) of a parent's current paths, as a sample; preserve keeps the old bases on a way."""
         base = self.current_paths(self.graphs(collection, parent)).select("path_id", "graph")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import scalars as S
@@ -14,7 +15,8 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def fasta(spark: SparkSession, path: str, shallow: bool = False) -> DataFrame:
     """(name, description, sequence, length); gzip by extension. shallow: the sequence stays in its file."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    # a record starts at a line's start alone; only the file's first one still has its sign
+    records = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", "^>", "")).where(F.length(F.trim("value")) > 0)
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     text = S.without_space(F.regexp_replace("value", r"^[^\r\n]*", ""))
     out = records.select(F.regexp_extract(head, r"^(\S+)", 1).alias("name"), F.trim(F.regexp_extract(head, r"^\S+\s*(.*)$", 1)).alias("description"), text.alias("sequence"))
@@ -43,7 +45,7 @@ def gfa(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     walks = walks.withColumns({"segment": F.expr("substring(x, 2)"), "strand": F.when(F.col("x").startswith("<"), "-").otherwise("+")}).drop("x")
     edge = lambda k: kind(k).select(at(1).alias("source"), at(2).alias("source_strand"), at(3).alias("target"), at(4).alias("target_strand"), at(5).alias("overlap"))
     return {
-        "header": kind("H").select(F.explode(F.slice("f", 2, 100)).alias("tag")), "segments": kind("S").select(at(1).alias("segment"), at(2).alias("sequence")),
+        "header": kind("H").select(F.explode(F.slice("f", 2, F.size("f"))).alias("tag")), "segments": kind("S").select(at(1).alias("segment"), at(2).alias("sequence")),
         "links": edge("L"), "containments": edge("C"), "jumps": edge("J"), "paths": paths, "walks": walks,
     }
 
@@ -102,23 +104,31 @@ def gaf(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("steps", F.transform(step, lambda x: F.struct(F.substr(x, F.lit(2)).alias("segment"), F.when(x.startswith("<"), "-").otherwise("+").alias("strand"))))
 
 
+def _numbered(df: DataFrame, out: str) -> DataFrame:
+    """Adds the number of each row, from 0, in the order of the file: its place in its part, and the rows of the parts before."""
+    df = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    sizes = df.groupBy("_part").agg(F.count("*").alias("_size"))  # a row a part of the file
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.join(sizes.select("_part", before.alias("_before")), "_part").withColumn(out, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
+
+
 def library(spark: SparkSession, path: str) -> DataFrame:
     """A design without a header, columns are slots: (row, slot, part); empty cells are skipped."""
-    f = _lines(spark, path).select(F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("value", ",")).alias("slot", "part"))
+    f = _numbered(_lines(spark, path), "row").select("row", F.posexplode(F.split("value", ",")).alias("slot", "part"))
     return f.withColumn("part", F.trim("part")).where("part != ''")
 
 
 def edit_list(spark: SparkSession, path: str) -> DataFrame:
     """(id, left, sequence, right); an edit without an id is named after its row."""
-    rows = spark.read.option("header", True).csv(path)
-    n = F.concat(F.lit("_gen_"), F.monotonically_increasing_id().cast("string"))
+    rows = _numbered(spark.read.option("header", True).csv(path), "_row")
+    n = F.concat(F.lit("_gen_"), F.col("_row").cast("string"))
     return rows.select(F.coalesce("id", n).alias("id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("left", "sequence", "right")])
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, start, end, rest): from 0, half open; the other fields stay as they are."""
     f = _lines(spark, path).where(~F.col("value").rlike("^(#|track|browser)") & (F.length("value") > 0)).select(F.split("value", "\t").alias("f"))
-    return f.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("start"), F.col("f")[2].cast("long").alias("end"), F.array_join(F.slice("f", 4, 1000), "\t").alias("rest"))
+    return f.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("start"), F.col("f")[2].cast("long").alias("end"), F.array_join(F.slice("f", 4, F.size("f")), "\t").alias("rest"))
 
 
 def gff(spark: SparkSession, path: str) -> DataFrame:
@@ -148,7 +158,8 @@ def genbank(spark: SparkSession, path: str) -> DataFrame:
         flat = F.regexp_replace(x, r"\n {21}(?!/)", " ")
         place = F.regexp_replace(F.regexp_extract(flat, r"^\S+\s+([^\n]*)", 1), r"\s", "")
         numbers = F.transform(F.regexp_extract_all(place, F.lit(r"[0-9]+"), F.lit(0)), lambda n: n.cast("long"))
-        given = F.filter(F.slice(F.split(flat, r"\n {21}/"), 2, 1000), lambda q: q != "")
+        said = F.split(flat, r"\n {21}/")
+        given = F.filter(F.slice(said, 2, F.size(said)), lambda q: q != "")
         pairs = F.transform(given, lambda q: F.struct(F.regexp_extract(q, r"^([^=\n]+)", 1).alias("k"), F.regexp_replace(F.regexp_extract(q, r"(?s)^[^=]+=(.*)$", 1), '^"|"\\s*$', "").alias("v")))
         # a feature may repeat a qualifier: the first is kept under its name, all notes are joined
         keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))

@@ -113,3 +113,56 @@ def test_readers(spark, files):
     assert readers.filled_segments(g["segments"]).count() == 3
     names = spark.createDataFrame([("s#1#c",), ("t#0#c",)], "name string")
     assert {r["genome"] for r in readers.pansn(names).collect()} == {"s", "t"}
+
+
+def test_rings_are_opened(spark, tmp_path, files):
+    """A ring of segments begins at its smallest node; a chain keeps its own ends."""
+    r = Repository(spark, str(tmp_path / "rings"))
+    r.import_gfa(files("ring.gfa", "H\tVN:Z:1.0\nS\ta\tAAAA\nS\tb\tCC\nS\tc\tGGG\nL\ta\t+\tb\t+\t0M\nL\tb\t+\tc\t+\t0M\nL\tc\t+\ta\t+\t0M\nS\tx\tTTTT\nS\ty\tTAT\nL\tx\t+\ty\t+\t0M\n"), "test")
+    e = r.edges(r.graphs("test"))
+    ends = {(x["source_node"], x["target_node"]) for x in e.collect() if x["source_node"] < 3 or x["target_node"] < 3}
+    inner = {x["source_node"]: x["target_node"] for x in e.collect() if x["source_node"] > 2 and x["target_node"] > 2}
+    ring = {a for a in inner if inner.get(inner.get(inner[a], 0), 0) == a}
+    first = min(ring)
+    last = next(a for a in ring if inner[a] == first)
+    x, y = next((a, b) for a, b in inner.items() if a not in ring)
+    assert ends == {(1, first), (last, 2), (2, 1), (1, x), (y, 2)}
+    # the ring is read once around, from its first node
+    assert texts(r) >= {"TTTTTAT"} and len(texts(r)) == 2 and len(max(texts(r), key=len)) == 9
+
+
+def test_accessions(repo, files):
+    repo.add_accession("test", "m123", "part", 4, 20)
+    assert [r["sequence"] for r in repo.accession_sequence("part").collect()] == [REF[4:20]]
+    with pytest.raises(ValueError):
+        repo.add_accession("test", "m123", "part", 1, 3)
+    with pytest.raises(ValueError):
+        repo.add_accession("test", "m123", "far", 20, 400)
+    repo.update_with_fasta(files("u.fa", ">x\nAAAA\n"), "test", "kid", "m123", 2, 5)
+    assert repo.table("accessions").where("name = 'part'").count() == 2
+
+
+def test_operations_need_what_they_name(repo, files, spark, tmp_path):
+    """A patch is not applied where the graph that it changes is not there."""
+    repo.update_with_fasta(files("u.fa", ">x\nAAAA\n"), "test", "kid", "m123", 2, 5)
+    repo.create_patch("HEAD", str(tmp_path / "patch"))
+    with pytest.raises(ValueError, match="needs"):
+        Repository(spark, str(tmp_path / "other")).apply_patch(str(tmp_path / "patch"))
+
+
+def test_files_and_counts(repo, files):
+    vcf = files("n.vcf", call(["a", "b"], (3, "C", "G", ".", ["1/1", "0/1"]), (9, "A", "T", ".", ["0/0", "1/1"])))
+    repo.add_file(vcf, "vcf")
+    assert [r["file_path"] for r in repo.files_of("HEAD~1").collect()] == [vcf]
+    assert {(r["sample"], r["changes"]) for r in repo.variant_counts(vcf, "test").collect()} == {("a", 2), ("b", 3)}
+
+
+def test_readers_read_to_the_end(spark, files):
+    gfa = readers.gfa(spark, files("h.gfa", "H\t" + "\t".join(f"t{i}:i:{i}" for i in range(150)) + "\nS\ta\tAC\n"))
+    assert gfa["header"].count() == 150
+    bed = readers.bed(spark, files("b.bed", "c\t1\t2\t" + "\t".join(map(str, range(1500))) + "\n"))
+    assert bed.first()["rest"].count("\t") == 1499
+    fa = {r["name"]: (r["description"], r["sequence"]) for r in readers.fasta(spark, files("g.fa", ">a x > y\nAC\nGT\n>b\nTT\n")).collect()}
+    assert fa == {"a": ("x > y", "ACGT"), "b": ("", "TT")}
+    csv = files("e.csv", "id,left,sequence,right\n" + "".join(f",a,{'ACGT' * (i % 3)},b\n" for i in range(50)))
+    assert {r["id"] for r in readers.edit_list(spark, csv).collect()} == {f"_gen_{i}" for i in range(50)}
