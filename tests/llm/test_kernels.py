@@ -13,8 +13,9 @@ import numpy as np
 import pytest
 import xxhash
 from helpers import SMALL
+from pyspark.sql import functions as F
 
-from strandlake.llm import html_extract, imatch, jaccard, language, lm_score, pieces, pii, ppm
+from strandlake.llm import html_extract, imatch, jaccard, language, lm_score, pieces, pii, ppm, url_filter
 
 
 @pytest.fixture(scope="module")
@@ -105,6 +106,38 @@ def test_language_accuracy(spark, docs):
     assert language.judge({}, ["text"]) == [("und", 0.0)]
 
 
+def test_language_like_brute_force(spark):
+    """Every prediction and score by the definition of the models, copies counted once."""
+    random.seed(6)
+    word = {"aa": lambda: "".join(random.choices("abcde", k=4)), "bb": lambda: "".join(random.choices("cdefg", k=5)), "cc": lambda: "".join(random.choices("xyzé", k=3))}
+    rows = [(i, " ".join(word[k]() for _ in range(random.randint(1, 8))), k) for i, k in enumerate(["aa", "bb", "cc"] * 6)]
+    rows += [(50, rows[0][1], "aa"), (51, None, "aa"), (52, "²½ 12 _", "bb"), (53, "Abc DEF", None), (54, "", "cc"), (55, "cde", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = {k: sorted({t for _, t, x in rows if x == k and t is not None}) for k in word}
+    for r in language.identify(df, F.lit(True)).collect():
+        if not r["text"] or not any(c.isalpha() for c in r["text"]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cost = {k: slow_bits([t.lower().encode() for t in train[k]], r["text"].lower().encode(), language.ORDER) for k in sorted(train)}
+        best = min(cost, key=cost.get)
+        assert r["lang_pred"] == best and math.isclose(r["score"], 1 / sum(2 ** max(cost[best] - c, -1000) for c in cost.values()), rel_tol=1e-9)
+
+
+# --- url filters ---
+
+
+def test_url_list_whatever_the_joins(spark, monkeypatch):
+    """A filter that is full and a list that is shuffled give the same verdicts."""
+    rows = [(i, f"http://{'spam-' if i % 7 == 0 else ''}h{i % 50}.example.com/p{i % 90}/?a={i % 3}&utm_x=1") for i in range(3000)] + [(3000, None), (3001, ""), (3002, "x" * 10_000 + "://y")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    listed = url_filter.listed_urls(df)
+    whole = sorted(map(tuple, url_filter.url_filter(df, listed).collect()), key=repr)
+    assert sum(r[-1] == "block" for r in whole) == sum(i % 7 == 0 for i in range(3000))
+    monkeypatch.setattr(url_filter, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 1)
+    assert sorted(map(tuple, url_filter.url_filter(df, listed).collect()), key=repr) == whole
+
+
 # --- pieces ---
 
 
@@ -298,6 +331,23 @@ def test_spans(spark, texts):
     assert all(not slow_spans(clean[d] or "") or slow_spans(t or "") for d, t in rows)
 
 
+def test_many_spans_of_one_text(spark):
+    """Hundreds of spans in one text, of several kinds, some of which overlap."""
+    random.seed(10)
+    parts = ["a.b@c.example.org", "1.2.3.4", "4111 1111 1111 1111", "+1 (743) 555-3824", "é", "plain words", "\n", "x1.2.3.4@d.example.com"]
+    rows = [(i, " ".join(random.choices(parts, k=n))) for i, n in enumerate((700, 129, 128, 64, 65, 1, 0))]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(found).collect()}
+    for r in found.collect():
+        assert [f"{s['kind']}:{s['s']}:{s['e']}" for s in r["spans"] if s["kind"] in pii.BASE] == slow_spans(r["text"])
+        out, at = "", 0
+        for s, e, kind in sorted((x["s"], x["e"], x["kind"]) for x in r["spans"]):
+            if s >= at:
+                out += r["text"][at:s] + f"<{kind.upper()}>"
+            at = max(at, e)
+        assert clean[r["doc_id"]] == out + r["text"][at:]
+
+
 def test_estimate():
     p = pii.estimate({(1, 1, 1): 50, (0, -1, 0): 200, (1, -1, 0): 5, (0, -1, -1): 30})
     assert p[1, 1, 1] > 0.9 and p[0, -1, 0] < 0.1
@@ -319,6 +369,50 @@ def test_pages(spark):
         assert got[r["page_id"]] == "\n\n".join(x for x in blocks if x)
 
 
+def slow_extract(rows: list[tuple]) -> dict:
+    """The whole query, a host at a time: runs of nearly equal pages, and the nearest pages around each."""
+    place = lambda u: re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+    hosts = defaultdict(list)
+    for p, u, h in rows:
+        m = place(u)
+        hosts[m[1].lower() if m else ""].append((m[2] if m else "", u or "", str(p), html_extract.lines_of(h or "")))
+    out = {}
+    for pages in hosts.values():
+        runs: list[list] = []
+        for x in sorted(pages, key=lambda x: x[:3]):
+            if runs and html_extract.alike(runs[-1][-1][-1], x[-1]):
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        for i, run in enumerate(runs):
+            before, after = [r[-1][-1] for r in reversed(runs[:i])], [r[0][-1] for r in runs[i + 1 :]]
+            around = []
+            for k in range(html_extract.WITNESSES):
+                around += before[k : k + 1] + after[k : k + 1]
+            for j, x in enumerate(run):
+                near = before[:1] + after[:1]
+                if not near:
+                    near = [next((y[-1] for y in side if y[-1] != x[-1]), None) for side in (run[:j][::-1], run[j + 1 :])]
+                out[int(x[2])] = html_extract.main_text(x[-1], [y for y in near if y is not None], around[: html_extract.WITNESSES])
+    return out
+
+
+def test_pages_like_brute_force(spark):
+    """Neighbours, runs and deleted lines of the driver's pages, with and without the part that they declare."""
+    given = [tuple(r)[:3] for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url", "html").collect()]
+    bare = [(1000 + p, u.replace("://", "://bare."), re.sub(r"</?article>", "", h)) for p, u, h in given]
+    # one notice that all pages of a host share, in plain markup
+    bare = [(p, u, h.replace("<body>", "<body><div>Shared line of the site</div>")) for p, u, h in bare]
+    copies = [(5000 + p, u, h) for p, u, h in bare[:9]] + [(9000, None, "<p>x"), (9001, None, None), (9002, "", "<p>x<p>y")]
+    rows = [*given, *bare, *copies]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = slow_extract(rows)
+    for n in (3, 2000):
+        assert {r["page_id"]: r["text"] for r in html_extract.extract(df, n).collect()} == want
+    hosts = Counter(u.split("/")[2] for _, u, _ in bare)
+    assert all("Shared line" not in want[p] for p, u, _ in bare if hosts[u.split("/")[2]] > 1) and max(hosts.values()) > 1
+
+
 def test_differencing(spark):
     """Without a declared main part, what two pages of a site share is its template."""
     page = lambda body: f"<html><body><div>My site</div><ul><li><a href=/>Home</a></li></ul><div>{body}</div><p>Imprint 2020</p></body></html>"
@@ -329,6 +423,7 @@ def test_differencing(spark):
 
 @pytest.mark.parametrize(("page", "want"), [
     ("<main><h1>T</h1><p>a <b>b</b> c&nbsp;d<p>e<script>x</script></main><div>out</div>", ["T", "a b c d", "e"]), ("<p>a<!-- b --></p><style>c</style>", ["a"]), ("a < b &lt; c", ["a < b < c"]),
+    ("<article><div class='article-header'><h1 class='entry-header'>T</h1><p>lead</div><p>body", ["T", "lead", "body"]), ("<div class='content share'><p>x</div><div class='share-bar'>y</div>", ["x"]),
     ("<article><header>by me</header><div class='comments'>no</div><p>yes</article>", ["by me", "yes"]), ("<article>x<form>y</form>z<aside>w</aside></article>", ["x", "z"]),
 ])
 def test_lines(page, want):
