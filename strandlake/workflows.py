@@ -114,10 +114,14 @@ def make_stitch(repo: Repository, collection: str, names: list[str], sample: str
     pe = repo.path_edges(p).join(p.select("path_id", "bg"), "path_id")
     laid = edits.stitch_edges(e, g.select(F.lit(0).cast("long").alias("new"), "place", F.col("id").alias("bg")), pe.select("bg", "edge_id").distinct()).withColumn("edge_id", S.key_number(F.concat_ws(":", *EDGE)))
     b = repo.path_blocks(p).join(p.select("path_id", "bg"), "path_id").join(g.select(F.col("id").alias("bg"), "place"), "bg")
-    w = W.partitionBy(F.lit(0)).orderBy("place", "idx")
+    # one row a graph: how many steps come before its own, and the last of them
+    of_all = W.orderBy("place")
+    ends = b.groupBy("place").agg(F.max(F.struct("idx", "node_id", "seq_end", "strand")).alias("l"), F.count("*").alias("n"))
+    ends = ends.select("place", F.coalesce(F.sum("n").over(of_all.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"), F.lag("l").over(of_all).alias("_before"))
+    w = W.partitionBy("place").orderBy("idx")
     one, zero, plus = F.lit(S.START_NODE).cast("long"), F.lit(0).cast("long"), F.lit("+")
-    prev = lambda c, other: F.coalesce(F.lag(c).over(w), other)
-    steps = b.select((F.row_number().over(w) - 1).cast("long").alias("idx"), prev("node_id", one).alias("source_node"), prev("seq_end", zero).alias("source_coordinate"), prev("strand", plus).alias("source_strand"), F.col("node_id").alias("target_node"), F.col("seq_start").alias("target_coordinate"), F.col("strand").alias("target_strand"))
+    prev = lambda c, other: F.coalesce(F.lag(c).over(w), F.col(f"_before.{c}"), other)
+    steps = b.join(ends, "place").select((F.col("_offset") + F.row_number().over(w) - 1).cast("long").alias("idx"), prev("node_id", one).alias("source_node"), prev("seq_end", zero).alias("source_coordinate"), prev("strand", plus).alias("source_strand"), F.col("node_id").alias("target_node"), F.col("seq_start").alias("target_coordinate"), F.col("strand").alias("target_strand"))
     last = b.agg(F.max(F.struct("place", "idx", "node_id", "seq_end", "strand")).alias("l"), F.count("*").alias("n"))
     steps = steps.unionByName(last.select(F.col("n").alias("idx"), F.col("l.node_id").alias("source_node"), F.col("l.seq_end").alias("source_coordinate"), F.col("l.strand").alias("source_strand"), F.lit(S.END_NODE).cast("long").alias("target_node"), zero.alias("target_coordinate"), plus.alias("target_strand")))
     steps = steps.withColumn("edge_id", S.key_number(F.concat_ws(":", *EDGE)))
@@ -227,13 +231,13 @@ def genbank_records(repo: Repository, collection: str, sample: str | None = None
     linked = graph.block_edges(e, split)
     on = graph.project_paths(repo.path_blocks(p).join(p.select("path_id", "bg"), "path_id").select("bg", "path_id", "idx", "node_id", "seq_start", "seq_end", "strand"), split)
     text = split.join(repo.node_texts(), "node_id").select("bg", "node_id", "start", "end", S.slice_of(F.col("sequence"), F.col("start"), F.col("end")).alias("text"))
-    rows = on.join(text, ["bg", "node_id", "start", "end"]).select("bg", F.lit("path").alias("kind"), (F.col("idx") * 1_000_000 + F.col("part")).alias("at"), "node_id", "start", "end", F.lit(0).cast("long").alias("t_node"), F.lit(0).cast("long").alias("t_start"), F.lit(0).cast("long").alias("t_end"), "text")
+    rows = on.join(text, ["bg", "node_id", "start", "end"]).select("bg", F.lit("path").alias("kind"), F.col("idx").cast("long").alias("at"), F.col("part").cast("long").alias("part"), "node_id", "start", "end", F.lit(0).cast("long").alias("t_node"), F.lit(0).cast("long").alias("t_start"), F.lit(0).cast("long").alias("t_end"), "text")
     none = F.lit(0).cast("long")
-    rows = rows.unionByName(text.select("bg", F.lit("block").alias("kind"), none.alias("at"), "node_id", "start", "end", none.alias("t_node"), none.alias("t_start"), none.alias("t_end"), "text"))
-    rows = rows.unionByName(linked.select("bg", F.lit("link").alias("kind"), none.alias("at"), F.col("s_node").alias("node_id"), F.col("s_start").alias("start"), F.col("s_end").alias("end"), "t_node", "t_start", "t_end", F.lit("").alias("text")))
+    rows = rows.unionByName(text.select("bg", F.lit("block").alias("kind"), none.alias("at"), none.alias("part"), "node_id", "start", "end", none.alias("t_node"), none.alias("t_start"), none.alias("t_end"), "text"))
+    rows = rows.unionByName(linked.select("bg", F.lit("link").alias("kind"), none.alias("at"), none.alias("part"), F.col("s_node").alias("node_id"), F.col("s_start").alias("start"), F.col("s_end").alias("end"), "t_node", "t_start", "t_end", F.lit("").alias("text")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        main = pdf[pdf.kind == "path"].sort_values("at")
+        main = pdf[pdf.kind == "path"].sort_values(["at", "part"])
         order = [tuple(x) for x in main[["node_id", "start", "end"]].to_numpy().tolist()]
         texts = {(r.node_id, r.start, r.end): r.text for r in pdf[pdf.kind != "link"].itertuples()}
         offset, total = {}, 0
