@@ -83,10 +83,9 @@ def test_one_of_each_by_rows(spark):
 
 def test_many_languages(spark):
     """No language is too many for the rules or the models."""
-    rows = [(i * 20 + j, " ".join(f"{'abcdefghij'[(i + k) % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[(i // 100 + j) % 6]}{k % 7}x" for k in range(60)), f"l{i:04d}") for i in range(1100) for j in range(1)]
+    rows = [(i, " ".join(chr(0x4E00 + i) * 2 + "abcdefg"[k % 7] for k in range(60)), f"l{i:04d}") for i in range(1100)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df.where("doc_id < 3000"), F.lit(True)).collect()}
-    assert len(set(got.values())) > 100
+    assert all(r["lang_pred"] == r["lang"] for r in language.identify(df.where("doc_id < 130"), F.lit(True)).collect())
     more = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(quality.MIN_REFERENCE)))).drop("k")
     judged = quality.judge(more, drop=("text",)).agg(F.count("char_distance").alias("n"), F.max("char_distance").alias("far")).first()
     assert judged["n"] == 1100 * quality.MIN_REFERENCE and judged["far"] < 0.2
