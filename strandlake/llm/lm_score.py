@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm import ppm
@@ -41,7 +42,7 @@ SHARED = 2
 CHUNK_BYTES = 16 << 20
 BATCH_BYTES = 1 << 20
 #: Text whose grams make a bucket, about, and the buckets at most: as many as there are pairs of context symbols.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 64, 257 * 257
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 2 << 20, 64, 257 * 257
 WORD_BIT = 1 << 62
 DOCS = -1
 _PACKED = "chunk long, key long, n long, blob binary"
@@ -194,12 +195,11 @@ def score(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text
     store = written(given.mapInArrow(_packed, _PACKED))
     keys = store.where(F.col("key") >= 0).select("chunk", "key", "n")
 
-    # words: the chunk knows its own count already, so only other totals go back; sums are made before the shuffle, and a
-    # word that one chunk alone has needs no answer
+    # words: the chunk knows its own count already, so only other totals go back; one shuffle serves both sums
+    by = W.partitionBy("key").orderBy(F.col("n").desc(), "chunk")
     words = keys.where(F.col("key") >= WORD_BIT)
-    totals = words.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("chunks"), F.max(F.struct("n", (-F.col("chunk")).alias("c"))).alias("most"))
-    totals = totals.where("chunks > 1").select("key", "total", (-F.col("most.c")).alias("at"))
-    words = words.join(totals, "key").where("total != n").select("chunk", "key", F.col("total").cast("double").alias("value"), (F.col("chunk") == F.col("at")).cast("long").alias("first"))
+    words = words.withColumns({"total": F.sum("n").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "first": (F.row_number().over(by) == 1).cast("long")})
+    words = words.where("total != n").select("chunk", "key", F.col("total").cast("double").alias("value"), "first")
 
     grams = keys.where(F.col("key") < WORD_BIT)
     low = []
