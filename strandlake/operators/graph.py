@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.functions import scalars as S
 from strandlake.operators import intervals as I
-from strandlake.session import materialized
+from strandlake.operators import whole
+from strandlake.session import materialized, once
 
 SOURCE, TARGET = ["s_node", "s_start", "s_end"], ["t_node", "t_start", "t_end"]
 
@@ -76,6 +78,7 @@ def pruned(edges_: DataFrame, reach: bool = True) -> DataFrame:
 
 
 _NODE = ["node_id", "start", "end"]
+_TO = [f"to_{n}" for n in _NODE]
 #: The number of the block that stands for all that are known to be reached.
 _REACHED = -(1 << 63)
 #: Links that a job of a search goes ahead, the jobs until a graph is deep, and the doublings of a round of contraction.
@@ -89,13 +92,28 @@ def _block(cols: list[str]) -> Column:
 def reachable(edges_: DataFrame, seeds: DataFrame, backwards: bool = False) -> DataFrame:
     """(bg, node_id, start, end): blocks that can be reached from the seeds, these included.
 
+    Graphs that fit a task are searched there (see whole), the others by _spread_reachable.
+    """
+    a, b = (TARGET, SOURCE) if backwards else (SOURCE, TARGET)
+    step = edges_.select("bg", *[F.col(c).cast("long").alias(n) for c, n in zip(a, _NODE, strict=True)], *[F.col(c).cast("long").alias(n) for c, n in zip(b, _TO, strict=True)]).na.drop(subset=[*_NODE, *_TO])
+    nothing = [F.lit(None).cast("long").alias(n) for n in _TO]
+    rows = materialized(step.unionByName(seeds.select("bg", *[F.col(c).cast("long").alias(c) for c in _NODE], *nothing)))
+    small, large = whole.parted(rows)
+    found = whole.by_graph(small, whole.reached_blocks, rows.select("bg", *_NODE).schema)
+    if large is None:
+        return materialized(found)
+    return materialized(found).unionByName(_spread_reachable(large.where("to_node_id is not null").distinct(), large.where("to_node_id is null").select("bg", *_NODE)))
+
+
+def _spread_reachable(step: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Reachability of large graphs over ways (bg, block, to block), each graph spread over all tasks.
+
     A few jobs go STEPS links ahead each, breadth first, which is all for shallow graphs. What is left of deeper ones is
     contracted (see _contracted), so that the rounds do not follow the depth. All graphs advance together.
     """
-    a, b = (TARGET, SOURCE) if backwards else (SOURCE, TARGET)
-    to = [f"to_{n}" for n in _NODE]
-    step = materialized(edges_.select("bg", *[F.col(c).cast("long").alias(n) for c, n in zip(a, _NODE, strict=True)], *[F.col(c).cast("long").alias(n) for c, n in zip(b, to, strict=True)]).distinct())
-    front = seen = materialized(seeds.select("bg", *[F.col(c).cast("long").alias(c) for c in _NODE]).distinct())
+    to = _TO
+    step = materialized(step)
+    front = seen = materialized(seeds.distinct())
     for _ in range(SHALLOW_JOBS):
         at, every = front, None
         for k in range(1, STEPS + 1):
@@ -145,6 +163,19 @@ def _contracted(ways: DataFrame, first: DataFrame) -> DataFrame:
 
 def intermediate(edges_: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges on a way from a source to a target: both ends reached from the sources and reaching the targets."""
+    edges_ = once(edges_)
+    kinds = {f.name: f.dataType for f in edges_.schema}
+    seeds = lambda df, k: df.select("bg", *[F.col(n).cast(kinds[c]).alias(c) for n, c in zip(_NODE, SOURCE, strict=True)], F.lit(k).alias("_kind"))
+    rows = edges_.withColumn("_kind", F.lit(0)).unionByName(materialized(seeds(sources, 1).unionByName(seeds(targets, 2))), allowMissingColumns=True)
+    small, large = whole.parted(rows)
+    found = whole.by_graph(small, whole.between, edges_.schema)
+    if large is None:
+        return found
+    sources, targets = (large.where(F.col("_kind") == k).select("bg", *[F.col(c).alias(n) for c, n in zip(SOURCE, _NODE, strict=True)]) for k in (1, 2))
+    return found.unionByName(_spread_intermediate(large.where("_kind = 0").drop("_kind"), sources, targets))
+
+
+def _spread_intermediate(edges_: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     edges_ = materialized(edges_)
     both = reachable(edges_, sources).join(reachable(edges_, targets, backwards=True), ["bg", "node_id", "start", "end"])
     named = lambda cols: both.select("bg", *[F.col(n).alias(c) for n, c in zip(("node_id", "start", "end"), cols, strict=True)])
@@ -165,6 +196,25 @@ def boundary_heal(split: DataFrame, edges_: DataFrame) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(bg, node, component): the smallest node that each node is connected to. pairs: (bg, a, b).
 
+    Graphs that fit a task are labelled there (see whole) if nodes are whole numbers or structs of them, the others by
+    _spread_components.
+    """
+    kind = pairs.schema["a"].dataType
+    fields = kind.fields if isinstance(kind, T.StructType) else [T.StructField("", kind)]
+    if pairs.schema["b"].dataType != kind or not all(isinstance(f.dataType, T.IntegralType) for f in fields):
+        return _spread_components(pairs)
+    flat = [F.col(x if not f.name else f"{x}.{f.name}").alias(f"{x}{i}") for x in "ab" for i, f in enumerate(fields)]
+    rows = materialized(pairs.select("bg", *flat).na.drop())
+    node = lambda x: F.struct(*[F.col(f"{x}{i}").alias(f.name) for i, f in enumerate(fields)]) if isinstance(kind, T.StructType) else F.col(f"{x}0")
+    out = T.StructType([rows.schema["bg"], *[T.StructField(f"{x}{i}", f.dataType) for x in "nc" for i, f in enumerate(fields)]])
+    small, large = whole.parted(rows)
+    found = materialized(whole.by_graph(small, whole.component_labels(len(fields)), out).select("bg", node("n").alias("node"), node("c").alias("component")))
+    return found if large is None else found.unionByName(_spread_components(large.select("bg", node("a").alias("a"), node("b").alias("b"))))
+
+
+def _spread_components(pairs: DataFrame) -> DataFrame:
+    """Components of large graphs, each spread over all tasks.
+
     Labels spread along the pairs and along labels themselves, so that long chains take few rounds.
     """
     both = pairs.select("bg", "a", "b").unionByName(pairs.select("bg", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -388,6 +438,18 @@ def change_blocks(edges: DataFrame, lengths: DataFrame) -> DataFrame:
     return I.consecutive(every, ["node_id"], "p", "start", "end")
 
 
+def _spread_closed(pairs: DataFrame) -> DataFrame:
+    """(bg, first, last): of parts of large graphs without START and END, where cycle_breaks opens them."""
+    links_ = materialized(pairs.distinct())
+    label = _spread_components(links_)
+    held = label.groupBy("bg", "component").agg(
+        F.count("*").alias("n"), F.max(F.col("node.node_id") == S.START_NODE).alias("has_start"), F.max(F.col("node.node_id") == S.END_NODE).alias("has_end"), F.max("node").alias("largest"))
+    closed = held.where("n >= 3 and not has_start and not has_end").select("bg", "component", "largest")
+    back = links_.join(closed.select("bg", F.col("component").alias("b")), ["bg", "b"]).groupBy("bg", F.col("b").alias("component")).agg(F.max("a").alias("back"))
+    ends = label.join(links_.select("bg", F.col("a").alias("node")).distinct(), ["bg", "node"], "left_anti").groupBy("bg", "component").agg(F.max("node").alias("sink"))
+    return closed.join(back, ["bg", "component"], "left").join(ends, ["bg", "component"], "left").select("bg", F.col("component").alias("first"), F.coalesce("back", "sink", "largest").alias("last"))
+
+
 def cycle_breaks(edges_: DataFrame) -> DataFrame:
     """Edges that open what neither START nor END is joined to: (bg, the edge's six fields, chromosome_index, phased).
 
@@ -396,14 +458,13 @@ def cycle_breaks(edges_: DataFrame) -> DataFrame:
     that nothing leaves. START leads to the one, the other to END, and END back to START. A ring keeps its order
     that way, turned so that its smallest node comes first.
     """
-    links_ = materialized(edges_.select("bg", _block(SOURCE).alias("a"), _block(TARGET).alias("b")).distinct())
-    label = components(links_)
-    held = label.groupBy("bg", "component").agg(
-        F.count("*").alias("n"), F.max(F.col("node.node_id") == S.START_NODE).alias("has_start"), F.max(F.col("node.node_id") == S.END_NODE).alias("has_end"), F.max("node").alias("largest"))
-    closed = held.where("n >= 3 and not has_start and not has_end").select("bg", "component", "largest")
-    back = links_.join(closed.select("bg", F.col("component").alias("b")), ["bg", "b"]).groupBy("bg", F.col("b").alias("component")).agg(F.max("a").alias("back"))
-    ends = label.join(links_.select("bg", F.col("a").alias("node")).distinct(), ["bg", "node"], "left_anti").groupBy("bg", "component").agg(F.max("node").alias("sink"))
-    found = closed.join(back, ["bg", "component"], "left").join(ends, ["bg", "component"], "left").select("bg", F.col("component").alias("first"), F.coalesce("back", "sink", "largest").alias("last"))
+    rows = materialized(edges_.select("bg", *[F.col(c).cast("long").alias(c) for c in [*SOURCE, *TARGET]]))
+    small, large = whole.parted(rows)
+    names = [f"{x}_{n}" for x in ("first", "last") for n in ("node", "start", "end")]
+    found = whole.by_graph(small, whole.closed_parts, T.StructType([rows.schema["bg"], *[T.StructField(n, T.LongType()) for n in names]]))
+    found = found.select("bg", _block(names[:3]).alias("first"), _block(names[3:]).alias("last"))
+    if large is not None:
+        found = found.unionByName(_spread_closed(large.select("bg", _block(SOURCE).alias("a"), _block(TARGET).alias("b"))))
     plus, zero = F.lit("+"), F.lit(0).cast("long")
     one, two = F.lit(S.START_NODE).cast("long"), F.lit(S.END_NODE).cast("long")
 

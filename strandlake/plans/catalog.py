@@ -516,12 +516,14 @@ done AS (SELECT k.bg, k.c, coalesce((SELECT max(s) FROM ring g WHERE g.bg = k.bg
 
 def _ring(spark, d) -> DataFrame:
     """Paths as rings, as chains with START and END, and as chains that neither is joined to; all blocks are ten long."""
-    last = F.max("idx").over(Window.partitionBy("path_id"))
-    r = D.blk(spark, d).select(F.col("path_id").alias("bg"), "idx", ((F.col("idx") * 7 + F.col("path_id")) % 1000 + 3).alias("node"), last.alias("most"))
-    to = F.when(F.col("idx") < F.col("most"), F.col("idx") + 1).when(F.col("bg") % 2 == 0, F.lit(0).cast("long")).otherwise(F.lit(-1).cast("long"))
-    inner = r.select("bg", F.col("node").alias("s"), to.alias("at")).join(r.select("bg", F.col("idx").alias("at"), F.col("node").alias("t")), ["bg", "at"]).select("bg", "s", "t")
+    w = Window.partitionBy("path_id").orderBy("idx")
+    node = (F.col("idx") * 7 + F.col("path_id")) % 1000 + 3
+    r = D.blk(spark, d).withColumn("node", node).select(F.col("path_id").alias("bg"), "idx", "node", F.lead("node").over(w).alias("next"), F.first("node").over(w).alias("head"))
     one, two = F.lit(S.START_NODE).cast("long"), F.lit(S.END_NODE).cast("long")
-    every = inner.unionByName(r.where("idx = 0 and bg % 4 = 1").select("bg", one.alias("s"), F.col("node").alias("t"))).unionByName(r.where("idx = most and bg % 4 = 1").select("bg", F.col("node").alias("s"), two.alias("t")))
+    at, last, chain = F.col("node"), F.col("next").isNull(), F.col("bg") % 4 == 1
+    way = lambda s, t: F.struct(s.alias("s"), t.alias("t"))
+    ways = F.array(F.when(~last, way(at, F.col("next"))), F.when(last & (F.col("bg") % 2 == 0), way(at, F.col("head"))), F.when((F.col("idx") == 0) & chain, way(one, at)), F.when(last & chain, way(at, two)))
+    every = r.select("bg", F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("w")).select("bg", "w.s", "w.t")
     long_ = lambda c: F.when(S.is_terminal(F.col(c)), F.lit(0)).otherwise(F.lit(10)).cast("long")
     zero = F.lit(0).cast("long")
     return every.select("bg", F.col("s").alias("s_node"), zero.alias("s_start"), long_("s").alias("s_end"), F.col("t").alias("t_node"), zero.alias("t_start"), long_("t").alias("t_end"))

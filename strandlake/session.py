@@ -77,6 +77,11 @@ def materialized(df: DataFrame, instead_of: tuple[DataFrame, ...] = ()) -> DataF
     return out
 
 
+def once(df: DataFrame) -> DataFrame:
+    """A result of ``materialized`` as it is, other rows written."""
+    return df if hasattr(df, "_strandlake_path") else materialized(df)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once a context, where their search path does not lead to it."""
     here = os.path.dirname(os.path.abspath(__file__))
