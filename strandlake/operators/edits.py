@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import scalars as S
 from strandlake.operators import graph, intervals, paths
+from strandlake.session import materialized, once
 
 EDGE = ["source_node", "source_coordinate", "source_strand", "target_node", "target_coordinate", "target_strand"]
 
@@ -152,11 +153,12 @@ def subgraph(edges_: DataFrame, cuts: DataFrame) -> DataFrame:
     Kept are the links on a way from the block that holds the start to the one that holds the end; nodes become
     copies named by graph and node; START leads to the start, and the end to END.
     """
-    block = lambda n, at: (F.col("node_id") == F.col(n)) & (F.col("start") <= F.col(at)) & (F.col("end") >= F.col(at))
-    every = edges_.select("bg", F.col("s_node").alias("node_id"), F.col("s_start").alias("start"), F.col("s_end").alias("end")).unionByName(edges_.select("bg", F.col("t_node").alias("node_id"), F.col("t_start").alias("start"), F.col("t_end").alias("end"))).distinct()
-    placed = every.join(cuts, "bg")
-    first = placed.where(block("s_node", "s_at")).select("bg", "node_id", "start", "end")
-    last = placed.where(block("e_node", "e_at")).select("bg", "node_id", "start", "end")
+    edges_ = once(edges_)
+    here = lambda side, n, at: (F.col(f"{side}_node") == F.col(f"c.{n}")) & (F.col(f"{side}_start") <= F.col(f"c.{at}")) & (F.col(f"{side}_end") >= F.col(f"c.{at}"))
+    found = [F.when(here(side, f"{end}_node", f"{end}_at"), F.struct(F.lit(end).alias("cut"), F.col(f"{side}_node").alias("node_id"), F.col(f"{side}_start").alias("start"), F.col(f"{side}_end").alias("end"))) for side in ("s", "t") for end in ("s", "e")]
+    placed = edges_.select("bg", *graph.SOURCE, *graph.TARGET).join(cuts.select("bg", F.struct(*cuts.columns).alias("c")), "bg").select("bg", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("b"))
+    placed = materialized(placed.select("bg", "b.*").distinct())
+    first, last = (placed.where(F.col("cut") == end).drop("cut") for end in ("s", "e"))
     kept = graph.intermediate(edges_, first, last)
     copy = lambda c: F.when(S.is_terminal(F.col(c)), F.col(c)).otherwise(S.key_number(F.concat_ws(".", "bg", c)))
     plus, zero = F.lit("+"), F.lit(0).cast("long")

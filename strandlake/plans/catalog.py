@@ -343,7 +343,7 @@ def graph_edges(spark, d) -> DataFrame:
 
 
 def _dag(spark, d) -> DataFrame:
-    e = D.dag(spark, d)
+    e = materialized(D.dag(spark, d))
     return graph.block_edges(e, graph.blocks(e))
 
 
@@ -772,7 +772,7 @@ m AS (SELECT bg, node FROM f INTERSECT SELECT bg, node FROM r), n AS (SELECT DIS
 SELECT bg, ('0x' || substr(md5(concat_ws('.', bg, s_node)), 1, 15))::BIGINT AS source_node, s_end AS source_coordinate, ('0x' || substr(md5(concat_ws('.', bg, t_node)), 1, 15))::BIGINT AS target_node, t_start AS target_coordinate, chromosome_index FROM n
 UNION SELECT bg, 1, 0, ('0x' || substr(md5(concat_ws('.', bg, s)), 1, 15))::BIGINT, 1, 0 FROM cut UNION SELECT bg, ('0x' || substr(md5(concat_ws('.', bg, e)), 1, 15))::BIGINT, 2, 2, 0, 0 FROM cut""")
 def derive_subgraph(spark, d) -> DataFrame:
-    linked = _dag(spark, d)
+    linked = materialized(_dag(spark, d))
     cuts = linked.where("t_node > 2").groupBy("bg").agg(F.min("t_node").alias("s_node"), F.max("t_node").alias("e_node")).select("bg", "s_node", F.lit(1).alias("s_at"), "e_node", F.lit(2).alias("e_at"))
     return edits.subgraph(linked, cuts).select("bg", "source_node", "source_coordinate", "target_node", "target_coordinate", "chromosome_index")
 
