@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -40,7 +41,8 @@ ORDER = 4
 #: Levels whose counts all tasks share: contexts of 0 and of 1 symbol.
 SHARED = 2
 CHUNK_BYTES = 16 << 20
-BATCH_BYTES = 1 << 20
+#: Text whose grams, or words, are held as objects at once.
+BATCH_BYTES = 256 << 10
 #: Text whose grams make a bucket, about, and the buckets at most: as many as there are pairs of context symbols.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 2 << 20, 64, 257 * 257
 WORD_BIT = 1 << 62
@@ -49,14 +51,15 @@ _PACKED = "chunk long, key long, n long, blob binary"
 _SCORED = "doc string, n_tokens long, n_known long, known_log double, score double, chunk_words long, chunk_docs long, chunk_kinds long, is_doc boolean"
 
 
-def _batches(texts: list[bytes]) -> Iterator[slice]:
+def _batches(table: pa.Table) -> Iterator[tuple[list[bytes], list[bool], list[str]]]:
+    """Lower-cased texts, whether they are learned from, and ids, of rows that make BATCH_BYTES, one row at least."""
+    ends = np.cumsum(pc.binary_length(table["data"]).to_numpy())
     at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size < BATCH_BYTES):
-            size += len(texts[end])
-            end += 1
-        yield slice(at, end)
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, "right")))
+        part = table.slice(at, end - at)
+        yield [t.lower() for t in part["data"].to_pylist()], part["learn"].to_pylist(), part["doc"].to_pylist()
         at = end
 
 
@@ -64,35 +67,47 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) >> 2 | WORD_BIT
 
 
-def _words(texts: list[bytes], learn: list[bool]) -> Counter:
+def _words(table: pa.Table) -> Counter:
     """How often each word of the chunk occurs in the texts to learn from."""
     found: Counter = Counter()
-    other: set[bytes] = set()
-    for t, use in zip(texts, learn, strict=True):
-        if use:
-            found.update(t.split())
-        else:
-            other.update(t.split())
-    for w in other:
-        found.setdefault(w, 0)
+    for texts, learn, _ in _batches(table):
+        for t, use in zip(texts, learn, strict=True):
+            if use:
+                found.update(t.split())
+            else:
+                for w in t.split():
+                    found.setdefault(w, 0)
     return found
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, code = np.unique(keys, return_inverse=True)
-    return u, np.bincount(code, counts, len(u)).astype(np.int64)
+    """Distinct keys in order, and the sum of each one's counts."""
+    if not len(keys):
+        return keys, counts.astype(np.int64)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    del order
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts, first)
 
 
-def _chunk_keys(texts: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+def _chunk_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All keys of a chunk, grams and words, with their counts in the texts to learn from."""
-    words = _words(texts, learn)
-    parts = [(np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words)))]
-    for s in _batches(texts):
-        g, starts = ppm.grams(texts[s], ORDER)
+    words = _words(table)
+    done = _summed(np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words)))
+    del words
+    parts, size = [], 0
+    for texts, learn, _ in _batches(table):
+        g, starts = ppm.grams(texts, ORDER)
         code, u = ppm.distinct(g)
-        use = np.repeat(np.array(learn[s], np.int64), np.diff(np.append(starts, len(g))))
+        use = np.repeat(np.array(learn, np.int64), np.diff(np.append(starts, len(g))))
         parts.append((u, np.bincount(code, use, len(u)).astype(np.int64)))
-    return _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        size += len(u)
+        # what is held besides the sums is never more than they are
+        if size > max(len(done[0]), BATCH_BYTES):
+            done = _summed(*[np.concatenate(x) for x in zip(done, *parts, strict=True)])
+            parts, size = [], 0
+    return _summed(*[np.concatenate(x) for x in zip(done, *parts, strict=True)])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +124,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(table)
         yield _rows([chunk], [DOCS], [0], [sink.getvalue().to_pybytes()])
-        keys, counts = _chunk_keys([t.lower() for t in table["data"].to_pylist()], table["learn"].to_pylist())
+        del sink
+        keys, counts = _chunk_keys(table)
+        del table
         for at in range(0, len(keys), 100_000):
             k = keys[at : at + 100_000]
             yield _rows(np.full(len(k), chunk, np.int64), k, counts[at : at + 100_000], pa.nulls(len(k), pa.binary()))
@@ -140,7 +157,10 @@ def _resolver(low: list[tuple[np.ndarray, np.ndarray]]):
         seen = counts > 0
         for k in range(SHARED, ORDER + 1):
             table.append(ppm.Level(*_summed(keys[seen] & ppm.mask(k + 1), counts[seen]), k + 1, table[-1]))
-        return pd.DataFrame({"key": keys, "value": ppm.bits(table, keys)})
+        out = pd.DataFrame({"key": keys, "value": ppm.bits(table, keys)})
+        del table
+        release_memory()
+        return out
 
     return run
 
@@ -148,40 +168,33 @@ def _resolver(low: list[tuple[np.ndarray, np.ndarray]]):
 def _scored(docs: pa.Table, values: pa.Table) -> pa.Table:
     """The documents of a chunk, and one row without a document that sums up the chunk."""
     out: list[tuple] = []
-    key = values["key"].to_numpy()
-    value, first = values["value"].to_numpy(), values["first"].to_numpy()
-    is_word = key >= WORD_BIT
-    total = dict(zip(key[is_word].tolist(), value[is_word].tolist(), strict=True))
-    kinds = int((first[is_word] * (value[is_word] > 0)).sum())
-    grams, bits = key[~is_word], value[~is_word]
-    order = np.argsort(grams)
-    grams, bits = grams[order], bits[order]
-    del key, value, first, is_word, order, values
-    for blob in docs["blob"].to_pylist():
-        table = pa.ipc.open_stream(blob).read_all()
-        texts, learn, ids = [t.lower() for t in table["data"].to_pylist()], table["learn"].to_pylist(), table["doc"].to_pylist()
-        local = _words(texts, learn)
+    key, value = values["key"].to_numpy(), values["value"].to_numpy()
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    at = int(np.searchsorted(key, WORD_BIT))
+    kinds = int((values["first"].to_numpy()[order[at:]] * (value[at:] > 0)).sum())
+    (grams, bits), (known, totals) = (key[:at], value[:at]), (key[at:], value[at:])
+    del order, values
+    for blob in docs["blob"]:
+        table = pa.ipc.open_stream(blob.as_buffer()).read_all()
+        local = _words(table)
         trained = sum(local.values())
-        logs: dict[bytes, float] = {}  # 0 only for words that were not learned
-        while local:
-            w, n = local.popitem()
-            c = total.get(word_key(w))
-            if c is None:
-                c = n
-                kinds += n > 0
-            logs[w] = math.log10(c + 1)
-        score = []
-        for s in _batches(texts):
-            g, starts = ppm.grams(texts[s], ORDER)
+        found, there = ppm.find(known, np.fromiter(map(word_key, local), np.int64, len(local)))
+        kinds += sum(n > 0 and not t for n, t in zip(local.values(), there, strict=True))
+        logs = local  # 0 only for words that were not learned
+        for w, i, t in zip(list(local), found, there, strict=True):
+            logs[w] = math.log10((totals[i] if t else local[w]) + 1)
+        for texts, _, ids in _batches(table):
+            g, starts = ppm.grams(texts, ORDER)
             code, u = ppm.distinct(g)
-            score += (np.add.reduceat(bits[np.searchsorted(grams, u)][code], starts) * -math.log10(2)).tolist()
-        for i, t, x in zip(ids, texts, score, strict=True):
-            values = [logs[w] for w in t.split()]
-            out.append((i, len(values) + 1, len(values) - values.count(0.0), math.fsum(values), x, None, None, None, True))
-        out.append((None, None, None, None, None, trained, sum(learn), kinds, False))
+            score = (np.add.reduceat(bits[np.searchsorted(grams, u)][code], starts) * -math.log10(2)).tolist()
+            for i, t, x in zip(ids, texts, score, strict=True):
+                each = [logs[w] for w in t.split()]
+                out.append((i, len(each) + 1, len(each) - each.count(0.0), math.fsum(each), x, None, None, None, True))
+        out.append((None, None, None, None, None, trained, pc.sum(table["learn"]).as_py(), kinds, False))
         kinds = 0
-        del texts, learn, ids, logs, score, table
-    del total, grams, bits
+        del logs, local, table
+    del key, value, grams, bits, known, totals
     release_memory()
     names = ["doc", "n_tokens", "n_known", "known_log", "score", "chunk_words", "chunk_docs", "chunk_kinds", "is_doc"]
     kind = dict(zip(names, [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()], strict=True))
