@@ -15,6 +15,8 @@ from strandlake.functions import scalars as S
 from strandlake.operators import graph, intervals, paths
 from strandlake.session import materialized, once
 
+#: Sources of a step that a task pairs at once, pairs a task makes, about, and tasks at most.
+SLICE, TASK_PAIRS, MOST_TASKS = 512, 20_000_000, 100_000
 EDGE = ["source_node", "source_coordinate", "source_strand", "target_node", "target_coordinate", "target_strand"]
 
 
@@ -101,22 +103,45 @@ def variant_accessions(calls: DataFrame) -> DataFrame:
 # --- part libraries ------------------------------------------------------------------------------------------------
 
 
+def _products(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(pool, source, source_at, target, target_at): each source of a step with each target of it, no pair of a pool twice.
+
+    Both: (pool, step, node, at). Pairs are many, so they are not compared with each other: a pair comes from the first
+    step that has it, which either side knows from its own steps. Sources of a step are dealt in slices, and targets
+    are copied to each, so that a large step is made by many tasks.
+    """
+
+    def sides(df: DataFrame, name: str) -> DataFrame:
+        steps = df.where("pool is not null and step is not null").groupBy("pool", F.col("node").alias(name), F.col("at").alias(f"{name}_at")).agg(F.sort_array(F.collect_set("step")).alias("steps"))
+        return steps.select("pool", name, f"{name}_at", F.explode("steps").alias("step"), F.when(F.size("steps") > 1, F.col("steps")).alias(f"{name}_steps"))
+
+    s, t = materialized(sides(sources, "source")), materialized(sides(targets, "target"))
+    sizes = s.groupBy("pool", "step").agg(F.count("*").alias("n")).join(t.groupBy("pool", "step").agg(F.count("*").alias("m")), ["pool", "step"])
+    sizes = materialized(sizes.withColumn("slices", F.ceil(F.col("n") / SLICE)))
+    pairs = sizes.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+    sizes, tasks = sizes.select("pool", "step", "slices"), int(min(MOST_TASKS, 1 + pairs // TASK_PAIRS))
+    s = s.join(sizes, ["pool", "step"]).withColumn("slice", F.pmod(F.xxhash64("source", "source_at"), "slices")).drop("slices")
+    t = t.join(sizes, ["pool", "step"]).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices")
+    by = ["pool", "step", "slice"]
+    both = t.repartition(tasks, *by).join(s.repartition(tasks, *by).hint("merge"), by)
+    again = F.col("source_steps").isNotNull() & F.col("target_steps").isNotNull() & (F.array_min(F.array_intersect("source_steps", "target_steps")) != F.col("step"))
+    return both.where(~again).select("pool", "source", "source_at", "target", "target_at")
+
+
 def library_edges(parts: DataFrame, anchors: DataFrame, preserve: bool = True) -> DataFrame:
     """Edges of combinatorial pools. parts: (pool, slot, node_id, length); anchors: (pool, s_node, s_at, e_node, e_at).
 
     Each part of a slot is joined to each of the next slot, the first slot to the pool's start and the last to its
     end. An edge's own number is its chromosome, so that no pruning takes it.
     """
-    ends = parts.groupBy("pool").agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
-    p = parts.join(ends, "pool").join(anchors, "pool")
-    plus = F.lit("+")
+    ends = parts.groupBy("pool").agg(F.min("slot").cast("long").alias("first"), F.max("slot").cast("long").alias("last")).join(anchors, "pool")
+    plus, zero = F.lit("+"), F.lit(0).cast("long")
     row = lambda sn, sc, tn, tc: [sn.cast("long").alias("source_node"), sc.cast("long").alias("source_coordinate"), plus.alias("source_strand"), tn.cast("long").alias("target_node"), tc.cast("long").alias("target_coordinate"), plus.alias("target_strand")]
-    zero = F.lit(0)
-    head = p.where("slot = first").select("pool", *row(F.col("s_node"), F.col("s_at"), F.col("node_id"), zero))
-    tail = p.where("slot = last").select("pool", *row(F.col("node_id"), F.col("length"), F.col("e_node"), F.col("e_at")))
-    a = parts.select("pool", (F.col("slot") + 1).alias("slot"), F.col("node_id").alias("a"), F.col("length").alias("n"))
-    inner = a.join(parts.select("pool", "slot", F.col("node_id").alias("b")), ["pool", "slot"]).select("pool", *row(F.col("a"), F.col("n"), F.col("b"), zero))
-    every = head.unionByName(inner).unionByName(tail).distinct()
+    side = lambda df, step, node, at: df.select("pool", step.cast("long").alias("step"), F.col(node).cast("long").alias("node"), at.cast("long").alias("at"))
+    # a step's sources are the parts of the slot before, or the pool's start, its targets those of the slot, or the end
+    sources = side(parts, F.col("slot") + 1, "node_id", F.col("length")).unionByName(side(ends, F.col("first"), "s_node", F.col("s_at")))
+    targets = side(parts, F.col("slot"), "node_id", zero).unionByName(side(ends, F.col("last") + 1, "e_node", F.col("e_at")))
+    every = _products(sources, targets).select("pool", *row(F.col("source"), F.col("source_at"), F.col("target"), F.col("target_at")))
     every = every.withColumn("edge_id", S.key_number(F.concat_ws(":", *EDGE)))
     out = every.withColumn("chromosome_index", F.col("edge_id"))
     if preserve:

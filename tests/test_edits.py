@@ -58,3 +58,28 @@ def test_sequence_of_reverse_strand(spark):
     blocks = spark.createDataFrame([(1, 0, 3, 0, 4, "+"), (1, 1, 4, 2, 5, "-")], "path_id long, idx long, node_id long, seq_start long, seq_end long, strand string")
     nodes = spark.createDataFrame([(3, "ACGTAA"), (4, "TTCAGT")], "node_id long, sequence string")
     assert paths.path_sequence(blocks, nodes).first()["sequence"] == "ACGT" + "CTG"
+
+
+def test_library_edges_once_each(spark, monkeypatch):
+    """Parts in several slots, parts that are the pool's own cuts, slots with gaps, pools without parts or cuts; in slices."""
+    import random
+
+    random.seed(6)
+    parts = [(random.randint(0, 5), random.choice([0, 1, 2, 4, 5]), random.randint(3, 9), random.randint(0, 2)) for _ in range(150)]
+    cuts = [(p, 3 + p, p % 3, 4 + p, p % 2) for p in (0, 1, 2, 3, 4, 7)] + [(1, 1, 0, 2, 0)]
+    want = set()
+    for pool in {p for p, *_ in parts}:
+        own = {s: {(n, k) for p, t, n, k in parts if (p, t) == (pool, s)} for p0, s, *_ in parts if p0 == pool}
+        for p, sn, sa, en, ea in cuts:
+            if p == pool:
+                want |= {(pool, sn, sa, n, 0) for n, _ in own[min(own)]} | {(pool, n, k, en, ea) for n, k in own[max(own)]}
+        want |= {(pool, a, k, b, 0) for s in own for a, k in own[s] for b, _ in own.get(s + 1, ())}
+    p = spark.createDataFrame(parts, "pool long, slot int, node_id long, length long")
+    c = spark.createDataFrame(cuts, "pool long, s_node long, s_at long, e_node long, e_at long")
+    cols = ["pool", "source_node", "source_coordinate", "target_node", "target_coordinate"]
+    for size in (512, 2):
+        monkeypatch.setattr(edits, "SLICE", size)
+        got = edits.library_edges(p, c, preserve=False).select(*cols)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        # the pairs themselves are not shuffled and compared
+        assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
