@@ -65,8 +65,24 @@ def chunk_count(df: DataFrame, text: str, chunk_bytes: int) -> int:
     return max(1, math.ceil(total / chunk_bytes))
 
 
-def release_memory() -> None:
-    """Gives a worker's free memory back to the system, so that idle workers leave it to the others."""
+#: What operators keep in a worker between tasks.
+_KEPT: list[dict] = []
+
+
+def kept_between_tasks() -> dict:
+    """A table that an operator keeps in its worker, until another operator works there."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def release_memory(own: dict | None = None) -> None:
+    """Gives a worker's free memory back to the system, so that idle workers leave it to the others.
+
+    What other operators keep in the worker goes too: the same workers run all stages of a pipeline.
+    """
+    for kept in _KEPT:
+        if kept is not own:
+            kept.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call

@@ -32,7 +32,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import release_memory, restored, sheltered, text_of
+from strandlake.llm.common import kept_between_tasks, release_memory, restored, sheltered, text_of
 
 SPACE = "▁"
 #: Words that each worker keeps, in two generations of this size, and the longest that is kept.
@@ -262,9 +262,12 @@ class PieceEncoder:
         """Lets most units go, so that an idle worker holds little more than the model."""
         first = self.older or self.units
         self.older, self.units = {}, dict(islice(first.items(), IDLE_WORDS))
+        self.pairs.clear()
+        for edges in self.edges:
+            edges.clear()
 
 
-_LOADED: dict[str, PieceEncoder] = {}
+_LOADED: dict[str, PieceEncoder] = kept_between_tasks()
 
 
 def encoder(model: bytes) -> PieceEncoder:
@@ -294,7 +297,7 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", digests:
                     yield pd.DataFrame(_rows(use, texts.iloc[at : at + TEXTS], digests), columns=["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
         finally:
             use.forget()
-            release_memory()
+            release_memory(_LOADED)
 
     inner, col = sheltered(docs)
     results = ["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]

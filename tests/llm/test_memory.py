@@ -49,3 +49,20 @@ def test_lm_score_slices_change_nothing(monkeypatch):
     empty = table.slice(0, 0)
     assert [len(x) for x in lm_score._chunk_keys(empty)] == [0, 0] and not list(lm_score._batches(empty))
     assert np.all(np.diff(keys) > 0) and pc.sum(table["learn"]).as_py() == sum(learn)
+
+
+def test_encoder_leaves_the_worker_to_other_operators():
+    """The same workers run all stages: before, the model and its tables stayed in them for good."""
+    import corpus_pipeline
+    from strandlake.llm import common, pieces
+
+    model = open(corpus_pipeline.tokenizer_path(), "rb").read()
+    use = pieces.encoder(model)
+    text = "naïve  words, unbelievably reworded: zzzyxq qqqwrt 12 345\nnext line"
+    said = use.coded(text)
+    use.forget()
+    assert not use.pairs and not any(use.edges) and use.coded(text) == said
+    common.release_memory(pieces._LOADED)
+    assert pieces.encoder(model) is use
+    common.release_memory()
+    assert not pieces._LOADED and pieces.encoder(model).coded(text) == said
