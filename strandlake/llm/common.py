@@ -59,6 +59,15 @@ def restored(df: DataFrame, columns: list[str], results: list[str], drop: tuple[
     return df.select(*[F.col(f"_in{i}").alias(new) for i, (c, new) in enumerate(zip(columns, names, strict=True)) if c.lower() not in gone], *results)
 
 
+def in_parts(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df, small and of about so many rows, dealt anew to a part for each of those.
+
+    Every part is a file, for which a local file system starts three processes that set permissions; a join or a
+    grouping leaves as many parts as the session has shuffle partitions, however few the rows.
+    """
+    return df.repartition(1 + rows // each)
+
+
 def chunk_count(df: DataFrame, text: str, chunk_bytes: int) -> int:
     """Chunks of about chunk_bytes of text that the table makes; at least one."""
     total = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import written
+from strandlake.llm.common import in_parts, written
 from strandlake.session import forget
 
 
@@ -30,13 +30,16 @@ def _stars(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): every node of links (a, b), with the smallest node it is connected to."""
-    links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    """(node, component): every node of links (a, b), with the smallest node it is connected to. links: a written table."""
+    size = links.count()
+    links = written(in_parts(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), size))
+    size = links.count()
     same = False
     while not same:
-        after = written(_stars(links))
-        same = links.count() == after.count() and not after.join(links, ["a", "b"], "left_anti").head(1)
-        before, links = links, after
-        forget(before)
+        after = written(in_parts(_stars(links), size))
+        before, size = size, after.count()
+        same = before == size and not after.join(links, ["a", "b"], "left_anti").head(1)
+        forget(links)
+        links = after
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

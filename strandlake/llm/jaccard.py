@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import WORD, chunk_count, release_memory, restored, sheltered, text_of, written
+from strandlake.llm.common import WORD, chunk_count, in_parts, release_memory, restored, sheltered, text_of, written
 from strandlake.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -50,6 +50,8 @@ PIECE_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 #: Frequent tokens of a bucket of the matrix: the fewer buckets, the more sets fail in one alone.
 MATRIX_TOKENS = 3_000_000
+#: Pairs of sets, or sets with their tokens, of a task and its file.
+PART_ROWS = 2000
 #: Independent least hashes by which sets look for their family.
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -169,8 +171,8 @@ def _dealer(words: int, buckets: int):
 
 #: What a bucket finds, packed, for one part of the sets or pairs: the sets and their sizes, and a line a pair (first,
 #: second and how much they share) or a line a frequent token (whose, and the token).
-_FOUND = "pairs boolean, part int, sids binary, sizes binary, first binary, second binary, value binary"
-_KINDS = (pa.bool_(), pa.int32(), *[pa.binary()] * 5)
+_FOUND = "pairs boolean, part int, lines long, sids binary, sizes binary, first binary, second binary, value binary"
+_KINDS = (pa.bool_(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
 
 
 def _part_of(x: np.ndarray, parts: int) -> np.ndarray:
@@ -187,7 +189,7 @@ def _found(pairs: bool, part: np.ndarray, ids: np.ndarray, size: np.ndarray, fir
         u, at = np.unique(both, return_inverse=True)
         at = at.astype(np.int32)
         n = len(mine)
-        out.append((pairs, int(part[mine[0]]), _planes(ids[u]), _planes(size[u].astype(np.int32)), _planes(at[:n]), b"" if second is None else _planes(at[n:]), _planes(value[mine])))
+        out.append((pairs, int(part[mine[0]]), n, _planes(ids[u]), _planes(size[u].astype(np.int32)), _planes(at[:n]), b"" if second is None else _planes(at[n:]), _planes(value[mine])))
     return out
 
 
@@ -237,7 +239,7 @@ def _bucket(percent: int, most: int, parts: int):
             out += _found(True, _part_of(ids[a] * 3 + ids[b], parts), ids, size, a, b, shared)
         del token, at, codes
         release_memory()
-        return pa.table({name: pa.array([r[i] for r in out], k) for i, (name, k) in enumerate(zip(("pairs", "part", "sids", "sizes", "first", "second", "value"), _KINDS, strict=True))})
+        return pa.table({name: pa.array([r[i] for r in out], k) for i, (name, k) in enumerate(zip(("pairs", "part", "lines", "sids", "sizes", "first", "second", "value"), _KINDS, strict=True))})
 
     return run
 
@@ -422,7 +424,7 @@ def _cross_family(hot: DataFrame, links: DataFrame, percent: int, group: int) ->
     # families are dealt to groups of about half the size allowed, by hash
     sizes = placed.groupBy("family").agg(F.ceil(F.count("*") * 2 / group).alias("parts"))
     placed = placed.join(sizes, "family").withColumn("grp", F.concat_ws(":", "family", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("string")))
-    placed = written(placed.select("sid", "n", "h", "tokens", "family", "grp"))
+    placed = written(in_parts(placed.select("sid", "n", "h", "tokens", "family", "grp"), hot.count(), PART_ROWS))
     of_group = placed.groupBy("grp").agg(F.min("n").alias("g_n"), F.max("h").alias("g_h"))
     buckets = 1 + (placed.agg(F.sum("h")).first()[0] or 0) // MATRIX_TOKENS
     dealt = placed.join(of_group, "grp").mapInArrow(_split_tokens(buckets), "bucket int, sid long, n long, h long, family long, grp string, g_n long, g_h long, tokens binary")
@@ -453,7 +455,8 @@ def near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
     pairs = found.where("pairs").groupBy("part").applyInArrow(_summed_pairs, "a long, b long, na long, nb long, shared long")
     pairs = pairs.join(light.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a", "left").join(light.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b", "left")
     rest = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    pairs = written(pairs.where(linked(F.col("shared") + rest, F.col("na"), F.col("nb"), percent)).drop("ha", "hb"))
+    most_pairs = found.where("pairs").agg(F.sum("lines")).first()[0] or 0
+    pairs = written(in_parts(pairs.where(linked(F.col("shared") + rest, F.col("na"), F.col("nb"), percent)).drop("ha", "hb"), most_pairs))
     sure = linked(F.col("shared"), F.col("na"), F.col("nb"), percent)
     links = pairs.where(sure).select("a", "b")
     open_ = pairs.where(~sure).join(hot.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a").join(hot.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -462,10 +465,12 @@ def near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
 
     # sets that may be linked without a rare token in common
     hot = hot.where(100 * F.col("h") >= percent * F.col("n"))
-    if hot.head(1):
-        links = written(links.unionByName(_family_links(hot, percent)))
+    n, n_hot = pairs.count(), hot.count()
+    if n_hot:
+        links = written(in_parts(links.unionByName(_family_links(hot, percent)), n + len(SEEDS) * n_hot, PART_ROWS))
+        n = links.count()
         links = links.unionByName(_cross_family(hot, links, percent, group))
-    return members, written(links.distinct())
+    return members, written(in_parts(links.distinct(), n + n_hot, PART_ROWS))
 
 
 def _named(docs: DataFrame, doc: str, text: str, **options) -> DataFrame:
@@ -473,7 +478,8 @@ def _named(docs: DataFrame, doc: str, text: str, **options) -> DataFrame:
     members, links = near_copies(docs, doc, text, **options)
     family = components(links)
     named = members.select(F.col("doc").cast(docs.schema[doc].dataType).alias(doc), "sid", "tie", F.col("n").alias("n_shingles"))
-    return written(named.join(family.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")).drop("sid"))
+    named = named.join(family.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")).drop("sid")
+    return written(in_parts(named, members.count()))
 
 
 def with_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -493,7 +499,7 @@ def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", **opti
     named = _named(docs.select(doc, text), doc, text, **options).where("n_shingles > 0")
     same = named.groupBy("component", doc, "tie").agg(F.count("*").alias("copies"))
     first = same.groupBy("component").agg(F.min(F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("d"), "tie", "copies")).alias("k"))
-    keys = written(first.select(F.col("k.d").alias("_kd"), F.col("k.tie").alias("_kt"), F.col("k.copies").alias("_kn")))
+    keys = written(in_parts(first.select(F.col("k.d").alias("_kd"), F.col("k.tie").alias("_kt"), F.col("k.copies").alias("_kn")), named.count()))
     inner, col = sheltered(docs)
     rows = inner.withColumns({"_d": col(doc), "_t": F.md5(text_of(col(text)).cast("binary"))})
     is_key = F.col("_d").eqNullSafe(F.col("_kd")) & (F.col("_t") == F.col("_kt"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import random
 import tracemalloc
 from collections import Counter
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from strandlake.llm import lm_score, ppm
+from strandlake.llm import components, jaccard, lm_score, ppm, quality
 
 
 def chunk():
@@ -66,3 +67,42 @@ def test_encoder_leaves_the_worker_to_other_operators():
     assert pieces.encoder(model) is use
     common.release_memory()
     assert not pieces._LOADED and pieces.encoder(model).coded(text) == said
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Each file forks the executor, whose memory counts twice for that moment: before, 50 files for a few rows each."""
+    files: dict[str, list[int]] = {"jaccard": [], "components": [], "quality": []}
+
+    def counting(module, write):
+        def run(df):
+            out = write(df)
+            files[module].append(len(glob.glob(out._strandlake_path.removeprefix("file:") + "/part-*")))
+            return out
+
+        return run
+
+    for module in (jaccard, components, quality):
+        name = module.__name__.rsplit(".", 1)[1]
+        monkeypatch.setattr(module, "written", counting(name, module.written))
+    random.seed(5)
+    words = ["".join(random.choices("abcdefgh", k=6)) for _ in range(300)]
+    rows = []
+    for i in range(60):
+        copy = words[:120]
+        copy[i * 2] = "changed"
+        rows.append((i, " ".join(copy), "en"))
+    rows += [(100 + i, " ".join(random.choices(words, k=50)), "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    names = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        kept = {r["doc_id"] for r in jaccard.one_of_each(df).collect()}
+        quality.kept_rows(df).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == {0, *range(100, 140)}
+    assert len(files["components"]) >= 4 and len(files["quality"]) >= 2
+    assert max(map(max, files.values())) <= 3
